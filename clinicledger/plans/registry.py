@@ -8,7 +8,9 @@ moved 20 years back, to where the test data lives.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,7 @@ from clinicledger.operators import dims, filters, ledger, resources
 from clinicledger.plans import reports
 from clinicledger.plans.params import EncounterParams, RevenueParams
 from clinicledger.sources.fixture import fixture_tables
+from clinicledger.sources.store import materialize_enabled, stored_copy
 from clinicledger.sources.tables import Tables
 
 # --- fixture parameters (FIXTURES.md section 4) ------------------------------
@@ -55,10 +58,17 @@ _TABLES: dict[tuple[int, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Fixture tables for ``sf_dir`` (lazy plans, built once per session)."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    """Billing tables mapped from the test data under ``sf_dir``.
+
+    The mapping is derived once per session and stored as Parquet under
+    ``spark.checkpoint.dir`` (set ``CLINICLEDGER_MATERIALIZE=0`` to run every
+    query on the lazy mapping instead); the reports then read stored tables,
+    as they do in production.
+    """
+    key = (id(spark), os.path.abspath(sf_dir))
     if key not in _TABLES:
-        _TABLES[key] = fixture_tables(spark, sf_dir)
+        mapped = fixture_tables(spark, sf_dir)
+        _TABLES[key] = stored_copy(spark, mapped, key[1]) if materialize_enabled() else mapped
     return _TABLES[key]
 
 
@@ -299,7 +309,7 @@ def q_charge_math(spark, sf_dir):
 
 def q_adjustment_check(spark, sf_dir):
     """Lines whose booked adjustments differ from those collected."""
-    rj = reports.revenue_journal(tables(spark, sf_dir), RevenueParams(**{**REVENUE.__dict__, "ordered": False}))
+    rj = reports.revenue_journal(tables(spark, sf_dir), dataclasses.replace(REVENUE, ordered=False))
     return rj.filter(F.col("adjustments_diff") != 0).select(
         "ticket_number", "date_of_service", "cpt_code", "adjustments", "sum_adj_to_date",
         "adjustments_diff", "abs_adjustments_diff",
@@ -307,7 +317,7 @@ def q_adjustment_check(spark, sf_dir):
 
 
 def q_payer_and_service_class(spark, sf_dir):
-    rj = reports.revenue_journal(tables(spark, sf_dir), RevenueParams(**{**REVENUE.__dict__, "ordered": False}))
+    rj = reports.revenue_journal(tables(spark, sf_dir), dataclasses.replace(REVENUE, ordered=False))
     return rj.select(
         "ticket_number", "date_of_service", "cpt_code", "resource", "resource_type", "service_type",
         "policy_type", "primary_insurance_carrier", "broad_payer_type",

@@ -116,11 +116,14 @@ class Tables:
         return self.patient_visit.sparkSession
 
 
+def schema_of(spark: SparkSession, name: str):
+    """Declared schema of table ``name`` as a StructType."""
+    return spark.createDataFrame([], TABLE_SCHEMAS[name]).schema
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Select and cast ``df`` to the declared schema of table ``name``."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = _parse_datatype_string(TABLE_SCHEMAS[name])
+    schema = schema_of(df.sparkSession, name)
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -137,13 +140,6 @@ def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet") -> Tab
     return Tables(**frames)
 
 
-def save_tables(tables: Tables, base_dir: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write every table under ``{base_dir}/{table}`` (e.g. to materialise a
-    derived data set in the cluster's shared storage)."""
-    for name in Tables.names():
-        tables.table(name).write.format(fmt).mode(mode).save(f"{base_dir}/{name}")
-
-
 def duplicate_keys(tables: Tables, name: str) -> DataFrame:
     """Rows of key values occurring more than once in table ``name``."""
     keys = list(UNIQUE_KEYS[name])
