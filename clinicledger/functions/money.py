@@ -54,8 +54,7 @@ def flat_rate_ins_adjustment(cpt_code: Column | str, orig_ins: Column | str,
     return F.when(_col(cpt_code).isin(list(codes)), -_col(orig_ins)).otherwise(F.lit(0))
 
 
-def encounter_flag(
-    place_ok: Column,
+def line_encounter(
     qualifier: Column | str,
     units: Column | str,
     code: Column | str,
@@ -63,23 +62,44 @@ def encounter_flag(
     reversal_prefixes: Sequence[str] = REVERSAL_PREFIXES,
     encounter_prefixes: Sequence[str] = ENCOUNTER_PREFIXES,
 ) -> Column:
-    """Signed encounter flag of one charge line.
+    """The line's part of an encounter flag, before the place test.
 
-    -1 when the place matches, the 8-character qualifier prefix is a
-    reversal class and units are negative; else 1 when the place matches,
-    the 10-character prefix is an encounter class and the code is not
-    excluded; else 0. A NULL code makes ``NOT IN`` unknown, so the +1 arm
-    fails and the flag is 0; the -1 arm does not look at the code.
+    -1 when the 8-character qualifier prefix is a reversal class and units
+    are negative; else 1 when the 10-character prefix is an encounter class
+    and the code is not excluded; else 0. A NULL code makes ``NOT IN``
+    unknown, so the +1 arm fails; the -1 arm does not look at the code.
     """
-    reversal = place_ok & prefix_in(qualifier, 8, reversal_prefixes) & (_col(units) < 0)
-    counted = (
-        place_ok
-        & prefix_in(qualifier, 10, encounter_prefixes)
-        & ~_col(code).isin(list(excluded_codes))
-    )
+    reversal = prefix_in(qualifier, 8, reversal_prefixes) & (_col(units) < 0)
+    counted = prefix_in(qualifier, 10, encounter_prefixes) & ~_col(code).isin(list(excluded_codes))
     return F.when(reversal, F.lit(-1)).when(counted, F.lit(1)).otherwise(F.lit(0))
 
 
+def place_flag(place_ok: Column, line_flag: Column | str) -> Column:
+    """Encounter flag for one kind of place: the line flag where the place
+    test is TRUE, else 0 (also for a NULL test).
+
+    Because the place of service belongs to the visit, the same holds for
+    sums: the sum of a visit's flags is ``place_flag(place_ok, sum of line
+    flags)``, which lets line flags be summed before the visit is joined.
+    """
+    return F.when(place_ok, _col(line_flag)).otherwise(F.lit(0))
+
+
+def encounter_flag(
+    place_ok: Column,
+    qualifier: Column | str,
+    units: Column | str,
+    code: Column | str,
+    excluded_codes: Sequence[str] = NON_ENCOUNTER_CODES,
+    reversal_prefixes: Sequence[str] = REVERSAL_PREFIXES,
+    encounter_prefixes: Sequence[str] = ENCOUNTER_PREFIXES,
+) -> Column:
+    """Signed encounter flag of one charge line at a place (-1, 0 or 1)."""
+    return place_flag(
+        place_ok, line_encounter(qualifier, units, code, excluded_codes, reversal_prefixes, encounter_prefixes)
+    )
+
+
 def place_in(pos_code: Column | str, codes: Sequence[str]) -> Column:
     return _col(pos_code).isin(list(codes))
 
@@ -87,3 +107,32 @@ def place_in(pos_code: Column | str, codes: Sequence[str]) -> Column:
 def place_not_in(pos_code: Column | str, codes: Sequence[str]) -> Column:
     """``ISNULL(code, '') NOT IN (...)``: a missing place counts as not in."""
     return ~F.coalesce(_col(pos_code), F.lit("")).isin(list(codes))
+
+
+def charge_columns(ins_allocation: str = "ins_allocation", pat_allocation: str = "pat_allocation",
+                   ins_adjustment: str = "ins_adjustment", pat_adjustment: str = "pat_adjustment") -> dict:
+    """Charges, adjustments and net charges of a procedure line."""
+    ia, pa, ij, pj = (F.col(c) for c in (ins_allocation, pat_allocation, ins_adjustment, pat_adjustment))
+    return {
+        "charges": money(ia + pa),
+        "adjustments": money(ij + pj),
+        "net_charges": money((ia - ij) + (pa - pj)),
+    }
+
+
+def adjustment_check_columns(booked: Column, collectable: str = "collectable_adjustments",
+                             non_collectable: str = "non_collectable_adjustments") -> dict:
+    """Reconciliation of booked adjustments with those collected to date.
+
+    The two components default to 0; their sum and the differences stay
+    NULL when a line has no collections row.
+    """
+    ca, na = F.col(collectable), F.col(non_collectable)
+    collected = ca + na
+    return {
+        "collectable_adjustments_to_date": money(F.coalesce(ca, F.lit(0))),
+        "non_collectable_adjustments_to_date": money(F.coalesce(na, F.lit(0))),
+        "sum_adj_to_date": money(collected),
+        "adjustments_diff": money(booked - collected),
+        "abs_adjustments_diff": money(F.abs(booked - collected)),
+    }

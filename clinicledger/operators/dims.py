@@ -10,6 +10,7 @@ from the runtime size. The check runs once per table per ``Tables``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from clinicledger.sources.tables import Tables
 # Largest dimension broadcast to every task (rows). Dimensions are pruned to
 # a few narrow columns before the broadcast, so this is tens of MB at most.
 DIM_MAX_ROWS = 1_000_000
+_LOOKUP_SEQ = itertools.count()
 
 
 def rows_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -37,10 +39,24 @@ def dim(t: Tables, name: str, columns: Sequence[str], max_rows: int = DIM_MAX_RO
     """Columns of dimension table ``name``, broadcast when its size check
     passes (memoised on ``t``)."""
     df = t.table(name).select(*columns)
-    key = (name, max_rows)
-    if key not in t._checked:
-        t._checked[key] = rows_at_most(t.table(name), max_rows)
-    return F.broadcast(df) if t._checked[key] else df
+    return F.broadcast(df) if dims_checked(t, name, max_rows=max_rows) else df
+
+
+def dims_checked(t: Tables, *names: str, max_rows: int = DIM_MAX_ROWS) -> bool:
+    """True when every named dimension passed its size check."""
+    for name in names:
+        key = (name, max_rows)
+        if key not in t._checked:
+            t._checked[key] = rows_at_most(t.table(name), max_rows)
+    return all(t._checked[(n, max_rows)] for n in names)
+
+
+def broadcast_derived(df: DataFrame, t: Tables, bound_by: str, *also: str) -> DataFrame:
+    """Broadcast a table derived from dimensions when its size is bounded by
+    a checked dimension: ``df`` must have at most as many rows as
+    ``bound_by`` (e.g. that dimension joined to unique keys of the ``also``
+    dimensions, filtered, or aggregated)."""
+    return F.broadcast(df) if dims_checked(t, bound_by, *also) else df
 
 
 def lookup(
@@ -54,10 +70,12 @@ def lookup(
     """Join ``dimension`` on ``left_key = dim_key`` and add ``columns``
     (``{dimension column: output name}``). ``how='left'`` keeps unmatched
     rows with NULLs; ``how='inner'`` drops them."""
-    right = dimension.select(
-        F.col(dim_key).alias("_dim_key"), *[F.col(c).alias(out) for c, out in columns.items()]
-    )
-    return df.join(right, F.col(left_key) == F.col("_dim_key"), how).drop("_dim_key")
+    tag = f"_dim{next(_LOOKUP_SEQ)}"
+    right = dimension.alias(tag)
+    joined = df.alias("_row").join(right, F.col(f"_row.{left_key}") == F.col(f"{tag}.{dim_key}"), how)
+    # rename after the join: the broadcast side stays the plain dimension, so
+    # roles reading the same columns share one broadcast exchange
+    return joined.select("_row.*", *[F.col(f"{tag}.{c}").alias(out) for c, out in columns.items()])
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
@@ -80,8 +98,8 @@ def require_exists(df: DataFrame, keys: DataFrame, left_key: str, key: str | Non
 
 def with_providers(df: DataFrame, t: Tables, roles: Mapping[str, str], how: str = "inner") -> DataFrame:
     """DoctorFacility in several roles: ``{id column: name column}``, e.g.
-    ``{"doctor_id": "doctor_name", "facility_id": "facility_name"}``. Every
-    role reads the same broadcast, so Spark reuses one exchange."""
+    ``{"doctor_id": "doctor_name", "facility_id": "facility_name"}``. Each
+    role is a broadcast lookup of the same size-checked dimension."""
     providers = dim(t, "doctor_facility", ["doctor_facility_id", "list_name"])
     for id_col, name_col in roles.items():
         df = lookup(df, providers, id_col, "doctor_facility_id", {"list_name": name_col}, how)

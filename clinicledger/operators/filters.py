@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinicledger.constants import VOID_MARKER
 from clinicledger.functions.dates import in_window, ts_lit
 from clinicledger.functions.text import contains_none
 
@@ -135,3 +136,16 @@ def collected_as_of(
     df: DataFrame, entry_col: str, check_col: str, closing: dt.datetime, cutoff: dt.date
 ) -> DataFrame:
     return df.filter(collected_as_of_predicate(entry_col, check_col, closing, cutoff))
+
+
+def exclude_void_visits(df: DataFrame, col: str, marker: str = VOID_MARKER) -> DataFrame:
+    """Drop visits whose description contains the void marker (``NOT LIKE``;
+    a NULL description drops too). Off in the reports: it removed valid
+    encounters, so it exists for callers that want it."""
+    return df.filter(~F.col(col).contains(F.lit(marker)))
+
+
+def adjustment_mismatches(df: DataFrame, diff_col: str = "adjustments_diff") -> DataFrame:
+    """Journal lines whose booked adjustments differ from those collected
+    (lines without collections have a NULL difference and are not listed)."""
+    return df.filter(F.col(diff_col) != 0)

@@ -4,13 +4,20 @@ Charge rows (one per procedure line) and payment rows (one per non-zero
 payment distribution) are staged in one typed ledger and rolled up per
 ticket, resource and procedure code.
 
-Plan shape: both branches end in a join with the per-visit attribute table
-on ``patient_visit_id``, so both come out hash-partitioned by visit; their
-union keeps that partitioning, and the pre-aggregation per visit and the
-resource fan-out join on visit need no further shuffle of the ledger. The
-pre-aggregation sits *below* the fan-out join (sums are additive, the fan-out
-depends on the visit only), so each ledger amount is joined once per
-visit-level group instead of once per ledger row.
+Two ways to the same rollup:
+
+* ``charge_rows`` / ``payment_rows`` / ``build_ledger`` / ``rollup_ledger``
+  stage the full ledger (every row carries its visit's attributes) and roll
+  it up - the staged ledger as an inspectable table.
+* ``encounter_rollup`` (what the report runs) aggregates first: line-level
+  amounts are summed per (visit, service time, code, qualifier) with
+  map-side partial aggregation, *then* joined once to a per-visit context
+  (attributes, filters, resource fan-out, labels), then rolled up. Sums are
+  additive and everything joined later is constant per visit, so this is
+  exact (encounter flags factor as ``place_ok ? sum(line flags) : 0``). A
+  visit holding a third of all rows is collapsed map-side before any
+  shuffle, and the single visit join leaves AQE free to split what skew is
+  left, since the next step shuffles on its own keys anyway.
 """
 
 from __future__ import annotations
@@ -42,10 +49,11 @@ from clinicledger.functions.dates import in_window, month_of
 from clinicledger.functions.money import (
     LEDGER_MONEY,
     clamp_unit,
-    encounter_flag,
     flat_rate_ins_adjustment,
     flat_rate_ins_allocation,
+    line_encounter,
     money,
+    place_flag,
     place_in,
     place_not_in,
 )
@@ -58,7 +66,7 @@ from clinicledger.operators.dims import (
     with_medlist,
     with_providers,
 )
-from clinicledger.operators.filters import date_type_column, exclude_test_patients, optional_in
+from clinicledger.operators.filters import date_type_column, exclude_keys, exclude_test_patients, optional_in
 from clinicledger.operators.resources import resource_label_by_visit, visit_resource_types
 from clinicledger.sources.tables import Tables
 
@@ -186,8 +194,9 @@ def _service_window(f: LedgerFilter, mode: str):
     return in_window("date_of_service_from", f.start, f.end, mode)
 
 
-def charge_rows(t: Tables, f: LedgerFilter) -> DataFrame:
-    """One ledger row per procedure line in the window.
+def charge_amounts(t: Tables, f: LedgerFilter) -> DataFrame:
+    """Line-level ledger amounts of charges: one row per procedure line in
+    the window with a batch and an aggregate row.
 
     Window: the date type's column with the raw (exclusive) end, and the
     service date with end + 1 day; for 'DOS' the tighter raw end wins.
@@ -200,33 +209,22 @@ def charge_rows(t: Tables, f: LedgerFilter) -> DataFrame:
     pvpa = t.patient_visit_procs_agg.select(
         "patient_visit_procs_id", "orig_ins_allocation", "orig_pat_allocation"
     )
-    rows = lines.join(pvpa, "patient_visit_procs_id").join(visit_attributes(t, f), "patient_visit_id")
-    zero = F.lit(0)
-    pos = F.col("pos_code")
-    qual, units, code = F.col("qualifier"), F.col("units"), F.col("code")
-    return to_ledger(
-        rows.select(
-            "patient_visit_id", "doctor_name", "facility_name", "company_name", "policy_type",
-            "insurance_carrier",
-            flat_rate_ins_allocation("cpt_code", "orig_ins_allocation").alias("ins_allocation"),
-            F.col("orig_pat_allocation").alias("pat_allocation"),
-            F.col("orig_pat_allocation").alias("pat_balance"),
-            F.col("orig_ins_allocation").alias("ins_balance"),
-            zero.alias("ins_payment"),
-            zero.alias("pat_payment"),
-            flat_rate_ins_adjustment("cpt_code", "orig_ins_allocation").alias("ins_adjustment"),
-            zero.alias("pat_adjustment"),
-            F.coalesce(code, F.lit(NO_CODE_LABEL)).alias("cpt_code"),
-            "ticket_number",
-            "date_of_service_from",
-            month_of("date_of_service_from").alias("month_of_service"),
-            encounter_flag(place_in(pos, OFFICE_POS), qual, units, code).alias("ov_encounter"),
-            encounter_flag(place_in(pos, INPATIENT_POS), qual, units, code).alias("inpatient_encounter"),
-            encounter_flag(place_not_in(pos, NOT_OTHER_POS), qual, units, code).alias("other_encounter"),
-            encounter_flag(place_in(pos, HOME_POS), qual, units, code).alias("home_encounter"),
-            "patient_id",
-            F.coalesce(qual, F.lit(NONE_LABEL)).alias("hcpc"),
-        )
+    rows = lines.join(pvpa, "patient_visit_procs_id")
+    zero = F.lit(0).cast(LEDGER_MONEY)
+    return rows.select(
+        "patient_visit_id",
+        "date_of_service_from",
+        F.coalesce(F.col("code"), F.lit(NO_CODE_LABEL)).alias("cpt_code"),
+        F.coalesce(F.col("qualifier"), F.lit(NONE_LABEL)).alias("hcpc"),
+        flat_rate_ins_allocation("cpt_code", "orig_ins_allocation").cast(LEDGER_MONEY).alias("ins_allocation"),
+        F.col("orig_pat_allocation").cast(LEDGER_MONEY).alias("pat_allocation"),
+        F.col("orig_pat_allocation").cast(LEDGER_MONEY).alias("pat_balance"),
+        F.col("orig_ins_allocation").cast(LEDGER_MONEY).alias("ins_balance"),
+        zero.alias("ins_payment"),
+        zero.alias("pat_payment"),
+        flat_rate_ins_adjustment("cpt_code", "orig_ins_allocation").cast(LEDGER_MONEY).alias("ins_adjustment"),
+        zero.alias("pat_adjustment"),
+        line_encounter("qualifier", "units", "code").alias("line_encounter"),
     )
 
 
@@ -251,10 +249,11 @@ def route_payments(source: str = "source", action: str = "action", amount: str =
     }
 
 
-def payment_rows(t: Tables, f: LedgerFilter) -> DataFrame:
-    """One ledger row per non-zero distribution on a procedure line served
-    in the window (raw end); a 'DOE' run also needs the payment entered in
-    the window. Visit attributes come from the visit transaction's visit.
+def payment_amounts(t: Tables, f: LedgerFilter) -> DataFrame:
+    """Line-level ledger amounts of payments: one row per non-zero
+    distribution on a procedure line served in the window (raw end); a 'DOE'
+    run also needs the payment entered in the window. The visit is the visit
+    transaction's visit.
 
     Joins start from the filtered procedure lines, the most selective side,
     and walk the payment chain distribution -> transaction -> visit
@@ -285,35 +284,67 @@ def payment_rows(t: Tables, f: LedgerFilter) -> DataFrame:
         .join(tr, "transactions_id")
         .join(vt, "visit_transactions_id")
         .join(pm, "payment_method_id")
-        .join(visit_attributes(t, f), "patient_visit_id")
     )
     routed = route_payments()
-    zero = F.lit(0)
+    zero = F.lit(0).cast(LEDGER_MONEY)
+    return rows.select(
+        "patient_visit_id",
+        "date_of_service_from",
+        F.coalesce(F.col("code"), F.lit(NO_CODE_LABEL)).alias("cpt_code"),
+        F.coalesce(F.col("qualifier"), F.lit(NONE_LABEL)).alias("hcpc"),
+        zero.alias("ins_allocation"),
+        zero.alias("pat_allocation"),
+        *[routed[c].cast(LEDGER_MONEY).alias(c) for c in
+          ("pat_balance", "ins_balance", "ins_payment", "pat_payment", "ins_adjustment", "pat_adjustment")],
+        F.lit(0).alias("line_encounter"),
+    )
+
+
+def place_flags(line_flag: str = "line_encounter", pos: str = "pos_code") -> dict:
+    """The four encounter flags from a (summed) line flag and the visit's
+    place of service. Place 50 counts as office and other, 12 as other and
+    home, a missing place as other."""
+    p = F.col(pos)
+    return {
+        "ov_encounter": place_flag(place_in(p, OFFICE_POS), line_flag),
+        "inpatient_encounter": place_flag(place_in(p, INPATIENT_POS), line_flag),
+        "other_encounter": place_flag(place_not_in(p, NOT_OTHER_POS), line_flag),
+        "home_encounter": place_flag(place_in(p, HOME_POS), line_flag),
+    }
+
+
+def _staged(amounts: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+    rows = amounts.join(visit_attributes(t, f), "patient_visit_id")
+    flags = place_flags()
     return to_ledger(
-        rows.select(
-            "patient_visit_id", "doctor_name", "facility_name", "company_name", "policy_type",
-            "insurance_carrier",
-            zero.alias("ins_allocation"),
-            zero.alias("pat_allocation"),
-            *[routed[c].alias(c) for c in
-              ("pat_balance", "ins_balance", "ins_payment", "pat_payment", "ins_adjustment", "pat_adjustment")],
-            F.coalesce(F.col("code"), F.lit(NO_CODE_LABEL)).alias("cpt_code"),
-            "ticket_number",
-            "date_of_service_from",
-            month_of("date_of_service_from").alias("month_of_service"),
-            zero.alias("ov_encounter"),
-            zero.alias("inpatient_encounter"),
-            zero.alias("other_encounter"),
-            zero.alias("home_encounter"),
-            "patient_id",
-            F.coalesce(F.col("qualifier"), F.lit(NONE_LABEL)).alias("hcpc"),
-        )
+        rows.withColumns({"month_of_service": month_of("date_of_service_from"), **flags})
+    )
+
+
+def charge_rows(t: Tables, f: LedgerFilter) -> DataFrame:
+    """Staged charge rows: one ledger row per procedure line in the window."""
+    return _staged(charge_amounts(t, f), t, f)
+
+
+def payment_rows(t: Tables, f: LedgerFilter) -> DataFrame:
+    """Staged payment rows: one ledger row per non-zero distribution."""
+    return _staged(payment_amounts(t, f), t, f)
+
+
+AMOUNT_KEYS = ["patient_visit_id", "date_of_service_from", "cpt_code", "hcpc"]
+
+
+def preaggregate_amounts(amounts: DataFrame) -> DataFrame:
+    """Sum line-level amounts per visit, service time, code and qualifier
+    (partial aggregation map-side, then one shuffle on these keys)."""
+    return amounts.groupBy(*AMOUNT_KEYS).agg(
+        *[F.sum(c).alias(c) for c in LEDGER_MONEY_COLUMNS],
+        F.sum("line_encounter").cast("bigint").alias("line_encounter"),
     )
 
 
 def preaggregate_ledger(ledger: DataFrame) -> DataFrame:
-    """Partial sums per visit and ledger key (exact: every later step is a
-    sum over rows that share the visit)."""
+    """Partial sums of staged ledger rows per visit and ledger key."""
     return ledger.groupBy("patient_visit_id", *LEDGER_KEYS).agg(
         *[F.sum(c).alias(c) for c in LEDGER_MONEY_COLUMNS],
         *[F.sum(c).cast("bigint").alias(c) for c in ENCOUNTER_COLUMNS],
@@ -327,24 +358,22 @@ REPORT_COLUMNS = [
     "pat_adjustment", "ov_encounter", "inpatient_encounter", "other_encounter", "home_encounter",
     "hcpc", "count_enc", "data_source",
 ]
+ROLLUP_KEYS = [*LEDGER_KEYS, "resource_label", "resource_type", "resource_id"]
 
 
-def rollup_ledger(ledger: DataFrame, t: Tables, resources: Sequence[int] | None = None) -> DataFrame:
-    """Sum the ledger per ticket, resource, type and procedure code.
-
-    Each ledger row counts once per (visit resource x provider type) of its
-    visit - the grouping keeps resource id and type apart, so report-wide
-    totals overcount on purpose. Encounter sums are clamped into [-1, 1]
-    (values -1, 0 and NULL pass) and added up as ``count_enc``. Grouping is
-    on the full service timestamp although only its date is shown.
-    """
-    pre = preaggregate_ledger(ledger)
+def resource_context(t: Tables, resources: Sequence[int] | None = None) -> DataFrame:
+    """``(patient_visit_id, resource_id, resource_type, resource_label)``:
+    the rollup's fan-out (one row per visit resource x provider type,
+    duplicates kept) with the visit's resource label."""
     fan = optional_in(visit_resource_types(t), "resource_id", resources)
-    expanded = pre.join(fan, "patient_visit_id").join(
-        resource_label_by_visit(t), "patient_visit_id", "left"
-    )
-    keys = [*LEDGER_KEYS, "resource_label", "resource_type", "resource_id"]
-    summed = expanded.groupBy(*keys).agg(
+    return fan.join(resource_label_by_visit(t), "patient_visit_id", "left")
+
+
+def _final_rollup(expanded: DataFrame) -> DataFrame:
+    """Group by the report keys, clamp the encounter sums, add count_enc.
+    Grouping is on the full service timestamp although only its date is
+    shown. Keeps ``company_name`` for the report order."""
+    summed = expanded.groupBy(*ROLLUP_KEYS).agg(
         *[F.sum(c).alias(c) for c in LEDGER_MONEY_COLUMNS],
         *[F.sum(c).alias(c) for c in ENCOUNTER_COLUMNS],
     )
@@ -371,3 +400,37 @@ def rollup_ledger(ledger: DataFrame, t: Tables, resources: Sequence[int] | None
         F.lit(DATA_SOURCE).alias("data_source"),
         "company_name",
     )
+
+
+def rollup_ledger(ledger: DataFrame, t: Tables, resources: Sequence[int] | None = None) -> DataFrame:
+    """Roll up a staged ledger per ticket, resource, type and procedure code.
+
+    Each ledger row counts once per (visit resource x provider type) of its
+    visit - the grouping keeps resource id and type apart, so report-wide
+    totals overcount on purpose. Encounter sums are clamped into [-1, 1]
+    (values -1, 0 and NULL pass) and added up as ``count_enc``. The ledger is
+    pre-aggregated per visit before the fan-out join.
+    """
+    pre = preaggregate_ledger(ledger)
+    return _final_rollup(pre.join(resource_context(t, resources), "patient_visit_id"))
+
+
+def encounter_rollup(
+    t: Tables,
+    f: LedgerFilter,
+    excluded_tickets: Sequence[str] | DataFrame = (),
+    resources: Sequence[int] | None = None,
+) -> DataFrame:
+    """The encounter rollup by eager aggregation (see the module docstring):
+    the same result as ``rollup_ledger(build_ledger(charge_rows, payment_rows))``
+    with the ticket exclusion applied."""
+    amounts = charge_amounts(t, f).unionByName(payment_amounts(t, f))
+    pre = preaggregate_amounts(amounts)
+    visits = visit_attributes(t, f)
+    if excluded_tickets is not None and (isinstance(excluded_tickets, DataFrame) or len(excluded_tickets)):
+        visits = exclude_keys(visits, "ticket_number", excluded_tickets)
+    context = visits.join(resource_context(t, resources), "patient_visit_id")
+    expanded = pre.join(context, "patient_visit_id").withColumns(
+        {"month_of_service": month_of("date_of_service_from"), **place_flags()}
+    )
+    return _final_rollup(expanded)

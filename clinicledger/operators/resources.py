@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicledger.constants import EXCLUDED_RESOURCE_SUBTYPES, MULTIPLE_LABEL, PROVIDER_TYPES
-from clinicledger.operators.dims import dim
+from clinicledger.operators.dims import broadcast_derived, dim
 from clinicledger.sources.tables import Tables
 
 
@@ -56,14 +56,18 @@ def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROV
 
 def provider_type_assignments(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES) -> DataFrame:
     """``(resource_id, resource_type_id, type_name)`` of provider-type
-    assignments (both tables are dimensions)."""
+    assignments. Both inputs are dimensions and type ids are unique, so the
+    result has at most as many rows as the assignments and is broadcast to
+    the (large) visit-resource side: a doctor with a huge number of visits is
+    never a hot shuffle key."""
     rta = dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"])
     types = dim(t, "med_lists", ["med_lists_id", "description"]).filter(
         F.col("description").isin(list(provider_types))
     )
-    return rta.join(types, rta.resource_type_id == types.med_lists_id).select(
+    out = rta.join(types, rta.resource_type_id == types.med_lists_id).select(
         "resource_id", "resource_type_id", F.col("description").alias("type_name")
     )
+    return broadcast_derived(out, t, "resource_type_assignments", "med_lists")
 
 
 def visit_resource_types(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES) -> DataFrame:
@@ -88,6 +92,7 @@ def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOU
     assignments = rta.join(types, rta.resource_type_id == types.med_lists_id).groupBy("resource_id").agg(
         F.count(F.lit(1)).alias("n_types")
     )
+    assignments = broadcast_derived(assignments, t, "resource_type_assignments", "med_lists")
     return (
         pvr.join(assignments, "resource_id")
         .groupBy("patient_visit_id")

@@ -24,6 +24,7 @@ from clinicledger.functions.classify import (
 )
 from clinicledger.functions.dates import in_window, month_of, rolling_months
 from clinicledger.functions.money import (
+    charge_columns,
     encounter_flag,
     money,
     place_in,
@@ -295,22 +296,21 @@ def q_collections(spark, sf_dir):
 
 def q_charge_math(spark, sf_dir):
     t = tables(spark, sf_dir)
-    df = reports.revenue_lines(t, REVENUE)
+    df = reports.revenue_lines(t, REVENUE).join(reports.revenue_visits(t, REVENUE, with_resources=False),
+                                                "patient_visit_id")
+    amounts = charge_columns()
     return df.select(
         "patient_visit_procs_id",
         F.to_date("date_of_service_from").alias("date_of_service"),
         month_of("date_of_service_from").alias("month_of_service"),
-        money(F.col("ins_allocation") + F.col("pat_allocation")).alias("charges"),
-        money(F.col("ins_adjustment") + F.col("pat_adjustment")).alias("adjustments"),
-        money((F.col("ins_allocation") - F.col("ins_adjustment"))
-              + (F.col("pat_allocation") - F.col("pat_adjustment"))).alias("net_charges"),
+        *[amounts[c].alias(c) for c in ("charges", "adjustments", "net_charges")],
     )
 
 
 def q_adjustment_check(spark, sf_dir):
     """Lines whose booked adjustments differ from those collected."""
     rj = reports.revenue_journal(tables(spark, sf_dir), dataclasses.replace(REVENUE, ordered=False))
-    return rj.filter(F.col("adjustments_diff") != 0).select(
+    return filters.adjustment_mismatches(rj).select(
         "ticket_number", "date_of_service", "cpt_code", "adjustments", "sum_adj_to_date",
         "adjustments_diff", "abs_adjustments_diff",
     )

@@ -21,21 +21,33 @@ from clinicledger.functions.classify import (
     resource_type_or_fallback,
     service_type,
 )
-from clinicledger.functions.dates import day_of, in_window, month_of, ts_lit
-from clinicledger.functions.money import money
-from clinicledger.operators.collections import collections
-from clinicledger.operators.dims import dim, lookup, with_medlist, with_providers
+from clinicledger.functions.dates import day_of, in_window, month_of
+from clinicledger.functions.money import adjustment_check_columns, charge_columns, money
+from clinicledger.operators.collections import collection_columns, collection_totals
+from clinicledger.operators.dims import bounded_broadcast, dim, lookup, with_medlist, with_providers
 from clinicledger.operators.filters import date_type_column, exclude_keys, optional_in
-from clinicledger.operators.ledger import REPORT_COLUMNS, build_ledger, charge_rows, payment_rows, rollup_ledger
-from clinicledger.operators.resources import resource_label_by_assignment
+from clinicledger.operators.ledger import (
+    REPORT_COLUMNS,
+    build_ledger,
+    charge_rows,
+    encounter_rollup,
+    payment_rows,
+)
+from clinicledger.operators.resources import resource_fanout, resource_label_by_assignment
 from clinicledger.plans.params import EncounterParams, RevenueParams
+from clinicledger.sources.sinks import with_report_date
 from clinicledger.sources.tables import Tables
 
 
 def visit_payments(t: Tables, patient_id: str = INCENTIVE_PATIENT_ID) -> DataFrame:
     """``(visit, ins_payment)``: insurance payments of one patient summed per
-    visit date. The patient filter reaches the profile scan."""
-    pp = t.patient_profile.filter(F.col("patient_id") == F.lit(patient_id)).select("patient_profile_id")
+    visit date. The patient filter reaches the profile scan; the matching
+    profiles (a business key: a handful of rows, checked) are broadcast, so
+    the patient's visits - possibly a large share of all - are never one
+    shuffle partition."""
+    pp = bounded_broadcast(
+        t.patient_profile.filter(F.col("patient_id") == F.lit(patient_id)).select("patient_profile_id")
+    )
     pva = t.patient_visit_agg.select("patient_visit_id", "patient_profile_id", "ins_payment")
     pv = t.patient_visit.select("patient_visit_id", "visit")
     return (
@@ -59,8 +71,7 @@ def encounter_report(t: Tables, p: EncounterParams = EncounterParams()) -> DataF
     Only the resource variant (``include_resource == 1``) has a definition;
     any other value yields an empty result of the same schema.
     """
-    ledger = exclude_keys(encounter_ledger(t, p), "ticket_number", p.excluded_tickets)
-    report = rollup_ledger(ledger, t, resources=p.resources)
+    report = encounter_rollup(t, p.ledger_filter(), p.excluded_tickets, p.resources)
     if p.include_resource != 1:
         report = report.filter(F.lit(False))
     if p.ordered:
@@ -79,52 +90,83 @@ REVENUE_COLUMNS = [
 
 
 def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
-    """Procedure lines of the revenue journal before classification: line
-    x aggregate x visit x doctor x facility x carrier (inner) x policy type
-    (left) x collections (left). The aggregate joins on visit and line."""
+    """Procedure lines in the report window (date type's column, end + 1
+    day) with their aggregate (joined on visit and line), collection totals
+    and the two line-level collection conditions (batch exists, service
+    date in the closed window)."""
     col = date_type_column(p.date_type, "date_of_service_from", "date_of_entry")
     window = in_window(col, p.start, p.end, "end_plus_day") if col else F.lit(False)
     pvp = t.patient_visit_procs.select(
-        "patient_visit_procs_id", "patient_visit_id", "cpt_code", "date_of_service_from", "date_of_entry"
+        "patient_visit_procs_id", "patient_visit_id", "batch_id", "cpt_code", "date_of_service_from",
+        "date_of_entry",
     ).filter(window)
-    pv = t.patient_visit.select(
-        "patient_visit_id", "ticket_number", "doctor_id", "facility_id", "primary_insurance_carriers_id",
-        "first_filed_date",
-    )
-    pv = optional_in(pv, "facility_id", p.facilities)
-    pv = optional_in(pv, "primary_insurance_carriers_id", p.carriers)
     pvpa = t.patient_visit_procs_agg.select(
         "patient_visit_procs_id", "patient_visit_id", "ins_allocation", "pat_allocation",
         "ins_adjustment", "pat_adjustment",
     )
-    lines = pvp.join(pv, "patient_visit_id").join(pvpa, ["patient_visit_id", "patient_visit_procs_id"])
-    lines = with_providers(lines, t, {"doctor_id": "doctor_name", "facility_id": "facility_name"})
-    carriers = dim(t, "insurance_carriers", ["insurance_carriers_id", "list_name", "policy_type_mid"])
-    lines = lookup(lines, carriers, "primary_insurance_carriers_id", "insurance_carriers_id",
-                   {"list_name": "carrier_name", "policy_type_mid": "policy_type_mid"}, how="inner")
-    lines = with_medlist(lines, t, "policy_type_mid", {"description": "policy_type_name"})
-    coll = collections(t, p.date_type, p.start, p.end, p.closing, p.cutoff, fanout=p.fanout)
-    return lines.join(coll.drop("cpt_code"), ["patient_visit_id", "patient_visit_procs_id"], "left")
+    # Payments only matter for lines served inside the closed window: a
+    # cheap pushed-down scan selects them for the payment chain.
+    between = in_window("date_of_service_from", p.start, p.end, "between")
+    totals = collection_totals(t, pvp.filter(between), p.closing, p.cutoff)
+    batches = dim(t, "batch", ["batch_id"]).select("batch_id", F.lit(True).alias("batch_ok"))
+    lines = (
+        pvp.join(pvpa, ["patient_visit_id", "patient_visit_procs_id"])
+        .join(totals, ["patient_visit_id", "patient_visit_procs_id"], "left")
+        .join(batches, "batch_id", "left")
+    )
+    return lines.withColumn("in_closed_window", between)
 
 
-def with_resource_rows(lines: DataFrame, t: Tables) -> DataFrame:
-    """Attach the visit's resource labels, each repeated once per visit
-    resource of the visit (as the report's second resource join does);
-    visits without labels keep one row with NULLs."""
+def resource_rows(t: Tables) -> DataFrame:
+    """The visit's resource labels, each repeated once per visit resource of
+    the visit (as the report's second resource join does)."""
     labels = resource_label_by_assignment(t)
     pvr = t.patient_visit_resource.select("patient_visit_id")
-    rows = labels.join(pvr, "patient_visit_id").select(
+    return labels.join(pvr, "patient_visit_id").select(
         "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type")
     )
-    return lines.join(rows, "patient_visit_id", "left")
+
+
+def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) -> DataFrame:
+    """Per-visit context of the journal: doctor and facility (inner),
+    carrier (inner) and policy type, whether the patient profile exists,
+    the collections fan-out, and the resource rows (several per visit; one
+    row with NULL labels for visits without)."""
+    pv = t.patient_visit.select(
+        "patient_visit_id", "patient_profile_id", "ticket_number", "doctor_id", "facility_id",
+        "primary_insurance_carriers_id", "first_filed_date",
+    )
+    pv = optional_in(pv, "facility_id", p.facilities)
+    pv = optional_in(pv, "primary_insurance_carriers_id", p.carriers)
+    pv = with_providers(pv, t, {"doctor_id": "doctor_name", "facility_id": "facility_name"})
+    carriers = dim(t, "insurance_carriers", ["insurance_carriers_id", "list_name", "policy_type_mid"])
+    pv = lookup(pv, carriers, "primary_insurance_carriers_id", "insurance_carriers_id",
+                {"list_name": "carrier_name", "policy_type_mid": "policy_type_mid"}, how="inner")
+    pv = with_medlist(pv, t, "policy_type_mid", {"description": "policy_type_name"})
+    profiles = t.patient_profile.select("patient_profile_id", F.lit(True).alias("profile_ok"))
+    pv = pv.join(profiles, "patient_profile_id", "left")
+    fan = resource_fanout(t)
+    if p.fanout == "distinct":
+        fan = fan.select("patient_visit_id", F.lit(1).cast("bigint").alias("fanout"))
+    elif p.fanout != "reference":
+        raise ValueError(f"unknown fanout {p.fanout!r}")
+    pv = pv.join(fan, "patient_visit_id", "left")
+    return pv.join(resource_rows(t), "patient_visit_id", "left") if with_resources else pv
 
 
 def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
     """Revenue journal entry report (26 columns)."""
-    lines = with_resource_rows(revenue_lines(t, p), t)
+    lines = revenue_lines(t, p).join(revenue_visits(t, p), "patient_visit_id")
+    # a line has collections when its batch exists, it was served in the
+    # closed window, its patient exists and its visit has counted resources
+    eligible = (
+        F.col("batch_ok").isNotNull() & F.col("in_closed_window")
+        & F.col("profile_ok").isNotNull() & F.col("fanout").isNotNull()
+    )
+    lines = lines.withColumns(collection_columns(eligible, F.col("fanout")))
     charges = F.col("ins_allocation") + F.col("pat_allocation")
-    adjustments = F.col("ins_adjustment") + F.col("pat_adjustment")
-    collected_adj = F.col("collectable_adjustments") + F.col("non_collectable_adjustments")
+    amounts = charge_columns()
+    checks = adjustment_check_columns(F.col("ins_adjustment") + F.col("pat_adjustment"))
     out = lines.select(
         "ticket_number",
         day_of("date_of_service_from").alias("date_of_service"),
@@ -140,21 +182,17 @@ def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
         broad_payer_type("policy_type_mid").alias("broad_payer_type"),
         effective_rate("date_of_service_from", p.rates).alias("pps_rate"),
         "cpt_code",
-        money(charges).alias("charges"),
-        money(adjustments).alias("adjustments"),
-        money((F.col("ins_allocation") - F.col("ins_adjustment")) + (F.col("pat_allocation") - F.col("pat_adjustment"))).alias("net_charges"),
+        *[amounts[c].alias(c) for c in ("charges", "adjustments", "net_charges")],
         day_of("first_filed_date").alias("first_filed_date"),
         day_of("date_of_entry").alias("date_of_entry"),
         money("payments").alias("payments_to_date"),
-        money(F.coalesce(F.col("collectable_adjustments"), F.lit(0))).alias("collectable_adjustments_to_date"),
-        money(F.coalesce(F.col("non_collectable_adjustments"), F.lit(0))).alias("non_collectable_adjustments_to_date"),
-        money(collected_adj).alias("sum_adj_to_date"),
-        money(adjustments - collected_adj).alias("adjustments_diff"),
-        money(F.abs(adjustments - collected_adj)).alias("abs_adjustments_diff"),
-        ts_lit(p.report_date).alias("report_date"),
+        *[checks[c].alias(c) for c in (
+            "collectable_adjustments_to_date", "non_collectable_adjustments_to_date", "sum_adj_to_date",
+            "adjustments_diff", "abs_adjustments_diff")],
         "date_of_service_from",
         "patient_visit_id",
     )
+    out = with_report_date(out, p.report_date)
     if p.ordered:
         out = out.orderBy("date_of_service_from", "patient_visit_id")
     return out.select(*REVENUE_COLUMNS)

@@ -13,6 +13,9 @@ _BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join partition even where a later operator needs the join's
+    # partitioning (AQE then adds the shuffle it takes)
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Joins keyed (visit, procedure) may reuse a partitioning on visit alone.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",

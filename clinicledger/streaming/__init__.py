@@ -1,0 +1,14 @@
+"""Streaming: intentionally empty.
+
+The three reports are batch reports over tables that are static while a
+report runs: no stream, watermark, event-time window or stateful operator
+appears in them. The only time-related rule - payments entered after an
+accounting close still count when their check is dated before it, or when
+they are entered before the cut-off date - is a batch predicate
+(``operators.filters.collected_as_of``), not late-data handling.
+
+Nothing is built here so as not to invent behaviour the reports do not have.
+The operators are plain DataFrame functions, so they also apply to a
+streaming DataFrame (stream-static joins against the dimension tables)
+should a caller need that.
+"""

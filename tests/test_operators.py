@@ -221,3 +221,27 @@ def test_pivot_payments_routes_six_ways(make_tables):
             out.non_collectable_insurance_adjustment, out.collectable_patient_adjustment,
             out.non_collectable_patient_adjustment) == (
         Dec("30.00"), Dec("20.00"), Dec("5.00"), Dec("0.00"), Dec("0.00"), Dec("3.00"))
+
+
+# --- sinks and optional filters ---------------------------------------------------
+
+def test_write_report_partitions_by_month(spark, tmp_path, fixture_tables_small):
+    from clinicledger.plans import reports
+    from clinicledger.plans.registry import REVENUE
+    from clinicledger.sources import sinks
+    import dataclasses
+
+    rep = reports.revenue_journal(fixture_tables_small, dataclasses.replace(REVENUE, ordered=False))
+    out = str(tmp_path / "journal")
+    sinks.write_report(rep, out, sort_by=("date_of_service", "ticket_number"))
+    back = sinks.read_report(spark, out)
+    assert back.count() == rep.count()
+    months = {r[0] for r in back.select("month_of_service").distinct().collect()}
+    assert months and all(len(m) == 7 for m in months)
+    pruned = back.filter(sinks.month_partition_filter(dt.date(1997, 2, 1), dt.date(1997, 3, 31)))
+    assert "PartitionFilters" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_void_visits_filter(spark):
+    df = spark.createDataFrame([(1, "Office visit"), (2, "*VOID* visit"), (3, None)], "id int, d string")
+    assert rows(filters.exclude_void_visits(df, "d"), "id") == [(1,)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from clinicledger.operators import ledger
 from clinicledger.plans import reports
 from clinicledger.plans.registry import ENCOUNTER, REVENUE
 from clinicledger.sources.tables import assert_unique_keys
@@ -34,11 +35,7 @@ def test_fixture_keys_unique(fixture_tables_small):
 def test_encounter_report_order(fixture_tables_small):
     # O2: company, facility, ticket (company is not an output column)
     rep = reports.encounter_report(fixture_tables_small, ENCOUNTER)
-    full = reports.rollup_ledger(
-        reports.exclude_keys(reports.encounter_ledger(fixture_tables_small, ENCOUNTER), "ticket_number",
-                             ENCOUNTER.excluded_tickets),
-        fixture_tables_small,
-    )
+    full = ledger.encounter_rollup(fixture_tables_small, ENCOUNTER.ledger_filter(), ENCOUNTER.excluded_tickets)
     keys = [(r.company_name, r.facility_name, r.ticket_number) for r in
             full.orderBy("company_name", "facility_name", "ticket_number").collect()]
     got = [(r.facility_name, r.ticket_number) for r in rep.collect()]
@@ -78,6 +75,17 @@ def test_encounter_ledger_is_not_reshuffled_after_union(spark):
     assert "HashAggregate" in above and "Exchange" not in above
 
 
+def test_encounter_amounts_aggregate_before_shuffling(spark):
+    """Eager aggregation: line amounts are combined map-side (partial
+    aggregate) before the one shuffle on the amount keys, and the report's
+    visit join happens after it."""
+    plan = _plan(entry.queries()["encounter_report"](spark, SMOKE_DIR))
+    lines = plan.splitlines()
+    ex = next(i for i, line in enumerate(lines)
+              if "Exchange hashpartitioning(patient_visit_id" in line and "cpt_code" in line and "hcpc" in line)
+    assert "HashAggregate" in lines[ex + 1] and "partial_sum" in lines[ex + 1]
+
+
 def test_date_window_reaches_the_scan(spark):
     plan = _plan(entry.queries()["date_window_dos"](spark, SMOKE_DIR))
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
