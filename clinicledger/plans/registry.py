@@ -51,6 +51,20 @@ REVENUE = RevenueParams.rolling(
     cutoff=dt.date(1997, 12, 31),
     rates=RateSchedule().shifted(-20),
 )
+REVENUE_DOE = dataclasses.replace(REVENUE, date_type="DOE")
+# variants with every optional list set (values chosen to cut each dimension)
+ENCOUNTER_FILTERED = dataclasses.replace(
+    ENCOUNTER,
+    doctors=(0, 2, 3, 5, 7, 9),
+    facilities=tuple(1000000 + k for k in range(0, 25, 2)),
+    companies=(2000000, 2000001, 2000003, 2000004),
+    carriers=tuple(range(1, 25, 3)),
+    batches=tuple(range(5, 45)),
+    resources=(0, 1, 2, 4, 6, 7, 9),
+)
+REVENUE_FILTERED = dataclasses.replace(
+    REVENUE, facilities=tuple(1000000 + k for k in (1, 4, 9, 16, 21)), carriers=tuple(range(0, 25, 2))
+)
 INCENTIVE_PATIENT = "48"
 OPTIONAL_DOCTORS = (1, 3, 5)
 OPTIONAL_FACILITIES = (1000002, 1000007, 1000011, 1000019)
@@ -91,6 +105,18 @@ def q_revenue_journal(spark, sf_dir):
     return reports.revenue_journal(tables(spark, sf_dir), REVENUE)
 
 
+def q_revenue_journal_doe(spark, sf_dir):
+    return reports.revenue_journal(tables(spark, sf_dir), REVENUE_DOE)
+
+
+def q_revenue_journal_filtered(spark, sf_dir):
+    return reports.revenue_journal(tables(spark, sf_dir), REVENUE_FILTERED)
+
+
+def q_encounter_report_filtered(spark, sf_dir):
+    return reports.encounter_report(tables(spark, sf_dir), ENCOUNTER_FILTERED)
+
+
 # --- filters -----------------------------------------------------------------
 
 def _lines(t: Tables) -> DataFrame:
@@ -358,4 +384,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjustment_check": q_adjustment_check,
     "payer_and_service_class": q_payer_and_service_class,
     "revenue_journal": q_revenue_journal,
+    "revenue_journal_doe": q_revenue_journal_doe,
+    "revenue_journal_filtered": q_revenue_journal_filtered,
+    "encounter_report_filtered": q_encounter_report_filtered,
 }
