@@ -372,7 +372,9 @@ def resource_context(t: Tables, resources: Sequence[int] | None = None) -> DataF
 def _final_rollup(expanded: DataFrame) -> DataFrame:
     """Group by the report keys, clamp the encounter sums, add count_enc.
     Grouping is on the full service timestamp although only its date is
-    shown. Keeps ``company_name`` for the report order."""
+    shown. Keeps the group keys that are not output columns
+    (``company_name``, ``date_of_service_from``, ``resource_id``) for the
+    report order."""
     summed = expanded.groupBy(*ROLLUP_KEYS).agg(
         *[F.sum(c).alias(c) for c in LEDGER_MONEY_COLUMNS],
         *[F.sum(c).alias(c) for c in ENCOUNTER_COLUMNS],
@@ -399,6 +401,8 @@ def _final_rollup(expanded: DataFrame) -> DataFrame:
         count_enc.alias("count_enc"),
         F.lit(DATA_SOURCE).alias("data_source"),
         "company_name",
+        "date_of_service_from",
+        "resource_id",
     )
 
 

@@ -16,13 +16,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinicledger.constants import EXCLUDED_TICKETS, TEST_PATIENT_MARKERS
-from clinicledger.functions.classify import (
-    RateSchedule,
-    broad_payer_type,
-    effective_rate,
+from clinicledger.constants import (
+    EXCLUDED_TICKETS,
+    HOME_POS,
+    INPATIENT_POS,
+    NONE_LABEL,
+    NOT_OTHER_POS,
+    OFFICE_POS,
+    TEST_PATIENT_MARKERS,
+    UNKNOWN_LABEL,
 )
-from clinicledger.functions.dates import in_window, month_of, rolling_months
+from clinicledger.functions.classify import RateSchedule, effective_rate
+from clinicledger.functions.dates import month_of, rolling_months
 from clinicledger.functions.money import (
     charge_columns,
     encounter_flag,
@@ -30,7 +35,6 @@ from clinicledger.functions.money import (
     place_in,
     place_not_in,
 )
-from clinicledger.constants import HOME_POS, INPATIENT_POS, NOT_OTHER_POS, OFFICE_POS, UNKNOWN_LABEL, NONE_LABEL
 from clinicledger.operators import collections as coll
 from clinicledger.operators import dims, filters, ledger, resources
 from clinicledger.plans import reports

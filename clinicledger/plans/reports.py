@@ -25,7 +25,7 @@ from clinicledger.functions.dates import day_of, in_window, month_of
 from clinicledger.functions.money import adjustment_check_columns, charge_columns, money
 from clinicledger.operators.collections import collection_columns, collection_totals
 from clinicledger.operators.dims import bounded_broadcast, dim, lookup, with_medlist, with_providers
-from clinicledger.operators.filters import date_type_column, exclude_keys, optional_in
+from clinicledger.operators.filters import date_type_column, optional_in
 from clinicledger.operators.ledger import (
     REPORT_COLUMNS,
     build_ledger,
@@ -75,10 +75,19 @@ def encounter_report(t: Tables, p: EncounterParams = EncounterParams()) -> DataF
     if p.include_resource != 1:
         report = report.filter(F.lit(False))
     if p.ordered:
-        report = report.orderBy("company_name", "facility_name", "ticket_number")
+        # the report's order, then the remaining group keys: the result order
+        # is still the report's, and a company or facility holding a large
+        # share of the rows spreads over many range partitions
+        report = report.orderBy("company_name", "facility_name", "ticket_number", *ORDER_TIE_BREAK)
     return report.select(*REPORT_COLUMNS)
 
 
+# the remaining group keys of the rollup: together with the report's order
+# they make the sort key unique per output row
+ORDER_TIE_BREAK = ("date_of_service_from", "cpt_code", "hcpc", "resource", "resource_type", "resource_id",
+                   "doctor_name", "patient_id", "policy_type", "insurance_carrier")
+
+
 REVENUE_COLUMNS = [
     "ticket_number", "date_of_service", "month_of_service", "doctor_name", "resource",
     "provider_initials", "resource_type", "facility_name", "service_type", "policy_type",
@@ -191,8 +200,11 @@ def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
             "adjustments_diff", "abs_adjustments_diff")],
         "date_of_service_from",
         "patient_visit_id",
+        "patient_visit_procs_id",
     )
     out = with_report_date(out, p.report_date)
     if p.ordered:
-        out = out.orderBy("date_of_service_from", "patient_visit_id")
+        # service time and visit as in the report; the line id only breaks
+        # ties so that a hot visit spreads over range partitions
+        out = out.orderBy("date_of_service_from", "patient_visit_id", "patient_visit_procs_id")
     return out.select(*REVENUE_COLUMNS)
