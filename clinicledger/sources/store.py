@@ -1,10 +1,25 @@
-"""Writing billing tables in a layout that suits the reports, and keeping a
-derived copy in the cluster's shared checkpoint folder.
+"""Storage layout of the billing tables, and a stored copy of derived tables
+in the cluster's shared checkpoint folder.
 
-Layout: fact tables the reports filter by date are range-partitioned and
-sorted on that date when written, so each file and row group covers a
-narrow date range and Parquet min/max statistics let the scan skip the rest
-of the history. Everything else is written as is.
+Layout ("bucket by the key a table is probed on"): every fact table is
+bucketed on the key the reports join it by, all with the same bucket
+count, so each join of the visit -> procedure line -> payment chain
+shuffles only its small, already filtered side and reads the big table in
+place:
+
+* procedure lines, their aggregates and payment distributions by the line
+  id (the window's lines meet their aggregates and distributions without
+  any shuffle);
+* transactions, visit transactions, payment methods by their own ids (the
+  window's distributions walk the chain, the tables stay put);
+* visits, visit aggregates and visit resources by visit, profiles by
+  profile.
+
+Within a bucket, tables the reports filter by date are sorted on that date,
+so Parquet min/max statistics skip row groups outside the window.
+Bucketed tables are registered in the session catalog over their files
+(re-registered from the files in a new session); dimensions are plain
+Parquet.
 """
 
 from __future__ import annotations
@@ -12,17 +27,23 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from clinicledger.session import ensure_checkpoint_dir
-from clinicledger.sources.tables import Tables, load_tables
-
-# Per-table write order: the column the report windows filter on, then the
-# table's key, so a date holding a large share of the rows still spreads
-# over many range partitions (equal sort keys cannot be split).
-SORT_KEYS: dict[str, tuple[str, ...]] = {
-    "patient_visit_procs": ("date_of_service_from", "patient_visit_procs_id"),
-    "payment_method": ("date_of_entry", "payment_method_id"),
+from clinicledger.sources.tables import TABLE_SCHEMAS, Tables
+
+# table -> (bucket key, sort columns within a bucket)
+BUCKETS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "patient_visit_procs": ("patient_visit_procs_id", ("date_of_service_from",)),
+    "patient_visit_procs_agg": ("patient_visit_procs_id", ()),
+    "transaction_distributions": ("patient_visit_procs_id", ()),
+    "transactions": ("transactions_id", ()),
+    "visit_transactions": ("visit_transactions_id", ()),
+    "payment_method": ("payment_method_id", ("date_of_entry",)),
+    "patient_visit": ("patient_visit_id", ()),
+    "patient_visit_agg": ("patient_visit_id", ()),
+    "patient_visit_resource": ("patient_visit_id", ()),
+    "patient_profile": ("patient_profile_id", ()),
 }
 
 
@@ -32,31 +53,88 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def save_tables(tables: Tables, base_dir: str, mode: str = "overwrite", only_missing: bool = False) -> None:
-    """Write every table to ``{base_dir}/{table}`` (Parquet) in the report
-    layout. With ``only_missing``, tables already committed (``_SUCCESS``
-    present) are kept, so an interrupted copy resumes where it stopped."""
+def default_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _table_name(prefix: str, name: str) -> str:
+    return f"{prefix}_{name}"
+
+
+def _register(spark: SparkSession, table: str, name: str, path: str, buckets: int) -> None:
+    """(Re)register bucketed files as a catalog table (metadata only)."""
+    key, sort = BUCKETS[name]
+    sorted_by = f" SORTED BY ({', '.join(sort)})" if sort else ""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(
+        f"CREATE TABLE {table} ({TABLE_SCHEMAS[name]}) USING parquet "
+        f"CLUSTERED BY ({key}){sorted_by} INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+
+
+def _write(df: DataFrame, name: str, path: str, table: str, buckets: int, mode: str) -> None:
+    if name in BUCKETS:
+        key, sort = BUCKETS[name]
+        # one task per bucket writes one file per bucket (no tasks x buckets
+        # file explosion); within the file rows are sorted for skipping
+        writer = df.repartition(buckets, key).write.mode(mode).format("parquet").option("path", path)
+        writer = writer.bucketBy(buckets, key)
+        if sort:
+            writer = writer.sortBy(*sort)
+        spark = df.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        writer.saveAsTable(table)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
+def save_tables(
+    tables: Tables,
+    base_dir: str,
+    prefix: str,
+    buckets: int | None = None,
+    mode: str = "overwrite",
+    only_missing: bool = False,
+) -> None:
+    """Write every table under ``{base_dir}/{table}`` in the report layout.
+    With ``only_missing``, tables already committed (``_SUCCESS`` present)
+    are kept, so an interrupted copy resumes where it stopped."""
     spark = tables.spark
+    buckets = buckets or default_buckets(spark)
     for name in Tables.names():
         target = f"{base_dir}/{name}"
+        table = _table_name(prefix, name)
         if only_missing and _path_exists(spark, f"{target}/_SUCCESS"):
+            if name in BUCKETS and not spark.catalog.tableExists(table):
+                _register(spark, table, name, target, buckets)
             continue
-        df = tables.table(name)
-        keys = SORT_KEYS.get(name)
-        if keys:
-            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        df.write.mode(mode).parquet(target)
+        _write(tables.table(name), name, target, table, buckets, mode)
+
+
+def load_stored(spark: SparkSession, base_dir: str, prefix: str) -> Tables:
+    """Read a stored copy: bucketed tables through the catalog (so Spark
+    knows their partitioning), the rest as Parquet with declared schemas."""
+    frames = {}
+    for name in Tables.names():
+        if name in BUCKETS:
+            frames[name] = spark.table(_table_name(prefix, name))
+        else:
+            frames[name] = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{base_dir}/{name}")
+    return Tables(**frames)
 
 
-def stored_copy(spark: SparkSession, tables: Tables, tag: str) -> Tables:
+def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | None = None) -> Tables:
     """Tables read back from a copy under ``spark.checkpoint.dir``; the copy
     is written on first use (per ``tag``) and reused afterwards. This cuts
-    the lineage of derived tables: reports read plain Parquet, and a lost
-    executor recomputes nothing before the copy."""
+    the lineage of derived tables: reports read stored, co-located tables,
+    and a lost executor recomputes nothing before the copy."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    base = f"{root}/clinicledger-tables/{hashlib.sha1(tag.encode()).hexdigest()[:16]}"
-    save_tables(tables, base, only_missing=True)
-    return load_tables(spark, base)
+    digest = hashlib.sha1(tag.encode()).hexdigest()[:16]
+    buckets = buckets or default_buckets(spark)
+    base = f"{root}/clinicledger-tables/{digest}-b{buckets}"
+    prefix = f"clinicledger_{digest}_b{buckets}"
+    save_tables(tables, base, prefix, buckets, only_missing=True)
+    return load_stored(spark, base, prefix)
 
 
 def materialize_enabled() -> bool:
