@@ -103,3 +103,49 @@ def test_matches_oracle_sf0001(spark, duck, name):
     res = compare(df, duck, entry.oracle_sql()[name])
     assert res["columns_match"], res
     assert res["rows_match"] and res["values_match"], res
+
+
+def _path_to_join(plan: str, table: str) -> list[list[str]]:
+    """For each scan of ``table``: the operators between it and its nearest
+    join (walking up the printed tree by indentation)."""
+    lines = plan.splitlines()
+
+    def depth(line: str) -> int:
+        m = line.find("+-")
+        return m if m >= 0 else len(line) - len(line.lstrip(" :"))
+
+    paths = []
+    for i, line in enumerate(lines):
+        if "FileScan" in line and table in line:
+            d, path = depth(line), []
+            for up in range(i - 1, -1, -1):
+                if depth(lines[up]) < d:
+                    d = depth(lines[up])
+                    node = lines[up].strip(" :+-")
+                    path.append(node.split(" ")[0])
+                    if "Join" in node:
+                        break
+            paths.append(path)
+    return paths
+
+
+@pytest.mark.parametrize("name,table", [
+    ("encounter_report", "transaction_distributions"),
+    ("encounter_report", "patient_visit_procs_agg"),
+    ("revenue_journal", "transaction_distributions"),
+    ("revenue_journal", "patient_visit_procs_agg"),
+])
+def test_cluster_plan_reads_big_facts_in_place(spark, name, table):
+    """With size-based broadcast of facts off (as at cluster scale), the
+    bucketed layout lets the big fact tables meet their join partners
+    without being shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(entry.queries()[name](spark, SMOKE_DIR))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    paths = _path_to_join(plan, table)
+    assert paths, f"no scan of {table}"
+    for path in paths:
+        assert path and "Join" in path[-1], path
+        assert not any(p.startswith("Exchange") for p in path), path
