@@ -73,7 +73,7 @@ INCENTIVE_PATIENT = "48"
 OPTIONAL_DOCTORS = (1, 3, 5)
 OPTIONAL_FACILITIES = (1000002, 1000007, 1000011, 1000019)
 
-_TABLES: dict[tuple[int, str], Tables] = {}
+_TABLES: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -84,7 +84,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     query on the lazy mapping instead); the reports then read stored tables,
     as they do in production.
     """
-    key = (id(spark), os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _TABLES:
         mapped = fixture_tables(spark, sf_dir)
         _TABLES[key] = stored_copy(spark, mapped, key[1]) if materialize_enabled() else mapped
