@@ -39,8 +39,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
 def dim(t: Tables, name: str, columns: Sequence[str], max_rows: int = DIM_MAX_ROWS) -> DataFrame:
     """Columns of dimension table ``name``, broadcast when its size check
     passes (memoised on ``t``)."""
-    df = t.table(name).select(*columns)
-    return F.broadcast(df) if dims_checked(t, name, max_rows=max_rows) else df
+    def build():
+        df = t.table(name).select(*columns)
+        return F.broadcast(df) if dims_checked(t, name, max_rows=max_rows) else df
+
+    return t.memo(("dim", name, tuple(columns), max_rows), build)
 
 
 def dims_checked(t: Tables, *names: str, max_rows: int = DIM_MAX_ROWS) -> bool:

@@ -26,6 +26,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, bool) or v is None:
+        raise TypeError(f"unsupported IN-list value {v!r}")
+    return repr(v)
+
+
+def in_list(col: str, values: Sequence) -> Column:
+    """``col IN (values)`` built as one SQL expression: a long literal list
+    reaches the JVM in one call instead of one call per value (Catalyst
+    turns it into the same hashed IN-set)."""
+    if not values:
+        return F.lit(False)
+    return F.expr(f"`{col}` IN ({', '.join(_sql_literal(v) for v in values)})")
+
+
 def date_type_column(date_type: str, service_col: str, entry_col: str) -> str | None:
     """Column a 'DOS' (date of service) or 'DOE' (date of entry) run filters
     on; any other value selects nothing, as in the reports."""
@@ -62,7 +79,7 @@ def optional_in(df: DataFrame, col: str, values: Sequence | None) -> DataFrame:
         return df
     values = list(values)
     if len(values) <= INLINE_LIST_MAX:
-        return df.filter(F.col(col).isin(values))
+        return df.filter(in_list(col, values))
     return df.join(_values_frame(df, values, col), F.col(col) == F.col("v"), "left_semi")
 
 
@@ -80,7 +97,7 @@ def exclude_keys(df: DataFrame, col: str, excluded: Sequence | DataFrame) -> Dat
         return df.filter(key.isNotNull()).join(keys, key == F.col("_excluded_key"), "left_anti")
     values = list(excluded)
     if len(values) <= INLINE_LIST_MAX:
-        return df.filter(~key.isin(values))
+        return df.filter(~in_list(col, values))
     keys = _values_frame(df, values, col)
     return df.filter(key.isNotNull()).join(keys, key == F.col("v"), "left_anti")
 

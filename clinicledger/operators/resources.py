@@ -29,6 +29,10 @@ def _label(name_col: str) -> F.Column:
 def resource_label_by_visit(t: Tables) -> DataFrame:
     """``(patient_visit_id, resource_label)``: the resource's name, or
     '(Multiple)' when the visit has more than one resource."""
+    return t.memo(("resource_label_by_visit",), lambda: _label_by_visit(t))
+
+
+def _label_by_visit(t: Tables) -> DataFrame:
     pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name"])
     return (
@@ -43,6 +47,11 @@ def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROV
     resource_type)`` per visit resource restricted to provider types:
     '(Multiple)' when the resource has more than one such type assignment,
     and the greatest type name."""
+    return t.memo(("resource_label_by_assignment", tuple(provider_types)),
+                  lambda: _label_by_assignment(t, provider_types))
+
+
+def _label_by_assignment(t: Tables, provider_types: Sequence[str]) -> DataFrame:
     pvr = t.patient_visit_resource.select("patient_visit_id", "patient_visit_resource_id", "resource_id")
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name", "dot_id"])
     provider_types_of = provider_type_assignments(t, provider_types)
@@ -74,6 +83,10 @@ def visit_resource_types(t: Tables, provider_types: Sequence[str] = PROVIDER_TYP
     """``(patient_visit_id, resource_id, resource_type)``: one row per visit
     resource and provider-type assignment (the fan-out of the encounter
     rollup; duplicates are kept on purpose)."""
+    return t.memo(("visit_resource_types", tuple(provider_types)), lambda: _visit_resource_types(t, provider_types))
+
+
+def _visit_resource_types(t: Tables, provider_types: Sequence[str]) -> DataFrame:
     pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
     return pvr.join(provider_type_assignments(t, provider_types), "resource_id").select(
         "patient_visit_id", "resource_id", F.col("type_name").alias("resource_type")
@@ -84,6 +97,10 @@ def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOU
     """``(patient_visit_id, fanout)``: number of (visit resource x type
     assignment) rows of a visit whose type exists and is not excluded.
     Collections sum each payment once per such row."""
+    return t.memo(("resource_fanout", tuple(excluded_subtypes)), lambda: _resource_fanout(t, excluded_subtypes))
+
+
+def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int]) -> DataFrame:
     pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
     rta = dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"]).filter(
         ~F.col("resource_type_id").isin(list(excluded_subtypes))

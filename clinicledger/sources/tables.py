@@ -103,6 +103,8 @@ class Tables:
     transaction_distributions: DataFrame
     # memo of dimension size checks, see operators.dims.dim
     _checked: dict = field(default_factory=dict, compare=False, repr=False)
+    # memo of parameter-free plan fragments (lazy DataFrames, not data)
+    _plans: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def names(cls) -> list[str]:
@@ -115,6 +117,14 @@ class Tables:
     def spark(self) -> SparkSession:
         return self.patient_visit.sparkSession
 
+    def memo(self, key, build):
+        """Build a parameter-free plan fragment once per ``Tables`` and reuse
+        the same (lazy) DataFrame: saves re-building and re-analysing it in
+        every report; each action still runs the whole plan."""
+        if key not in self._plans:
+            self._plans[key] = build()
+        return self._plans[key]
+
 
 def schema_of(spark: SparkSession, name: str):
     """Declared schema of table ``name`` as a StructType."""
