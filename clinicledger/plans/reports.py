@@ -127,15 +127,29 @@ def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
 
 
 def resource_rows(t: Tables) -> DataFrame:
-    """The visit's resource labels, each repeated once per visit resource of
-    the visit (as the report's second resource join does)."""
+    """The visit's resource labels (one per visit resource with provider
+    types), each with ``resource_copies``: the number of visit resources of
+    the visit. The report joins the visit resources a second time, which
+    repeats every label row that many times; the copies are generated from
+    this count at the end (``with_resource_copies``) instead of a join that
+    pairs the visit's resources with each other."""
     labels = resource_label_by_assignment(t)
-    pvr = t.patient_visit_resource.select("patient_visit_id")
-    return labels.join(pvr, "patient_visit_id").select(
-        "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type")
+    copies = t.memo(("visit_resource_count",), lambda: (
+        t.patient_visit_resource.groupBy("patient_visit_id").agg(F.count(F.lit(1)).alias("resource_copies"))
+    ))
+    return labels.join(copies, "patient_visit_id").select(
+        "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type"),
+        "resource_copies",
     )
 
 
+def with_resource_copies(df: DataFrame) -> DataFrame:
+    """Repeat each row ``resource_copies`` times (once when NULL: a visit
+    without labels keeps one row)."""
+    n = F.coalesce(F.col("resource_copies"), F.lit(1)).cast("int")
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).drop("_copy", "resource_copies")
+
+
 def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) -> DataFrame:
     """Per-visit context of the journal: doctor and facility (inner),
     carrier (inner) and policy type, whether the patient profile exists,
@@ -172,7 +186,7 @@ def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
         F.col("batch_ok").isNotNull() & F.col("in_closed_window")
         & F.col("profile_ok").isNotNull() & F.col("fanout").isNotNull()
     )
-    lines = lines.withColumns(collection_columns(eligible, F.col("fanout")))
+    lines = with_resource_copies(lines.withColumns(collection_columns(eligible, F.col("fanout"))))
     charges = F.col("ins_allocation") + F.col("pat_allocation")
     amounts = charge_columns()
     checks = adjustment_check_columns(F.col("ins_adjustment") + F.col("pat_adjustment"))
