@@ -45,6 +45,9 @@ def get_spark(
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
+        # one host: bucketed scans' preferred locations never match the local
+        # executor, so waiting for locality only delays tasks
+        conf.setdefault("spark.locality.wait", "0")
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
