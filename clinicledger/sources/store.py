@@ -10,16 +10,23 @@ place:
 * procedure lines, their aggregates and payment distributions by the line
   id (the window's lines meet their aggregates and distributions without
   any shuffle);
-* transactions, visit transactions, payment methods by their own ids (the
-  window's distributions walk the chain, the tables stay put);
-* visits, visit aggregates and visit resources by visit, profiles by
-  profile.
-
-Within a bucket, tables the reports filter by date are sorted on that date,
-so Parquet min/max statistics skip row groups outside the window.
-Bucketed tables are registered in the session catalog over their files
-(re-registered from the files in a new session); dimensions are plain
-Parquet.
+* transactions and visit transactions by their own ids (the window's
+  distributions walk the chain, the tables stay put);
+* visits, visit aggregates and visit resources by visit.
+
+Bucketing is used only where the probing side cannot pile up on one key
+(line, transaction and visit ids are near-unique there). Payment methods
+and patient profiles are *not* bucketed: one check can cover a large share
+of all visit transactions, and one (pseudo-)patient a large share of all
+visits. Joined as shuffle joins on both sides, such a hot key is split by
+AQE's skew join, which needs a shuffle on both sides and cannot split a
+bucket read in place.
+
+Tables the reports filter by date are sorted on that date (within each
+bucket, or range-partitioned on date then key), so Parquet min/max
+statistics skip row groups outside the window. Bucketed tables are
+registered in the session catalog over their files (re-registered from the
+files in a new session); the rest are plain Parquet.
 """
 
 from __future__ import annotations
@@ -39,11 +46,14 @@ BUCKETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "transaction_distributions": ("patient_visit_procs_id", ()),
     "transactions": ("transactions_id", ()),
     "visit_transactions": ("visit_transactions_id", ()),
-    "payment_method": ("payment_method_id", ("date_of_entry",)),
     "patient_visit": ("patient_visit_id", ()),
     "patient_visit_agg": ("patient_visit_id", ()),
     "patient_visit_resource": ("patient_visit_id", ()),
-    "patient_profile": ("patient_profile_id", ()),
+}
+# unbucketed tables written in date order: range-partitioned on the date,
+# then the key (equal dates still split over partitions), sorted within
+SORTED: dict[str, tuple[str, ...]] = {
+    "payment_method": ("date_of_entry", "payment_method_id"),
 }
 
 
@@ -85,6 +95,9 @@ def _write(df: DataFrame, name: str, path: str, table: str, buckets: int, mode:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         writer.saveAsTable(table)
     else:
+        if name in SORTED:
+            keys = SORTED[name]
+            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         df.write.mode(mode).parquet(path)
 
 
@@ -131,8 +144,8 @@ def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | No
     root = ensure_checkpoint_dir(spark).rstrip("/")
     digest = hashlib.sha1(tag.encode()).hexdigest()[:16]
     buckets = buckets or default_buckets(spark)
-    base = f"{root}/clinicledger-tables/{digest}-b{buckets}"
-    prefix = f"clinicledger_{digest}_b{buckets}"
+    base = f"{root}/clinicledger-tables/{digest}-v2-b{buckets}"
+    prefix = f"clinicledger_{digest}_v2_b{buckets}"
     save_tables(tables, base, prefix, buckets, only_missing=True)
     return load_stored(spark, base, prefix)
 
