@@ -136,6 +136,45 @@ def load_stored(spark: SparkSession, base_dir: str, prefix: str) -> Tables:
     return Tables(**frames)
 
 
+LAYOUT_MARKER = "_clinicledger_layout"
+
+
+def _prefix_for(base_dir: str, buckets: int) -> str:
+    return f"clinicledger_{hashlib.sha1(base_dir.encode()).hexdigest()[:16]}_b{buckets}"
+
+
+def store_tables(tables: Tables, base_dir: str, buckets: int | None = None) -> Tables:
+    """Write ``tables`` to ``base_dir`` in the report layout (resuming an
+    interrupted copy), record the bucket count in a marker, and return the
+    stored tables."""
+    spark = tables.spark
+    base_dir = base_dir.rstrip("/")
+    buckets = buckets or default_buckets(spark)
+    save_tables(tables, base_dir, _prefix_for(base_dir, buckets), buckets, only_missing=True)
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(
+        f"{base_dir}/{LAYOUT_MARKER}"
+    )
+    return open_stored(spark, base_dir)
+
+
+def is_stored(spark: SparkSession, base_dir: str) -> bool:
+    return _path_exists(spark, f"{base_dir.rstrip('/')}/{LAYOUT_MARKER}/_SUCCESS")
+
+
+def open_stored(spark: SparkSession, base_dir: str) -> Tables:
+    """Open tables written by ``store_tables`` in this or another session:
+    bucketed tables are (re)registered in the session catalog from the
+    marker's bucket count, so Spark knows their partitioning."""
+    base_dir = base_dir.rstrip("/")
+    buckets = spark.read.json(f"{base_dir}/{LAYOUT_MARKER}").first()["buckets"]
+    prefix = _prefix_for(base_dir, buckets)
+    for name in BUCKETS:
+        table = _table_name(prefix, name)
+        if not spark.catalog.tableExists(table):
+            _register(spark, table, name, f"{base_dir}/{name}", buckets)
+    return load_stored(spark, base_dir, prefix)
+
+
 def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | None = None) -> Tables:
     """Tables read back from a copy under ``spark.checkpoint.dir``; the copy
     is written on first use (per ``tag``) and reused afterwards. This cuts
@@ -144,10 +183,7 @@ def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | No
     root = ensure_checkpoint_dir(spark).rstrip("/")
     digest = hashlib.sha1(tag.encode()).hexdigest()[:16]
     buckets = buckets or default_buckets(spark)
-    base = f"{root}/clinicledger-tables/{digest}-v2-b{buckets}"
-    prefix = f"clinicledger_{digest}_v2_b{buckets}"
-    save_tables(tables, base, prefix, buckets, only_missing=True)
-    return load_stored(spark, base, prefix)
+    return store_tables(tables, f"{root}/clinicledger-tables/{digest}-v3-b{buckets}", buckets)
 
 
 def materialize_enabled() -> bool:

@@ -245,3 +245,40 @@ def test_write_report_partitions_by_month(spark, tmp_path, fixture_tables_small)
 def test_void_visits_filter(spark):
     df = spark.createDataFrame([(1, "Office visit"), (2, "*VOID* visit"), (3, None)], "id int, d string")
     assert rows(filters.exclude_void_visits(df, "d"), "id") == [(1,)]
+
+
+def test_store_and_open_in_report_layout(spark, tmp_path, fixture_tables_small):
+    from clinicledger.plans import reports
+    from clinicledger.plans.registry import ENCOUNTER
+    from clinicledger.sources import store
+
+    target = str(tmp_path / "stored")
+    stored = store.store_tables(fixture_tables_small, target, buckets=4)
+    assert store.is_stored(spark, target)
+    reopened = store.open_stored(spark, target)
+    a = reports.encounter_report(stored, ENCOUNTER)
+    b = reports.encounter_report(reopened, ENCOUNTER)
+    assert rows(a) == rows(b) and len(rows(a)) > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = reopened.transaction_distributions.join(reopened.patient_visit_procs_agg, "patient_visit_procs_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_cli_runs_reports(spark, tmp_path, fixture_tables_small, capsys):
+    from clinicledger.__main__ import main
+    from clinicledger.sources import store
+
+    target = str(tmp_path / "stored")
+    store.store_tables(fixture_tables_small, target, buckets=4)
+    assert main(["encounter", "--tables", target, "--start", "1997-01-01", "--end", "1997-03-31T23:59:59.997",
+                 "--show", "3"]) == 0
+    out_dir = str(tmp_path / "journal")
+    assert main(["revenue", "--tables", target, "--as-of", "1998-01-15", "--closing", "1997-06-30T12:00",
+                 "--cutoff", "1997-12-31", "--rate-shift-years", "-20", "--out", out_dir]) == 0
+    assert spark.read.parquet(out_dir).count() > 0
+    assert main(["visit-payments", "--tables", target, "--patient-id", "48"]) == 0
+    assert "ticket_number" in capsys.readouterr().out
