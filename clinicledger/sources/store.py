@@ -64,7 +64,12 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def default_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Bucket count: the cluster's parallelism (two tasks per core), capped
+    by the shuffle partition count, so that bucketed scans keep every core
+    busy and a join against a shuffled side needs no more partitions than a
+    shuffle would have."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffle, 2 * spark.sparkContext.defaultParallelism))
 
 
 def _table_name(prefix: str, name: str) -> str:
