@@ -354,7 +354,40 @@ def q_payer_and_service_class(spark, sf_dir):
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def comparable(df: DataFrame) -> DataFrame:
+    """Engine-neutral presentation of a result for the oracle comparison:
+    decimals as double (exact here: both engines cast the same decimal
+    value), dates as ``yyyy-MM-dd`` and timestamps as
+    ``yyyy-MM-dd HH:mm:ss.SSSSSS`` text. Engines hand these types to Python
+    and pandas differently (Decimal vs float, date vs datetime, ns vs us);
+    strings, integers and doubles compare the same under any conversion.
+    The library's own results keep ``decimal(18,2)``, ``date`` and
+    ``timestamp_ntz``."""
+    from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
+
+    cols = []
+    for field in df.schema.fields:
+        if isinstance(field.dataType, DecimalType):
+            cols.append(F.col(field.name).cast("double").alias(field.name))
+        elif isinstance(field.dataType, DateType):
+            cols.append(F.date_format(field.name, "yyyy-MM-dd").alias(field.name))
+        elif isinstance(field.dataType, (TimestampNTZType, TimestampType)):
+            cols.append(F.date_format(field.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(field.name))
+        else:
+            cols.append(F.col(field.name))
+    return df.select(cols)
+
+
+def _presented(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return comparable(query(spark, sf_dir))
+
+    run.__name__ = query.__name__
+    run.__doc__ = query.__doc__
+    return run
+
+
+RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "visit_payments": q_visit_payments,
     "rolling_window_lines": q_rolling_window_lines,
     "date_window_dos": q_date_window_dos,
@@ -392,3 +425,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_journal_filtered": q_revenue_journal_filtered,
     "encounter_report_filtered": q_encounter_report_filtered,
 }
+
+
+# what the driver runs: the same queries, presented engine-neutrally
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _presented(query) for name, query in RAW_QUERIES.items()
+}

@@ -149,3 +149,20 @@ def test_cluster_plan_reads_big_facts_in_place(spark, name, table):
     for path in paths:
         assert path and "Join" in path[-1], path
         assert not any(p.startswith("Exchange") for p in path), path
+
+
+def test_presentation_lists_match_spark_schemas(spark):
+    """The oracle presents exactly the columns Spark returns as decimal or
+    date (guards the engine-neutral comparison against drift)."""
+    from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
+
+    from clinicledger.plans.registry import RAW_QUERIES
+    from sqloracle.queries import PRESENTATION, TIMESTAMPS
+
+    for name, query in RAW_QUERIES.items():
+        schema = query(spark, SMOKE_DIR).schema
+        dec = [f.name for f in schema.fields if isinstance(f.dataType, DecimalType)]
+        dat = [f.name for f in schema.fields if isinstance(f.dataType, DateType)]
+        ts = [f.name for f in schema.fields if isinstance(f.dataType, (TimestampNTZType, TimestampType))]
+        assert (sorted(dec), sorted(dat)) == tuple(sorted(x) for x in PRESENTATION.get(name, ([], []))), name
+        assert sorted(ts) == sorted(TIMESTAMPS.get(name, [])), name
