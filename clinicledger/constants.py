@@ -61,7 +61,6 @@ ENCOUNTER_START = dt.datetime(2017, 1, 1)
 ENCOUNTER_END = dt.datetime(2017, 3, 31, 23, 59, 59, 997000)
 # Flat-rate visit codes: insurance allocation is booked as an adjustment.
 FLAT_RATE_CPT_CODES = ("520", "T1015", "900", "D2999")
-FLAG_NONE = "None"
 NO_CODE_LABEL = "No Code"
 # Place-of-service codes per encounter kind.
 OFFICE_POS = ("11", "04", "50")

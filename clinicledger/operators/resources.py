@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from clinicledger.constants import EXCLUDED_RESOURCE_SUBTYPES, MULTIPLE_LABEL, PROVIDER_TYPES
 from clinicledger.operators.dims import broadcast_derived, dim
+from clinicledger.operators.filters import drop_values, keep_values
 from clinicledger.sources.tables import Tables
 
 
@@ -70,9 +71,7 @@ def provider_type_assignments(t: Tables, provider_types: Sequence[str] = PROVIDE
     the (large) visit-resource side: a doctor with a huge number of visits is
     never a hot shuffle key."""
     rta = dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"])
-    types = dim(t, "med_lists", ["med_lists_id", "description"]).filter(
-        F.col("description").isin(list(provider_types))
-    )
+    types = keep_values(dim(t, "med_lists", ["med_lists_id", "description"]), "description", provider_types)
     out = rta.join(types, rta.resource_type_id == types.med_lists_id).select(
         "resource_id", "resource_type_id", F.col("description").alias("type_name")
     )
@@ -102,9 +101,8 @@ def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOU
 
 def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int]) -> DataFrame:
     pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
-    rta = dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"]).filter(
-        ~F.col("resource_type_id").isin(list(excluded_subtypes))
-    )
+    rta = drop_values(dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"]),
+                      "resource_type_id", excluded_subtypes)
     types = dim(t, "med_lists", ["med_lists_id"])
     assignments = rta.join(types, rta.resource_type_id == types.med_lists_id).groupBy("resource_id").agg(
         F.count(F.lit(1)).alias("n_types")

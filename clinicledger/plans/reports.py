@@ -25,7 +25,7 @@ from clinicledger.functions.dates import day_of, in_window, month_of
 from clinicledger.functions.money import adjustment_check_columns, charge_columns, money
 from clinicledger.operators.collections import collection_columns, collection_totals
 from clinicledger.operators.dims import bounded_broadcast, dim, lookup, with_medlist, with_providers
-from clinicledger.operators.filters import date_type_column, optional_in
+from clinicledger.operators.filters import date_type_column, equals, optional_in
 from clinicledger.operators.ledger import (
     REPORT_COLUMNS,
     build_ledger,
@@ -45,9 +45,7 @@ def visit_payments(t: Tables, patient_id: str = INCENTIVE_PATIENT_ID) -> DataFra
     profiles (a business key: a handful of rows, checked) are broadcast, so
     the patient's visits - possibly a large share of all - are never one
     shuffle partition."""
-    pp = bounded_broadcast(
-        t.patient_profile.filter(F.col("patient_id") == F.lit(patient_id)).select("patient_profile_id")
-    )
+    pp = bounded_broadcast(equals(t.patient_profile, "patient_id", patient_id).select("patient_profile_id"))
     pva = t.patient_visit_agg.select("patient_visit_id", "patient_profile_id", "ins_payment")
     pv = t.patient_visit.select("patient_visit_id", "visit")
     return (

@@ -69,18 +69,6 @@ UNIQUE_KEYS: dict[str, tuple[str, ...]] = {
     "transactions": ("transactions_id",),
 }
 
-# Dimension tables: bounded by the practice's set-up, not by its activity.
-# ``batch`` grows with time but slowly (a few per day).
-DIMENSIONS = (
-    "doctor_facility",
-    "med_lists",
-    "insurance_carriers",
-    "procedures",
-    "batch",
-    "resource_type_assignments",
-)
-
-
 @dataclass(frozen=True)
 class Tables:
     """The billing tables as DataFrames (one field per table)."""
