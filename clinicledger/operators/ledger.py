@@ -11,8 +11,9 @@ Two ways to the same rollup:
   it up - the staged ledger as an inspectable table.
 * ``encounter_rollup`` (what the report runs) aggregates first: line-level
   amounts are summed per (visit, service time, code, qualifier) with
-  map-side partial aggregation, *then* joined once to a per-visit context
-  (attributes, filters, resource fan-out, labels), then rolled up. Sums are
+  map-side partial aggregation, *then* joined to the visits (read in place),
+  profiles and dimensions, then to the resource fan-out and labels, then
+  rolled up. Sums are
   additive and everything joined later is constant per visit, so this is
   exact (encounter flags factor as ``place_ok ? sum(line flags) : 0``). A
   visit holding a third of all rows is collapsed map-side before any
@@ -146,10 +147,16 @@ def build_ledger(charges: DataFrame, payments: DataFrame) -> DataFrame:
     return to_ledger(charges).unionByName(to_ledger(payments))
 
 
-def visit_attributes(t: Tables, f: LedgerFilter) -> DataFrame:
-    """One row per visit of a non-test patient with the attributes both
-    ledger branches carry (providers by role, carrier, policy type, place
-    of service, patient id)."""
+def with_visit_attributes(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+    """Attach to rows keyed by ``patient_visit_id`` the visit attributes
+    both ledger branches carry (ticket, providers by role, carrier, policy
+    type, place of service, patient id), keeping only visits of non-test
+    patients that pass the optional lists.
+
+    The rows (window-sized) meet the visits first - read in place on the
+    visit bucketing - so the profile join and everything after it carry
+    only the window's rows, never the whole visit history.
+    """
     pv = t.patient_visit.select(
         "patient_visit_id", "patient_profile_id", "ticket_number", "doctor_id",
         "facility_id", "company_id", "primary_insurance_carriers_id",
@@ -162,7 +169,7 @@ def visit_attributes(t: Tables, f: LedgerFilter) -> DataFrame:
         t.patient_profile.select("patient_profile_id", "patient_id", "last"), "last",
         f.test_patient_markers, f.ignore_case,
     ).drop("last")
-    v = pv.join(pp, "patient_profile_id")
+    v = df.join(pv, "patient_visit_id").join(pp, "patient_profile_id")
     v = with_providers(v, t, {"doctor_id": "doctor_name", "facility_id": "facility_name", "company_id": "company_name"})
     carriers = dim(t, "insurance_carriers", ["insurance_carriers_id", "list_name", "policy_type_mid"])
     v = lookup(v, carriers, "primary_insurance_carriers_id", "insurance_carriers_id",
@@ -171,10 +178,8 @@ def visit_attributes(t: Tables, f: LedgerFilter) -> DataFrame:
     v = facility_place(v, t, "facility_id", "pos_code")
     v = with_defaults(v, {"policy_type": UNKNOWN_LABEL, "insurance_carrier": SELF_PAY_LABEL,
                           "patient_id": UNKNOWN_LABEL})
-    return v.select(
-        "patient_visit_id", "ticket_number", "doctor_name", "facility_name", "company_name",
-        "policy_type", "insurance_carrier", "pos_code", "patient_id",
-    )
+    return v.drop("patient_profile_id", "doctor_id", "facility_id", "company_id",
+                  "primary_insurance_carriers_id", "policy_type_mid")
 
 
 def procedure_lines(t: Tables, window_pred, f: LedgerFilter) -> DataFrame:
@@ -314,7 +319,7 @@ def place_flags(line_flag: str = "line_encounter", pos: str = "pos_code") -> dic
 
 
 def _staged(amounts: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
-    rows = amounts.join(visit_attributes(t, f), "patient_visit_id")
+    rows = with_visit_attributes(amounts, t, f)
     flags = place_flags()
     return to_ledger(
         rows.withColumns({"month_of_service": month_of("date_of_service_from"), **flags})
@@ -429,12 +434,10 @@ def encounter_rollup(
     the same result as ``rollup_ledger(build_ledger(charge_rows, payment_rows))``
     with the ticket exclusion applied."""
     amounts = charge_amounts(t, f).unionByName(payment_amounts(t, f))
-    pre = preaggregate_amounts(amounts)
-    visits = visit_attributes(t, f)
+    pre = with_visit_attributes(preaggregate_amounts(amounts), t, f)
     if excluded_tickets is not None and (isinstance(excluded_tickets, DataFrame) or len(excluded_tickets)):
-        visits = exclude_keys(visits, "ticket_number", excluded_tickets)
-    context = visits.join(resource_context(t, resources), "patient_visit_id")
-    expanded = pre.join(context, "patient_visit_id").withColumns(
+        pre = exclude_keys(pre, "ticket_number", excluded_tickets)
+    expanded = pre.join(resource_context(t, resources), "patient_visit_id").withColumns(
         {"month_of_service": month_of("date_of_service_from"), **place_flags()}
     )
     return _final_rollup(expanded)

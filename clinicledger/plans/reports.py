@@ -24,7 +24,14 @@ from clinicledger.functions.classify import (
 from clinicledger.functions.dates import day_of, in_window, month_of
 from clinicledger.functions.money import adjustment_check_columns, charge_columns, money
 from clinicledger.operators.collections import collection_columns, collection_totals
-from clinicledger.operators.dims import bounded_broadcast, dim, lookup, with_medlist, with_providers
+from clinicledger.operators.dims import (
+    bounded_broadcast,
+    dim,
+    lookup,
+    require_exists,
+    with_medlist,
+    with_providers,
+)
 from clinicledger.operators.filters import date_type_column, equals, optional_in
 from clinicledger.operators.ledger import (
     REPORT_COLUMNS,
@@ -148,6 +155,16 @@ def with_resource_copies(df: DataFrame) -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).drop("_copy", "resource_copies")
 
 
+def window_visits(t: Tables, p: RevenueParams) -> DataFrame:
+    """Ids of visits with a procedure line in the report window (a pushed
+    down scan of the lines)."""
+    col = date_type_column(p.date_type, "date_of_service_from", "date_of_entry")
+    window = in_window(col, p.start, p.end, "end_plus_day") if col else F.lit(False)
+    return t.patient_visit_procs.select("patient_visit_id", "date_of_service_from", "date_of_entry").filter(
+        window
+    ).select("patient_visit_id")
+
+
 def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) -> DataFrame:
     """Per-visit context of the journal: doctor and facility (inner),
     carrier (inner) and policy type, whether the patient profile exists,
@@ -157,6 +174,8 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
         "patient_visit_id", "patient_profile_id", "ticket_number", "doctor_id", "facility_id",
         "primary_insurance_carriers_id", "first_filed_date",
     )
+    # only visits the window touches: read in place, before any shuffle
+    pv = require_exists(pv, window_visits(t, p), "patient_visit_id")
     pv = optional_in(pv, "facility_id", p.facilities)
     pv = optional_in(pv, "primary_insurance_carriers_id", p.carriers)
     pv = with_providers(pv, t, {"doctor_id": "doctor_name", "facility_id": "facility_name"})

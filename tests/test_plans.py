@@ -65,14 +65,14 @@ def test_report_plans_stay_in_the_jvm(spark, name):
     assert "BroadcastHashJoin" in plan
 
 
-def test_encounter_ledger_is_not_reshuffled_after_union(spark):
-    """Both ledger branches end partitioned by visit; the union keeps it, so
-    the pre-aggregation sits directly on the union (no exchange between)."""
+def test_staged_ledger_combines_before_shuffling(spark):
+    """The staged ledger (union of charge and payment rows) is combined by a
+    partial aggregate right on the union, before its first shuffle."""
     plan = _plan(entry.queries()["ledger_rollup"](spark, SMOKE_DIR))
     lines = plan.splitlines()
     union = next(i for i, line in enumerate(lines) if "Union" in line)
-    above = "\n".join(lines[max(0, union - 3):union])
-    assert "HashAggregate" in above and "Exchange" not in above
+    above = [line for line in lines[max(0, union - 4):union] if line.strip()]
+    assert "HashAggregate" in above[-1] and "partial_sum" in above[-1]
 
 
 def test_encounter_amounts_aggregate_before_shuffling(spark):
