@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import os
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,7 +88,13 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _TABLES:
         mapped = fixture_tables(spark, sf_dir)
-        _TABLES[key] = stored_copy(spark, mapped, key[1]) if materialize_enabled() else mapped
+        tables_ = mapped
+        if materialize_enabled():
+            try:
+                tables_ = stored_copy(spark, mapped, key[1])
+            except Exception as exc:  # e.g. a session without a writable catalog or checkpoint folder
+                warnings.warn(f"stored copy unavailable ({exc!r:.200}); running on the lazy mapping")
+        _TABLES[key] = tables_
     return _TABLES[key]
 
 
