@@ -13,12 +13,11 @@ Two ways to the same rollup:
   amounts are summed per (visit, service time, code, qualifier) with
   map-side partial aggregation, *then* joined to the visits (read in place),
   profiles and dimensions, then to the resource fan-out and labels, then
-  rolled up. Sums are
-  additive and everything joined later is constant per visit, so this is
-  exact (encounter flags factor as ``place_ok ? sum(line flags) : 0``). A
-  visit holding a third of all rows is collapsed map-side before any
-  shuffle, and the single visit join leaves AQE free to split what skew is
-  left, since the next step shuffles on its own keys anyway.
+  rolled up. Sums are additive and everything joined later is constant per
+  visit, so this is exact (encounter flags factor as
+  ``place_ok ? sum(line flags) : 0``). A visit, code or payment method
+  holding a third of all rows is collapsed map-side before its shuffle,
+  and only window-sized rows ever meet the visit and profile tables.
 """
 
 from __future__ import annotations
