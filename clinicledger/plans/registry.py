@@ -272,6 +272,15 @@ def q_effective_rate(spark, sf_dir):
     )
 
 
+def q_effective_rate_table(spark, sf_dir):
+    """The same rates from a rate table (range join) instead of the ladder."""
+    from clinicledger.operators.rates import effective_rate_from_table, schedule_table
+
+    t = tables(spark, sf_dir)
+    lines = t.patient_visit_procs.select("patient_visit_procs_id", "date_of_service_from")
+    return effective_rate_from_table(lines, schedule_table(spark, REVENUE.rates), "date_of_service_from", "pps_rate")
+
+
 # --- encounter ledger ---------------------------------------------------------
 
 def q_charge_rows(spark, sf_dir):
@@ -415,6 +424,7 @@ RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expand_resources": q_expand_resources,
     "resource_fanout": q_resource_fanout,
     "effective_rate": q_effective_rate,
+    "effective_rate_table": q_effective_rate_table,
     "charge_rows": q_charge_rows,
     "payment_rows": q_payment_rows,
     "encounter_flags": q_encounter_flags,

@@ -231,3 +231,21 @@ def test_collected_as_of_arms(spark):
     df = spark.createDataFrame(data, "entry timestamp_ntz, chk timestamp_ntz")
     got = [r[0] for r in df.select(collected_as_of_predicate("entry", "chk", closing, cutoff)).collect()]
     assert got == [True, True, True, True, True, False, None]
+
+
+def test_rate_table_forms_equal_case_ladder(spark):
+    """J12 as a range join: broadcast and year-bucketed plans give the CASE
+    ladder's rates, including the closed first interval and open ends."""
+    from clinicledger.operators.rates import effective_rate_from_table, schedule_table
+
+    sched = classify.RateSchedule().shifted(-20)
+    vals = [D(1995, 10, 1), D(1995, 10, 1, 0, 0, 0, 1), D(1996, 10, 1), D(1997, 9, 30, 23), D(1997, 10, 1),
+            D(1999, 1, 1), D(1980, 1, 1), D(2050, 6, 1), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, ts timestamp_ntz")
+    expected = [r[0] for r in df.orderBy("id").select(classify.effective_rate("ts", sched)).collect()]
+    table = schedule_table(spark, sched)
+    small = effective_rate_from_table(df, table, "ts", "r")
+    bucketed = effective_rate_from_table(df, table, "ts", "r", broadcast_max=0)
+    assert [r.r for r in small.orderBy("id").collect()] == expected
+    assert [r.r for r in bucketed.orderBy("id").collect()] == expected
+    assert "BroadcastNestedLoopJoin" in small._jdf.queryExecution().executedPlan().toString()
