@@ -282,3 +282,17 @@ def test_cli_runs_reports(spark, tmp_path, fixture_tables_small, capsys):
     assert spark.read.parquet(out_dir).count() > 0
     assert main(["visit-payments", "--tables", target, "--patient-id", "48"]) == 0
     assert "ticket_number" in capsys.readouterr().out
+
+
+def test_cli_store_from_plain_parquet(spark, tmp_path, fixture_tables_small):
+    from clinicledger.__main__ import main
+    from clinicledger.plans import reports
+    from clinicledger.sources import store
+    from clinicledger.sources.tables import Tables
+
+    src, dst = str(tmp_path / "plain"), str(tmp_path / "layout")
+    for name in Tables.names():
+        fixture_tables_small.table(name).write.parquet(f"{src}/{name}")
+    assert main(["store", "--source", src, "--target", dst, "--buckets", "4"]) == 0
+    t = store.open_stored(spark, dst)
+    assert rows(reports.visit_payments(t, "48")) == rows(reports.visit_payments(fixture_tables_small, "48"))
