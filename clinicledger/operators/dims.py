@@ -123,3 +123,49 @@ def with_medlist(df: DataFrame, t: Tables, key_col: str, columns: Mapping[str, s
     service, qualifier, resource type, adjustment type)."""
     med = dim(t, "med_lists", ["med_lists_id", "description", "code", "function_name"])
     return lookup(df, med, key_col, "med_lists_id", columns, how)
+
+
+# --- composite dimensions (a dimension with its own lookup pre-joined) -------
+
+def facility_places(t: Tables) -> DataFrame:
+    """``(doctor_facility_id, list_name, pos_code)``: every DoctorFacility
+    row with its place-of-service code (left lookup on the unique MedLists
+    id, so at most one row per facility). One probe per row instead of two
+    chained lookups; broadcast under DoctorFacility's bound."""
+
+    def build():
+        f = t.doctor_facility.select("doctor_facility_id", "list_name", "place_of_service_mid")
+        out = lookup(f, dim(t, "med_lists", ["med_lists_id", "code"]), "place_of_service_mid", "med_lists_id",
+                     {"code": "pos_code"}).drop("place_of_service_mid")
+        return broadcast_derived(out, t, "doctor_facility", "med_lists")
+
+    return t.memo(("facility_places",), build)
+
+
+def carrier_policies(t: Tables) -> DataFrame:
+    """``(insurance_carriers_id, list_name, policy_type_mid, policy_type)``:
+    every carrier with its policy-type description (left lookup)."""
+
+    def build():
+        c = t.insurance_carriers.select("insurance_carriers_id", "list_name", "policy_type_mid")
+        out = lookup(c, dim(t, "med_lists", ["med_lists_id", "description"]), "policy_type_mid", "med_lists_id",
+                     {"description": "policy_type"})
+        return broadcast_derived(out, t, "insurance_carriers", "med_lists")
+
+    return t.memo(("carrier_policies",), build)
+
+
+def with_facility(df: DataFrame, t: Tables, facility_col: str, name_out: str, pos_out: str,
+                  how: str = "inner") -> DataFrame:
+    """Facility name and place-of-service code in one lookup."""
+    return lookup(df, facility_places(t), facility_col, "doctor_facility_id",
+                  {"list_name": name_out, "pos_code": pos_out}, how)
+
+
+def with_carrier(df: DataFrame, t: Tables, carrier_col: str, how: str = "left",
+                 names: Mapping[str, str] | None = None) -> DataFrame:
+    """Carrier name, policy type id and policy type description in one
+    lookup (``how='inner'`` drops visits without a known carrier)."""
+    names = names or {"list_name": "insurance_carrier", "policy_type_mid": "policy_type_mid",
+                      "policy_type": "policy_type"}
+    return lookup(df, carrier_policies(t), carrier_col, "insurance_carriers_id", names, how)

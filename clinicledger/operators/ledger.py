@@ -59,10 +59,11 @@ from clinicledger.functions.money import (
 )
 from clinicledger.operators.dims import (
     dim,
-    facility_place,
     lookup,
     require_exists,
+    with_carrier,
     with_defaults,
+    with_facility,
     with_medlist,
     with_providers,
 )
@@ -169,12 +170,9 @@ def with_visit_attributes(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFram
         f.test_patient_markers, f.ignore_case,
     ).drop("last")
     v = df.join(pv, "patient_visit_id").join(pp, "patient_profile_id")
-    v = with_providers(v, t, {"doctor_id": "doctor_name", "facility_id": "facility_name", "company_id": "company_name"})
-    carriers = dim(t, "insurance_carriers", ["insurance_carriers_id", "list_name", "policy_type_mid"])
-    v = lookup(v, carriers, "primary_insurance_carriers_id", "insurance_carriers_id",
-               {"list_name": "insurance_carrier", "policy_type_mid": "policy_type_mid"})
-    v = with_medlist(v, t, "policy_type_mid", {"description": "policy_type"})
-    v = facility_place(v, t, "facility_id", "pos_code")
+    v = with_providers(v, t, {"doctor_id": "doctor_name", "company_id": "company_name"})
+    v = with_facility(v, t, "facility_id", "facility_name", "pos_code")
+    v = with_carrier(v, t, "primary_insurance_carriers_id")
     v = with_defaults(v, {"policy_type": UNKNOWN_LABEL, "insurance_carrier": SELF_PAY_LABEL,
                           "patient_id": UNKNOWN_LABEL})
     return v.drop("patient_profile_id", "doctor_id", "facility_id", "company_id",

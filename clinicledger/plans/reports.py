@@ -27,9 +27,8 @@ from clinicledger.operators.collections import collection_columns, collection_to
 from clinicledger.operators.dims import (
     bounded_broadcast,
     dim,
-    lookup,
     require_exists,
-    with_medlist,
+    with_carrier,
     with_providers,
 )
 from clinicledger.operators.filters import date_type_column, equals, optional_in
@@ -179,10 +178,9 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
     pv = optional_in(pv, "facility_id", p.facilities)
     pv = optional_in(pv, "primary_insurance_carriers_id", p.carriers)
     pv = with_providers(pv, t, {"doctor_id": "doctor_name", "facility_id": "facility_name"})
-    carriers = dim(t, "insurance_carriers", ["insurance_carriers_id", "list_name", "policy_type_mid"])
-    pv = lookup(pv, carriers, "primary_insurance_carriers_id", "insurance_carriers_id",
-                {"list_name": "carrier_name", "policy_type_mid": "policy_type_mid"}, how="inner")
-    pv = with_medlist(pv, t, "policy_type_mid", {"description": "policy_type_name"})
+    pv = with_carrier(pv, t, "primary_insurance_carriers_id", how="inner",
+                      names={"list_name": "carrier_name", "policy_type_mid": "policy_type_mid",
+                             "policy_type": "policy_type_name"})
     profiles = t.patient_profile.select("patient_profile_id", F.lit(True).alias("profile_ok"))
     pv = pv.join(profiles, "patient_profile_id", "left")
     fan = resource_fanout(t)
