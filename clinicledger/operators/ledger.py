@@ -363,12 +363,14 @@ REPORT_COLUMNS = [
 ROLLUP_KEYS = [*LEDGER_KEYS, "resource_label", "resource_type", "resource_id"]
 
 
-def resource_context(t: Tables, resources: Sequence[int] | None = None) -> DataFrame:
+def resource_context(t: Tables, resources: Sequence[int] | None = None,
+                     within: DataFrame | None = None) -> DataFrame:
     """``(patient_visit_id, resource_id, resource_type, resource_label)``:
     the rollup's fan-out (one row per visit resource x provider type,
-    duplicates kept) with the visit's resource label."""
-    fan = optional_in(visit_resource_types(t), "resource_id", resources)
-    return fan.join(resource_label_by_visit(t), "patient_visit_id", "left")
+    duplicates kept) with the visit's resource label; ``within`` restricts
+    it to those visits (the rest of the visit history is never aggregated)."""
+    fan = optional_in(visit_resource_types(t, within=within), "resource_id", resources)
+    return fan.join(resource_label_by_visit(t, within=within), "patient_visit_id", "left")
 
 
 def _final_rollup(expanded: DataFrame) -> DataFrame:
@@ -434,6 +436,12 @@ def encounter_rollup(
     pre = with_visit_attributes(preaggregate_amounts(amounts), t, f)
     if excluded_tickets is not None and (isinstance(excluded_tickets, DataFrame) or len(excluded_tickets)):
         pre = exclude_keys(pre, "ticket_number", excluded_tickets)
+    # The fan-out and labels are not restricted to the window's visits here:
+    # payment rows carry the visit transaction's visit, so the only exact
+    # restriction would be the aggregated rows themselves, and Spark prunes
+    # that second use differently (no exchange reuse), which would run the
+    # payment chain twice. The visit resources are read in place on their
+    # visit bucketing instead, with no shuffle.
     expanded = pre.join(resource_context(t, resources), "patient_visit_id").withColumns(
         {"month_of_service": month_of("date_of_service_from"), **place_flags()}
     )

@@ -18,23 +18,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicledger.constants import EXCLUDED_RESOURCE_SUBTYPES, MULTIPLE_LABEL, PROVIDER_TYPES
-from clinicledger.operators.dims import broadcast_derived, dim
+from clinicledger.operators.dims import broadcast_derived, dim, require_exists
 from clinicledger.operators.filters import drop_values, keep_values
 from clinicledger.sources.tables import Tables
 
 
+def _visit_resources(t: Tables, columns: Sequence[str], within: DataFrame | None) -> DataFrame:
+    """Visit resources, restricted to the visits in ``within`` (a semi join
+    read in place on the visit bucketing) when given."""
+    pvr = t.patient_visit_resource.select(*columns)
+    return pvr if within is None else require_exists(pvr, within, "patient_visit_id")
+
+
 def _label(name_col: str) -> F.Column:
     return F.when(F.count(F.lit(1)) > 1, F.lit(MULTIPLE_LABEL)).otherwise(F.max(name_col))
 
 
-def resource_label_by_visit(t: Tables) -> DataFrame:
+def resource_label_by_visit(t: Tables, within: DataFrame | None = None) -> DataFrame:
     """``(patient_visit_id, resource_label)``: the resource's name, or
-    '(Multiple)' when the visit has more than one resource."""
-    return t.memo(("resource_label_by_visit",), lambda: _label_by_visit(t))
+    '(Multiple)' when the visit has more than one resource. ``within``
+    restricts the work to those visits."""
+    if within is not None:
+        return _label_by_visit(t, within)
+    return t.memo(("resource_label_by_visit",), lambda: _label_by_visit(t, None))
 
 
-def _label_by_visit(t: Tables) -> DataFrame:
-    pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
+def _label_by_visit(t: Tables, within: DataFrame | None) -> DataFrame:
+    pvr = _visit_resources(t, ["patient_visit_id", "resource_id"], within)
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name"])
     return (
         pvr.join(names, pvr.resource_id == names.doctor_facility_id)
@@ -43,17 +53,20 @@ def _label_by_visit(t: Tables) -> DataFrame:
     )
 
 
-def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES) -> DataFrame:
+def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES,
+                                 within: DataFrame | None = None) -> DataFrame:
     """``(patient_visit_id, patient_visit_resource_id, dot_id, resource_name,
     resource_type)`` per visit resource restricted to provider types:
     '(Multiple)' when the resource has more than one such type assignment,
     and the greatest type name."""
+    if within is not None:
+        return _label_by_assignment(t, provider_types, within)
     return t.memo(("resource_label_by_assignment", tuple(provider_types)),
-                  lambda: _label_by_assignment(t, provider_types))
+                  lambda: _label_by_assignment(t, provider_types, None))
 
 
-def _label_by_assignment(t: Tables, provider_types: Sequence[str]) -> DataFrame:
-    pvr = t.patient_visit_resource.select("patient_visit_id", "patient_visit_resource_id", "resource_id")
+def _label_by_assignment(t: Tables, provider_types: Sequence[str], within: DataFrame | None) -> DataFrame:
+    pvr = _visit_resources(t, ["patient_visit_id", "patient_visit_resource_id", "resource_id"], within)
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name", "dot_id"])
     provider_types_of = provider_type_assignments(t, provider_types)
     return (
@@ -78,29 +91,37 @@ def provider_type_assignments(t: Tables, provider_types: Sequence[str] = PROVIDE
     return broadcast_derived(out, t, "resource_type_assignments", "med_lists")
 
 
-def visit_resource_types(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES) -> DataFrame:
+def visit_resource_types(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES,
+                         within: DataFrame | None = None) -> DataFrame:
     """``(patient_visit_id, resource_id, resource_type)``: one row per visit
     resource and provider-type assignment (the fan-out of the encounter
     rollup; duplicates are kept on purpose)."""
-    return t.memo(("visit_resource_types", tuple(provider_types)), lambda: _visit_resource_types(t, provider_types))
+    if within is not None:
+        return _visit_resource_types(t, provider_types, within)
+    return t.memo(("visit_resource_types", tuple(provider_types)),
+                  lambda: _visit_resource_types(t, provider_types, None))
 
 
-def _visit_resource_types(t: Tables, provider_types: Sequence[str]) -> DataFrame:
-    pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
+def _visit_resource_types(t: Tables, provider_types: Sequence[str], within: DataFrame | None) -> DataFrame:
+    pvr = _visit_resources(t, ["patient_visit_id", "resource_id"], within)
     return pvr.join(provider_type_assignments(t, provider_types), "resource_id").select(
         "patient_visit_id", "resource_id", F.col("type_name").alias("resource_type")
     )
 
 
-def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOURCE_SUBTYPES) -> DataFrame:
+def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOURCE_SUBTYPES,
+                    within: DataFrame | None = None) -> DataFrame:
     """``(patient_visit_id, fanout)``: number of (visit resource x type
     assignment) rows of a visit whose type exists and is not excluded.
     Collections sum each payment once per such row."""
-    return t.memo(("resource_fanout", tuple(excluded_subtypes)), lambda: _resource_fanout(t, excluded_subtypes))
+    if within is not None:
+        return _resource_fanout(t, excluded_subtypes, within)
+    return t.memo(("resource_fanout", tuple(excluded_subtypes)),
+                  lambda: _resource_fanout(t, excluded_subtypes, None))
 
 
-def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int]) -> DataFrame:
-    pvr = t.patient_visit_resource.select("patient_visit_id", "resource_id")
+def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int], within: DataFrame | None) -> DataFrame:
+    pvr = _visit_resources(t, ["patient_visit_id", "resource_id"], within)
     rta = drop_values(dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"]),
                       "resource_type_id", excluded_subtypes)
     types = dim(t, "med_lists", ["med_lists_id"])

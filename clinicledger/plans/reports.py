@@ -130,17 +130,18 @@ def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
     return lines.withColumn("in_closed_window", between)
 
 
-def resource_rows(t: Tables) -> DataFrame:
+def resource_rows(t: Tables, within: DataFrame | None = None) -> DataFrame:
     """The visit's resource labels (one per visit resource with provider
     types), each with ``resource_copies``: the number of visit resources of
     the visit. The report joins the visit resources a second time, which
     repeats every label row that many times; the copies are generated from
     this count at the end (``with_resource_copies``) instead of a join that
     pairs the visit's resources with each other."""
-    labels = resource_label_by_assignment(t)
-    copies = t.memo(("visit_resource_count",), lambda: (
-        t.patient_visit_resource.groupBy("patient_visit_id").agg(F.count(F.lit(1)).alias("resource_copies"))
-    ))
+    labels = resource_label_by_assignment(t, within=within)
+    pvr = t.patient_visit_resource.select("patient_visit_id")
+    if within is not None:
+        pvr = require_exists(pvr, within, "patient_visit_id")
+    copies = pvr.groupBy("patient_visit_id").agg(F.count(F.lit(1)).alias("resource_copies"))
     return labels.join(copies, "patient_visit_id").select(
         "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type"),
         "resource_copies",
@@ -183,13 +184,14 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
                              "policy_type": "policy_type_name"})
     profiles = t.patient_profile.select("patient_profile_id", F.lit(True).alias("profile_ok"))
     pv = pv.join(profiles, "patient_profile_id", "left")
-    fan = resource_fanout(t)
+    in_window = window_visits(t, p)
+    fan = resource_fanout(t, within=in_window)
     if p.fanout == "distinct":
         fan = fan.select("patient_visit_id", F.lit(1).cast("bigint").alias("fanout"))
     elif p.fanout != "reference":
         raise ValueError(f"unknown fanout {p.fanout!r}")
     pv = pv.join(fan, "patient_visit_id", "left")
-    return pv.join(resource_rows(t), "patient_visit_id", "left") if with_resources else pv
+    return pv.join(resource_rows(t, within=in_window), "patient_visit_id", "left") if with_resources else pv
 
 
 def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
