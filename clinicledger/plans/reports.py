@@ -175,7 +175,8 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
         "primary_insurance_carriers_id", "first_filed_date",
     )
     # only visits the window touches: read in place, before any shuffle
-    pv = require_exists(pv, window_visits(t, p), "patient_visit_id")
+    in_window = window_visits(t, p)
+    pv = require_exists(pv, in_window, "patient_visit_id")
     pv = optional_in(pv, "facility_id", p.facilities)
     pv = optional_in(pv, "primary_insurance_carriers_id", p.carriers)
     pv = with_providers(pv, t, {"doctor_id": "doctor_name", "facility_id": "facility_name"})
@@ -184,7 +185,6 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
                              "policy_type": "policy_type_name"})
     profiles = t.patient_profile.select("patient_profile_id", F.lit(True).alias("profile_ok"))
     pv = pv.join(profiles, "patient_profile_id", "left")
-    in_window = window_visits(t, p)
     fan = resource_fanout(t, within=in_window)
     if p.fanout == "distinct":
         fan = fan.select("patient_visit_id", F.lit(1).cast("bigint").alias("fanout"))
