@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import os
+import threading
 import warnings
 from collections.abc import Callable
 
@@ -75,6 +76,7 @@ OPTIONAL_DOCTORS = (1, 3, 5)
 OPTIONAL_FACILITIES = (1000002, 1000007, 1000011, 1000019)
 
 _TABLES: dict[tuple[str, str], Tables] = {}
+_TABLES_LOCK = threading.Lock()
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -86,6 +88,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     as they do in production.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    with _TABLES_LOCK:  # queries run from several threads derive the copy once
+        return _tables_locked(spark, sf_dir, key)
+
+
+def _tables_locked(spark: SparkSession, sf_dir: str, key: tuple[str, str]) -> Tables:
     if key not in _TABLES:
         mapped = fixture_tables(spark, sf_dir)
         tables_ = mapped
