@@ -147,16 +147,11 @@ def build_ledger(charges: DataFrame, payments: DataFrame) -> DataFrame:
     return to_ledger(charges).unionByName(to_ledger(payments))
 
 
-def with_visit_attributes(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
-    """Attach to rows keyed by ``patient_visit_id`` the visit attributes
-    both ledger branches carry (ticket, providers by role, carrier, policy
-    type, place of service, patient id), keeping only visits of non-test
-    patients that pass the optional lists.
-
-    The rows (window-sized) meet the visits first - read in place on the
-    visit bucketing - so the profile join and everything after it carry
-    only the window's rows, never the whole visit history.
-    """
+def join_visits(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+    """Attach the visit's ids of profile, doctor, facility, company and
+    carrier and its ticket to rows keyed by ``patient_visit_id``, keeping
+    visits that pass the optional lists. The rows meet the visits read in
+    place on the visit bucketing."""
     pv = t.patient_visit.select(
         "patient_visit_id", "patient_profile_id", "ticket_number", "doctor_id",
         "facility_id", "company_id", "primary_insurance_carriers_id",
@@ -165,11 +160,18 @@ def with_visit_attributes(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFram
     pv = optional_in(pv, "facility_id", f.facilities)
     pv = optional_in(pv, "company_id", f.companies)
     pv = optional_in(pv, "primary_insurance_carriers_id", f.carriers)
+    return df.join(pv, "patient_visit_id")
+
+
+def join_profiles_and_dims(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+    """Keep rows of non-test patients (profile join) and resolve the visit's
+    ids to names through broadcast dimensions: providers by role, facility
+    with its place of service, carrier with its policy type."""
     pp = exclude_test_patients(
         t.patient_profile.select("patient_profile_id", "patient_id", "last"), "last",
         f.test_patient_markers, f.ignore_case,
     ).drop("last")
-    v = df.join(pv, "patient_visit_id").join(pp, "patient_profile_id")
+    v = df.join(pp, "patient_profile_id")
     v = with_providers(v, t, {"doctor_id": "doctor_name", "company_id": "company_name"})
     v = with_facility(v, t, "facility_id", "facility_name", "pos_code")
     v = with_carrier(v, t, "primary_insurance_carriers_id")
@@ -179,6 +181,15 @@ def with_visit_attributes(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFram
                   "primary_insurance_carriers_id", "policy_type_mid")
 
 
+def with_visit_attributes(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+    """Attach to rows keyed by ``patient_visit_id`` the visit attributes
+    both ledger branches carry (ticket, providers by role, carrier, policy
+    type, place of service, patient id), keeping only visits of non-test
+    patients that pass the optional lists. The rows (window-sized) meet the
+    visits first, read in place, so only window rows are shuffled after."""
+    return join_profiles_and_dims(join_visits(df, t, f), t, f)
+
+
 def procedure_lines(t: Tables, window_pred, f: LedgerFilter) -> DataFrame:
     """Procedure lines passing ``window_pred`` with their qualifier
     description (procedure -> qualifier lookups are left joins)."""
@@ -433,16 +444,16 @@ def encounter_rollup(
     the same result as ``rollup_ledger(build_ledger(charge_rows, payment_rows))``
     with the ticket exclusion applied."""
     amounts = charge_amounts(t, f).unionByName(payment_amounts(t, f))
-    pre = with_visit_attributes(preaggregate_amounts(amounts), t, f)
+    pre = join_visits(preaggregate_amounts(amounts), t, f)
     if excluded_tickets is not None and (isinstance(excluded_tickets, DataFrame) or len(excluded_tickets)):
         pre = exclude_keys(pre, "ticket_number", excluded_tickets)
-    # The fan-out and labels are not restricted to the window's visits here:
-    # payment rows carry the visit transaction's visit, so the only exact
-    # restriction would be the aggregated rows themselves, and Spark prunes
-    # that second use differently (no exchange reuse), which would run the
-    # payment chain twice. The visit resources are read in place on their
-    # visit bucketing instead, with no shuffle.
-    expanded = pre.join(resource_context(t, resources), "patient_visit_id").withColumns(
-        {"month_of_service": month_of("date_of_service_from"), **place_flags()}
-    )
+    # The fan-out and labels are joined while the rows are still partitioned
+    # by visit (they sit on the visit bucketing: no shuffle), before the
+    # profile join. They are not restricted to the window's visits: payment
+    # rows carry the visit transaction's visit, so the only exact
+    # restriction would be the aggregated rows themselves, whose second use
+    # Spark prunes differently (no exchange reuse: the payment chain would
+    # run twice).
+    expanded = join_profiles_and_dims(pre.join(resource_context(t, resources), "patient_visit_id"), t, f)
+    expanded = expanded.withColumns({"month_of_service": month_of("date_of_service_from"), **place_flags()})
     return _final_rollup(expanded)
