@@ -98,6 +98,19 @@ EXCLUDED_TICKETS = (
     "058829", "058839", "060536", "060546", "060581", "060701", "061323",
     "063306", "063404", "063405", "063846", "063856", "045265", "059952",
 )
+# Declared lengths of the staged ledger's text columns (varchar(n)).
+LEDGER_TEXT_LENGTHS = {
+    "doctor_name": 60,
+    "facility_name": 60,
+    "company_name": 60,
+    "policy_type": 90,
+    "insurance_carrier": 60,
+    "cpt_code": 10,
+    "ticket_number": 35,
+    "month_of_service": 7,
+    "patient_id": 20,
+    "hcpc": 200,
+}
 # Void visits carry this marker in their description (filter is off by default).
 VOID_MARKER = "*VOID*"
 

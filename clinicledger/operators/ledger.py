@@ -35,6 +35,7 @@ from clinicledger.constants import (
     DATA_SOURCE,
     HOME_POS,
     INPATIENT_POS,
+    LEDGER_TEXT_LENGTHS,
     NO_CODE_LABEL,
     NONE_LABEL,
     NOT_OTHER_POS,
@@ -142,6 +143,19 @@ def to_ledger(df: DataFrame) -> DataFrame:
     return df.select([F.col(c).cast(ty).alias(c) for c, ty in LEDGER_SCHEMA.items()])
 
 
+def ledger_length_violations(ledger: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Staged rows whose text exceeds the staging table's declared length
+    (DataFrames do not enforce ``varchar(n)``; the staging insert would
+    reject such rows). A filter, so it runs distributed; an empty result
+    means the ledger fits."""
+    limits = limits or LEDGER_TEXT_LENGTHS
+    too_long = None
+    for col, n in limits.items():
+        cond = F.length(F.col(col)) > n
+        too_long = cond if too_long is None else (too_long | cond)
+    return ledger.filter(too_long)
+
+
 def build_ledger(charges: DataFrame, payments: DataFrame) -> DataFrame:
     """Bag union of the two staged row sets (duplicates kept)."""
     return to_ledger(charges).unionByName(to_ledger(payments))

@@ -296,3 +296,14 @@ def test_cli_store_from_plain_parquet(spark, tmp_path, fixture_tables_small):
     assert main(["store", "--source", src, "--target", dst, "--buckets", "4"]) == 0
     t = store.open_stored(spark, dst)
     assert rows(reports.visit_payments(t, "48")) == rows(reports.visit_payments(fixture_tables_small, "48"))
+
+
+def test_ledger_text_lengths(spark, fixture_tables_small):
+    # S4: the staged ledger fits the staging table's declared varchar lengths
+    from clinicledger.plans.registry import ENCOUNTER
+
+    t, f = fixture_tables_small, ENCOUNTER.ledger_filter()
+    staged = ledger.build_ledger(ledger.charge_rows(t, f), ledger.payment_rows(t, f))
+    assert ledger.ledger_length_violations(staged).count() == 0
+    long_ticket = staged.limit(1).withColumn("ticket_number", F.lit("x" * 36))
+    assert ledger.ledger_length_violations(long_ticket).count() == 1
