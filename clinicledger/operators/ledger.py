@@ -340,7 +340,9 @@ def place_flags(line_flag: str = "line_encounter", pos: str = "pos_code") -> dic
     }
 
 
-def _staged(amounts: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+def stage_amounts(amounts: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
+    """Staged ledger rows from line amounts: visit attributes, month and the
+    four encounter flags attached, cast to the ledger schema."""
     rows = with_visit_attributes(amounts, t, f)
     flags = place_flags()
     return to_ledger(
@@ -350,12 +352,12 @@ def _staged(amounts: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
 
 def charge_rows(t: Tables, f: LedgerFilter) -> DataFrame:
     """Staged charge rows: one ledger row per procedure line in the window."""
-    return _staged(charge_amounts(t, f), t, f)
+    return stage_amounts(charge_amounts(t, f), t, f)
 
 
 def payment_rows(t: Tables, f: LedgerFilter) -> DataFrame:
     """Staged payment rows: one ledger row per non-zero distribution."""
-    return _staged(payment_amounts(t, f), t, f)
+    return stage_amounts(payment_amounts(t, f), t, f)
 
 
 AMOUNT_KEYS = ["patient_visit_id", "date_of_service_from", "cpt_code", "hcpc"]

@@ -34,10 +34,10 @@ from clinicledger.operators.dims import (
 from clinicledger.operators.filters import date_type_column, equals, optional_in
 from clinicledger.operators.ledger import (
     REPORT_COLUMNS,
-    build_ledger,
-    charge_rows,
+    charge_amounts,
     encounter_rollup,
-    payment_rows,
+    payment_amounts,
+    stage_amounts,
 )
 from clinicledger.operators.resources import resource_fanout, resource_label_by_assignment
 from clinicledger.plans.params import EncounterParams, RevenueParams
@@ -63,9 +63,13 @@ def visit_payments(t: Tables, patient_id: str = INCENTIVE_PATIENT_ID) -> DataFra
 
 
 def encounter_ledger(t: Tables, p: EncounterParams) -> DataFrame:
-    """Charge rows and payment rows in one ledger (bag union)."""
+    """Charge rows and payment rows in one staged ledger (bag union). The
+    line amounts of both branches are unioned first and the visit
+    attributes attached once (attaching is row-wise, so this equals
+    ``build_ledger(charge_rows, payment_rows)`` with half the visit and
+    profile joins)."""
     f = p.ledger_filter()
-    return build_ledger(charge_rows(t, f), payment_rows(t, f))
+    return stage_amounts(charge_amounts(t, f).unionByName(payment_amounts(t, f)), t, f)
 
 
 def encounter_report(t: Tables, p: EncounterParams = EncounterParams()) -> DataFrame:

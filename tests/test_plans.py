@@ -68,13 +68,13 @@ def test_report_plans_stay_in_the_jvm(spark, name):
 
 
 def test_staged_ledger_combines_before_shuffling(spark):
-    """The staged ledger (union of charge and payment rows) is combined by a
-    partial aggregate right on the union, before its first shuffle."""
+    """The staged ledger is combined by a partial aggregate (per visit and
+    ledger key) before its shuffle."""
     plan = _plan(entry.queries()["ledger_rollup"](spark, SMOKE_DIR))
     lines = plan.splitlines()
-    union = next(i for i, line in enumerate(lines) if "Union" in line)
-    above = [line for line in lines[max(0, union - 4):union] if line.strip()]
-    assert "HashAggregate" in above[-1] and "partial_sum" in above[-1]
+    ex = next(i for i, line in enumerate(lines)
+              if "Exchange hashpartitioning(patient_visit_id" in line and "doctor_name" in line)
+    assert "HashAggregate" in lines[ex + 1] and "partial_sum" in lines[ex + 1]
 
 
 def test_encounter_amounts_aggregate_before_shuffling(spark):
