@@ -2,7 +2,7 @@
 
 Mirrors the correctness gate: same column names, same row count, same
 multiset of rows (values normalised: decimals by value, timestamps and dates
-by ISO text, floats rounded to 9 significant digits).
+by ISO text, floats to 15 significant digits).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def _norm(v):
     if isinstance(v, float):
         if v != v:
             return None
-        return ("f", f"{v:.9g}")
+        return ("f", f"{v:.15g}")
     if isinstance(v, dt.datetime):
         return ("t", v.isoformat())
     if isinstance(v, dt.date):
