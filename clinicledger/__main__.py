@@ -14,7 +14,6 @@ bucketed report layout (detected from its marker). Results are shown
 from __future__ import annotations
 
 import argparse
-import dataclasses
 import datetime as dt
 import sys
 
