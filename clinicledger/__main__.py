@@ -63,7 +63,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
 
     en = sub.add_parser("encounter", help="encounter report")
     common(en)
-    en.add_argument("--start", type=_dt, default=None)
+    en.add_argument("--start", type=_dt, default=None, help="default: the report's own quarter")
     en.add_argument("--end", type=_dt, default=None)
     en.add_argument("--date-type", default="DOS", choices=["DOS", "DOE"])
     en.add_argument("--include-resource", type=int, default=1)
@@ -105,8 +105,9 @@ def main(argv: list[str] | None = None) -> int:
 
     t = _open(spark, args.tables)
     if args.command == "encounter":
+        window = {k: v for k, v in (("start", args.start), ("end", args.end)) if v is not None}
         p = EncounterParams(
-            start=args.start, end=args.end, date_type=args.date_type, include_resource=args.include_resource,
+            **window, date_type=args.date_type, include_resource=args.include_resource,
             doctors=args.doctors, procedures=args.procedures, facilities=args.facilities,
             companies=args.companies, carriers=args.carriers, batches=args.batches, resources=args.resources,
             ordered=args.out is None,
