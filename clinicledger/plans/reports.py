@@ -207,7 +207,7 @@ def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
         F.col("batch_ok").isNotNull() & F.col("in_closed_window")
         & F.col("profile_ok").isNotNull() & F.col("fanout").isNotNull()
     )
-    lines = with_resource_copies(lines.withColumns(collection_columns(eligible, F.col("fanout"))))
+    lines = lines.withColumns(collection_columns(eligible, F.col("fanout")))
     charges = F.col("ins_allocation") + F.col("pat_allocation")
     amounts = charge_columns()
     checks = adjustment_check_columns(F.col("ins_adjustment") + F.col("pat_adjustment"))
@@ -236,10 +236,14 @@ def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
         "date_of_service_from",
         "patient_visit_id",
         "patient_visit_procs_id",
+        "resource_copies",
     )
     out = with_report_date(out, p.report_date)
     if p.ordered:
         # service time and visit as in the report; the line id only breaks
         # ties so that a hot visit spreads over range partitions
         out = out.orderBy("date_of_service_from", "patient_visit_id", "patient_visit_procs_id")
-    return out.select(*REVENUE_COLUMNS)
+    # the reference's duplicate rows share their line's sort key and are
+    # generated per row after the sort (order kept; the sort's sampling and
+    # shuffle see each label row once)
+    return with_resource_copies(out).select(*REVENUE_COLUMNS)
