@@ -249,3 +249,29 @@ def test_rate_table_forms_equal_case_ladder(spark):
     assert [r.r for r in small.orderBy("id").collect()] == expected
     assert [r.r for r in bucketed.orderBy("id").collect()] == expected
     assert "BroadcastNestedLoopJoin" in small._jdf.queryExecution().executedPlan().toString()
+
+
+# --- parameters ------------------------------------------------------------------
+
+def test_report_parameter_defaults():
+    from clinicledger.constants import INCENTIVE_PATIENT_ID
+    from clinicledger.plans.params import EncounterParams, RevenueParams, VisitPaymentParams
+
+    p = EncounterParams()
+    # the encounter report's own quarter, ending at the last datetime tick
+    assert (p.start, p.end) == (D(2017, 1, 1), D(2017, 3, 31, 23, 59, 59, 997000))
+    assert p.date_type == "DOS" and p.include_resource == 1 and len(p.excluded_tickets) == 137
+    assert len(set(p.excluded_tickets)) == 137
+    assert VisitPaymentParams().patient_id == INCENTIVE_PATIENT_ID
+    # rolling 12 months: closing and cut-off default to the run time (cut-off as a date)
+    r = RevenueParams.rolling(D(2016, 11, 17, 14, 30))
+    assert (r.start, r.end) == (D(2015, 11, 1), D(2016, 10, 31))
+    assert r.closing == D(2016, 11, 17, 14, 30) and r.cutoff == dt.date(2016, 11, 17)
+    assert r.report_date == D(2016, 11, 17, 14, 30) and r.fanout == "reference"
+
+
+def test_ledger_filter_carries_lists():
+    from clinicledger.plans.params import EncounterParams
+
+    f = EncounterParams(doctors=(1, 2), batches=(3,), date_type="DOE").ledger_filter()
+    assert (f.doctors, f.batches, f.date_type, f.procedures) == ((1, 2), (3,), "DOE", None)
