@@ -171,3 +171,26 @@ def test_presentation_lists_match_spark_schemas(spark):
         ts = [f.name for f in schema.fields if isinstance(f.dataType, (TimestampNTZType, TimestampType))]
         assert (sorted(dec), sorted(dat)) == tuple(sorted(x) for x in PRESENTATION.get(name, ([], []))), name
         assert sorted(ts) == sorted(TIMESTAMPS.get(name, [])), name
+
+
+def test_fixture_matches_measured_counts(spark, fixture_tables_small):
+    """Counts FIXTURES.md section 3 records for sf0.001 (in brackets there)."""
+    from pyspark.sql import functions as F
+
+    from clinicledger.constants import EXCLUDED_TICKETS
+
+    t = fixture_tables_small
+    assert t.patient_visit_procs.count() == 6000
+    assert t.patient_visit.count() == 1500
+    assert t.transaction_distributions.count() == 18000
+    assert t.patient_visit_resource.count() == 1684
+    assert t.patient_visit_resource.groupBy("patient_visit_id").count().filter("count = 2").count() == 276
+    assert t.patient_visit.filter(F.col("ticket_number").isin(list(EXCLUDED_TICKETS))).count() == 7
+    assert t.patient_visit.filter(F.col("ticket_number").isNull()).count() == 15
+    assert t.patient_visit_procs.join(t.batch, "batch_id", "left_anti").count() == 124
+    assert t.patient_visit.filter(F.col("primary_insurance_carriers_id").isNull()).count() == 137
+    window = t.patient_visit_procs.filter(
+        (F.col("date_of_service_from") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+        & (F.col("date_of_service_from") < F.lit("1997-03-31 23:59:59.997").cast("timestamp_ntz"))
+    )
+    assert window.count() == 209
