@@ -55,6 +55,9 @@ def parse(argv: list[str]) -> argparse.Namespace:
     st.add_argument("--source", required=True)
     st.add_argument("--target", required=True)
     st.add_argument("--buckets", type=int, default=None)
+    st.add_argument("--no-check-keys", action="store_true",
+                    help="skip asserting the keys the plans assume unique (one aggregation per table; "
+                         "shuffle-free on tables bucketed by their key)")
 
     def common(p):
         p.add_argument("--tables", required=True)
@@ -99,7 +102,11 @@ def main(argv: list[str] | None = None) -> int:
         from clinicledger.sources.store import store_tables
         from clinicledger.sources.tables import load_tables
 
-        store_tables(load_tables(spark, args.source), args.target, args.buckets)
+        stored = store_tables(load_tables(spark, args.source), args.target, args.buckets)
+        if not args.no_check_keys:
+            from clinicledger.sources.tables import assert_unique_keys
+
+            assert_unique_keys(stored)
         print(f"stored in {args.target}")
         return 0
 

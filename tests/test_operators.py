@@ -307,3 +307,19 @@ def test_ledger_text_lengths(spark, fixture_tables_small):
     assert ledger.ledger_length_violations(staged).count() == 0
     long_ticket = staged.limit(1).withColumn("ticket_number", F.lit("x" * 36))
     assert ledger.ledger_length_violations(long_ticket).count() == 1
+
+
+def test_cli_store_rejects_duplicate_keys(spark, tmp_path, fixture_tables_small):
+    import pytest
+
+    from clinicledger.__main__ import main
+    from clinicledger.sources.tables import Tables
+
+    src, dst = str(tmp_path / "plain"), str(tmp_path / "layout")
+    for name in Tables.names():
+        df = fixture_tables_small.table(name)
+        if name == "patient_visit":
+            df = df.unionByName(df.limit(1))  # one visit id twice
+        df.write.parquet(f"{src}/{name}")
+    with pytest.raises(ValueError, match="patient_visit"):
+        main(["store", "--source", src, "--target", dst, "--buckets", "4"])
