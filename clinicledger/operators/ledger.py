@@ -68,7 +68,13 @@ from clinicledger.operators.dims import (
     with_medlist,
     with_providers,
 )
-from clinicledger.operators.filters import date_type_column, exclude_keys, exclude_test_patients, optional_in
+from clinicledger.operators.filters import (
+    date_type_column,
+    exclude_keys,
+    exclude_test_patients,
+    optional_in,
+    within_key_range,
+)
 from clinicledger.operators.resources import resource_label_by_visit, visit_resource_types
 from clinicledger.sources.tables import Tables
 
@@ -233,8 +239,9 @@ def charge_amounts(t: Tables, f: LedgerFilter) -> DataFrame:
     lines = procedure_lines(t, selected & _service_window(f, "end_plus_day"), f)
     lines = optional_in(lines, "batch_id", f.batches)
     lines = require_exists(lines, dim(t, "batch", ["batch_id"]), "batch_id")
-    pvpa = t.patient_visit_procs_agg.select(
-        "patient_visit_procs_id", "orig_ins_allocation", "orig_pat_allocation"
+    pvpa = within_key_range(
+        t.patient_visit_procs_agg.select("patient_visit_procs_id", "orig_ins_allocation", "orig_pat_allocation"),
+        lines, "patient_visit_procs_id",
     )
     rows = lines.join(pvpa, "patient_visit_procs_id")
     zero = F.lit(0).cast(LEDGER_MONEY)
@@ -289,8 +296,11 @@ def payment_amounts(t: Tables, f: LedgerFilter) -> DataFrame:
     lines = procedure_lines(t, _service_window(f, "end_exclusive"), f).select(
         "patient_visit_procs_id", "code", "qualifier", "date_of_service_from"
     )
-    td = t.transaction_distributions.select("transactions_id", "patient_visit_procs_id", "amount").filter(
-        F.col("amount") != 0
+    td = within_key_range(
+        t.transaction_distributions.select("transactions_id", "patient_visit_procs_id", "amount").filter(
+            F.col("amount") != 0
+        ),
+        lines, "patient_visit_procs_id",
     )
     tr = t.transactions.select("transactions_id", "visit_transactions_id", "action")
     vt = t.visit_transactions.select("visit_transactions_id", "patient_visit_id", "payment_method_id")

@@ -31,7 +31,7 @@ from clinicledger.operators.dims import (
     with_carrier,
     with_providers,
 )
-from clinicledger.operators.filters import date_type_column, equals, optional_in
+from clinicledger.operators.filters import date_type_column, equals, optional_in, within_key_range
 from clinicledger.operators.ledger import (
     REPORT_COLUMNS,
     charge_amounts,
@@ -117,9 +117,12 @@ def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
         "patient_visit_procs_id", "patient_visit_id", "batch_id", "cpt_code", "date_of_service_from",
         "date_of_entry",
     ).filter(window)
-    pvpa = t.patient_visit_procs_agg.select(
-        "patient_visit_procs_id", "patient_visit_id", "ins_allocation", "pat_allocation",
-        "ins_adjustment", "pat_adjustment",
+    pvpa = within_key_range(
+        t.patient_visit_procs_agg.select(
+            "patient_visit_procs_id", "patient_visit_id", "ins_allocation", "pat_allocation",
+            "ins_adjustment", "pat_adjustment",
+        ),
+        pvp, "patient_visit_procs_id",
     )
     # Payments only matter for lines served inside the closed window: a
     # cheap pushed-down scan selects them for the payment chain.

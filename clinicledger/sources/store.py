@@ -42,8 +42,8 @@ from clinicledger.sources.tables import TABLE_SCHEMAS, Tables
 # table -> (bucket key, sort columns within a bucket)
 BUCKETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "patient_visit_procs": ("patient_visit_procs_id", ("date_of_service_from",)),
-    "patient_visit_procs_agg": ("patient_visit_procs_id", ()),
-    "transaction_distributions": ("patient_visit_procs_id", ()),
+    "patient_visit_procs_agg": ("patient_visit_procs_id", ("patient_visit_procs_id",)),
+    "transaction_distributions": ("patient_visit_procs_id", ("patient_visit_procs_id",)),
     "transactions": ("transactions_id", ()),
     "visit_transactions": ("visit_transactions_id", ()),
     "patient_visit": ("patient_visit_id", ()),
@@ -188,7 +188,7 @@ def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | No
     root = ensure_checkpoint_dir(spark).rstrip("/")
     digest = hashlib.sha1(tag.encode()).hexdigest()[:16]
     buckets = buckets or default_buckets(spark)
-    return store_tables(tables, f"{root}/clinicledger-tables/{digest}-v3-b{buckets}", buckets)
+    return store_tables(tables, f"{root}/clinicledger-tables/{digest}-v4-b{buckets}", buckets)
 
 
 def materialize_enabled() -> bool:

@@ -194,3 +194,21 @@ def test_fixture_matches_measured_counts(spark, fixture_tables_small):
         & (F.col("date_of_service_from") < F.lit("1997-03-31 23:59:59.997").cast("timestamp_ntz"))
     )
     assert window.count() == 209
+
+
+def test_key_range_prefilter_gives_same_reports(spark, fixture_tables_small):
+    """The opt-in key-range pre-filter is exact and reaches the scans."""
+    from clinicledger.operators.filters import KEY_RANGE_CONF
+    from tests.conftest import rows
+
+    t = fixture_tables_small
+    plain = (rows(reports.encounter_report(t, ENCOUNTER)), rows(reports.revenue_journal(t, REVENUE)))
+    spark.conf.set(KEY_RANGE_CONF, "true")
+    try:
+        enc = reports.encounter_report(t, ENCOUNTER)
+        filtered = (rows(enc), rows(reports.revenue_journal(t, REVENUE)))
+        plan = _plan(enc)
+    finally:
+        spark.conf.unset(KEY_RANGE_CONF)
+    assert filtered == plain and len(plain[0]) > 0
+    assert "GreaterThanOrEqual(patient_visit_procs_id" in plan
