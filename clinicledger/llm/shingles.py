@@ -78,10 +78,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, letters A-Z as a-z.  Works through segments
-    of whole spans, so its memory doesn't grow with a text's length."""
-    out = np.empty(len(starts), np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *shorter: np.ndarray):
+    """64-bit hash of each span, letters A-Z as a-z; with ``shorter`` ends, a
+    list that also holds the hashes of the spans cut there.  Works through
+    segments of whole spans, so its memory doesn't grow with a text's length
+    (but for a single word's)."""
+    outs = [np.empty(len(starts), np.uint64) for _ in range(1 + len(shorter))]
     at = 0
     while at < len(starts):
         low = starts[at]
@@ -91,10 +93,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         sums = np.empty(high - low + 1, np.uint64)
         sums[0] = 0
         np.cumsum(code, out=sums[1:])
-        first, last = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix((sums[last] - sums[first]) * _power(_INVERSE, high - low)[first] + (last - first).astype(np.uint64))
+        first = starts[at:to] - low
+        undo = _power(_INVERSE, high - low)[first]
+        for out, stop in zip(outs, (ends, *shorter)):
+            last = stop[at:to] - low
+            out[at:to] = mix((sums[last] - sums[first]) * undo + (last - first).astype(np.uint64))
         at = to
-    return out
+    return outs if shorter else outs[0]
 
 
 def shingle_sets(texts: pa.Array, width: int, kind: np.ndarray) -> Iterator[np.ndarray]:
