@@ -158,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int =
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item; columns unchanged.
     A row without a doc_id is judged by its text."""
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
     found = leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, width, percent)
-    gone = small(stored(found.select(F.col("doc_id").alias("_row")).distinct(), "leaks"))
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = small(stored(found.select(F.col("doc_id").alias("__row")).distinct(), "leaks"))
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -31,7 +31,7 @@ FIELD = "<*>"
 def masked(line: Column) -> Column:
     """The line's tokens joined by single spaces, variable fields masked."""
     clean = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(clean)
+    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(clean)
 
 
 def _lines(docs: DataFrame) -> DataFrame:

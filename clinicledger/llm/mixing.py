@@ -38,21 +38,21 @@ def cumulative(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, by: str = "source") -> DataFrame:
-    """``_source``, ``rate``, ``sums`` for every value of ``by`` (null is a
+    """``__mix_source``, ``rate``, ``sums`` for every value of ``by`` (null is a
     value).  Without weights all values weigh the same; with them, a value
     that has none weighs 0.  Weights are shares of the row total."""
-    counts = stored(docs.groupBy(F.col(by).alias("_source")).agg(F.count("*").alias("n")), "sources")
+    counts = stored(docs.groupBy(F.col(by).alias("__mix_source")).agg(F.count("*").alias("n")), "sources")
     if weights is None:
         weighted = counts.withColumn("weight", F.lit(1.0))
     else:
         if any(w < 0 for w in weights.values()) or not sum(weights.values()) > 0:
             raise ValueError("weights are not negative and their sum is positive")
         given = docs.sparkSession.createDataFrame(list(weights.items()), "_s string, weight double")
-        weighted = counts.join(F.broadcast(given), F.col("_source").cast("string").eqNullSafe(F.col("_s")), "left")
-        weighted = weighted.select("_source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        weighted = counts.join(F.broadcast(given), F.col("__mix_source").cast("string").eqNullSafe(F.col("_s")), "left")
+        weighted = weighted.select("__mix_source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = weighted.agg(F.sum("n").alias("total"), F.sum("weight").alias("weights"))
     rate = F.when(F.col("weights") > 0, F.col("weight") * F.col("total") / (F.col("weights") * F.col("n"))).otherwise(0.0)
-    return weighted.crossJoin(F.broadcast(total)).select("_source", rate.alias("rate")).withColumn(  # a one-row side
+    return weighted.crossJoin(F.broadcast(total)).select("__mix_source", rate.alias("rate")).withColumn(  # a one-row side
         "sums", cumulative(F.col("rate"))
     )
 
@@ -66,15 +66,16 @@ def replicate(
     Rows with equal doc_id and text draw equally; null ids and texts count as
     empty.  An empty table stays empty.  An input column ``copy`` is replaced.
     """
-    table = small(stored(rates(docs, weights, by), "rates"), 10_000)
+    table = rates(docs, weights, by).withColumnsRenamed({"rate": "__mix_rate", "sums": "__mix_sums"})
+    table = small(stored(table, "rates"), 10_000)
     names = [c for c in docs.columns if c != "copy"]
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    drawn = docs.select(*names).withColumn("_text", text).join(table, F.col(by).eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_u", uniform(seed, F.col("doc_id"), F.col("_text")))
-    drawn = drawn.withColumn("_count", F.size(F.filter("sums", lambda c: c <= F.col("_u"))))
-    copies = drawn.filter("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    order = F.xxhash64(F.lit(seed), "doc_id", "_text", "copy")
-    return copies.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").select(*names, "copy")
+    drawn = docs.select(*names).withColumn("__mix_text", text).join(table, F.col(by).eqNullSafe(F.col("__mix_source")))
+    drawn = drawn.withColumn("__mix_u", uniform(seed, F.col("doc_id"), F.col("__mix_text")))
+    drawn = drawn.withColumn("__mix_count", F.size(F.filter("__mix_sums", lambda c: c <= F.col("__mix_u"))))
+    copies = drawn.filter("__mix_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_count"))))
+    order = F.xxhash64(F.lit(seed), "doc_id", "__mix_text", "copy")
+    return copies.withColumn("__mix_order", order).repartition("__mix_order").sortWithinPartitions("__mix_order").select(*names, "copy")
 
 
 #: DuckDB SQL for ``replicate`` over a relation {docs}, seed {seed}

@@ -27,7 +27,9 @@ ROUNDS = 5
 #: days of the 400 years from 1800-01-01, = 189 * 773
 EPOCH, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
-EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: every pattern starts at a run's beginning or is bounded, so that a scan is
+#: linear in the text's length
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 PASSWORD = r"(?<=password=)[^\s\"']+"
 TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])"
