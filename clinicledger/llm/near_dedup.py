@@ -12,9 +12,10 @@ a bucket of m members gives m - 1 pairs.  Pairs are confirmed on full
 shingle sets.  A star alone would lose a link between two members that their
 centre doesn't confirm.  So members of buckets that still reach over several
 components are joined again by an exact prefix filter: sets at the threshold
-share one of their rarest shingles.  It makes no pairs of documents that have
-only a frequent passage in common, however many they are, and pairs inside a
-component aren't made.  Nothing caps a bucket.
+share one of their rarest shingles, and their parity bitmaps differ in no more
+bits than the sets may differ in shingles.  It makes no pairs of documents that
+have only a frequent passage in common, however many they are, and pairs inside
+a component aren't made.  Nothing caps a bucket.
 
 The centre is the member with the smallest hash, in one of four hash orders
 by band, so that a group whose copies aren't all similar to one of them is
@@ -43,6 +44,8 @@ CENTRE_ORDERS = 4
 #: one in so many of the rest's documents tells which shingles are frequent,
 #: and so many of those are told to all tasks; both only order the prefixes
 SAMPLE, FREQUENT = 16, 200_000
+#: 64-bit words of a set's parity bitmap
+WORDS = 16
 _TOP = U(64 - 8)
 _SEEDS = mix(np.arange(1, BINS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 #: random bin sequences for densification, one row per bin
@@ -141,15 +144,20 @@ def _tokens(width: int):
 
 def _prefix(width: int, percent: int, frequent: dict[int, int]):
     """The first n - ceil(percent/100 n) + 1 shingles of a set of n, those
-    that aren't frequent first: sets at the threshold share one of them."""
+    that aren't frequent first: sets at the threshold share one of them.
+    With each, a bitmap of which of 64 * WORDS hash values the set has an odd
+    number of times: two sets differ in at least as many shingles as their
+    bitmaps do in bits."""
     known = np.array(sorted(frequent), np.int64)
     times = np.array([frequent[k] for k in known.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_by_bytes(whole, "text"):
-                tokens, sizes = [], []
+                tokens, sizes, parities = [], [], []
                 for s in shingle_sets(batch.column("text"), width, NON_SPACE):
+                    odd = np.bincount((mix(s) >> U(54)).astype(np.int64), minlength=64 * WORDS) & 1
+                    parities.append(np.packbits(odd.astype(np.uint8)))
                     t = s.view(np.int64)
                     rank = np.zeros(len(t), np.int64)
                     if len(known):
@@ -158,11 +166,13 @@ def _prefix(width: int, percent: int, frequent: dict[int, int]):
                     tokens.append(t[np.lexsort((t, rank))[:len(t) - -(-percent * len(t) // 100) + 1]])
                     sizes.append(len(t))
                 reps = [len(t) for t in tokens]
+                odd = np.repeat(np.array(parities).view("<i8").reshape(-1, WORDS), reps, axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens)),
                      *[pa.array(np.repeat(batch.column(c).to_numpy(), reps)) for c in ("node", "label")],
-                     pa.array(np.repeat(np.array(sizes, np.int64), reps))],
-                    ["token", "node", "label", "n"],
+                     pa.array(np.repeat(np.array(sizes, np.int64), reps)),
+                     *[pa.array(np.ascontiguousarray(odd[:, k])) for k in range(WORDS)]],
+                    ["token", "node", "label", "n", *[f"w{k}" for k in range(WORDS)]],
                 )
     return run
 
@@ -239,15 +249,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         frequent = {r["token"]: r["count"] for r in seen.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()}
         prefix = stored(
-            left.mapInArrow(_prefix(width, percent, frequent), "token long, node long, label long, n long"), "near-prefix"
+            left.mapInArrow(_prefix(width, percent, frequent), "token long, node long, label long, n long, " + ", ".join(f"w{k} long" for k in range(WORDS))), "near-prefix"
         )
-        mine = prefix.select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        other = prefix.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+        mine, other = (
+            prefix.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in prefix.columns[2:]]) for x in "ab"
+        )
+        differ = sum((F.bit_count(F.col(f"w{k}a").bitwiseXOR(F.col(f"w{k}b"))) for k in range(WORDS)), F.lit(0))
         more = (
-            mine.join(other, "token").filter("a < b and la != lb")
+            mine.join(other, "token").filter("a < b and labela != labelb")
             .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            .filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
             .select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
         )
+        more = stored(more, "near-pairs")
         labels = components(linked.union(check(more, "near-linked")), "a", "b")
 
     named = (
