@@ -39,8 +39,7 @@ def _emit(df, args, partition_by=("month_of_service",), sort_by=()):
     from clinicledger.sources.sinks import write_report
 
     if args.out:
-        write_report(df, args.out, partition_by=partition_by if partition_by[0] in df.columns else (),
-                     sort_by=sort_by)
+        write_report(df, args.out, partition_by=partition_by, sort_by=sort_by)
         print(f"written to {args.out}")
     else:
         df.show(args.show, truncate=False)
@@ -102,11 +101,7 @@ def main(argv: list[str] | None = None) -> int:
         from clinicledger.sources.store import store_tables
         from clinicledger.sources.tables import load_tables
 
-        stored = store_tables(load_tables(spark, args.source), args.target, args.buckets)
-        if not args.no_check_keys:
-            from clinicledger.sources.tables import assert_unique_keys
-
-            assert_unique_keys(stored)
+        store_tables(load_tables(spark, args.source), args.target, args.buckets, check_keys=not args.no_check_keys)
         print(f"stored in {args.target}")
         return 0
 
@@ -119,7 +114,7 @@ def main(argv: list[str] | None = None) -> int:
             companies=args.companies, carriers=args.carriers, batches=args.batches, resources=args.resources,
             ordered=args.out is None,
         )
-        _emit(reports.encounter_report(t, p), args, sort_by=("facility_name", "ticket_number"))
+        _emit(reports.encounter_report(t, p, sort_keys=args.out is not None), args)
     elif args.command == "revenue":
         kw = {"date_type": args.date_type, "facilities": args.facilities, "carriers": args.carriers,
               "fanout": args.fanout, "rates": RateSchedule().shifted(args.rate_shift_years),
@@ -129,10 +124,10 @@ def main(argv: list[str] | None = None) -> int:
         if args.cutoff:
             kw["cutoff"] = args.cutoff.date()
         p = RevenueParams.rolling(args.as_of, args.months, **kw)
-        _emit(reports.revenue_journal(t, p), args, sort_by=("date_of_service",))
+        _emit(reports.revenue_journal(t, p, sort_keys=args.out is not None), args)
     elif args.command == "visit-payments":
         patient = args.patient_id or VisitPaymentParams().patient_id
-        _emit(reports.visit_payments(t, patient), args, partition_by=("visit",))
+        _emit(reports.visit_payments(t, patient), args, partition_by=(), sort_by=("visit",))
     return 0
 
 

@@ -1,12 +1,13 @@
 """Date and timestamp expressions: literals, report windows, month buckets.
 
-Three end-bound dialects occur in the reports:
+Four window dialects occur in the reports:
 
 * ``end_plus_day``  - ``col >= start AND col < end + 1 day`` (whole last day)
 * ``end_exclusive`` - ``col >= start AND col < end``          (raw end)
 * ``between``       - ``col >= start AND col <= end``         (closed)
+* ``bounded``       - as ``between``, but never true with an unset bound
 
-An unset start means 1900-01-01 and an unset end 3000-01-01.
+Elsewhere an unset start means 1900-01-01 and an unset end 3000-01-01.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 OPEN_START = dt.datetime(1900, 1, 1)
 OPEN_END = dt.datetime(3000, 1, 1)
 
-WINDOW_MODES = ("end_plus_day", "end_exclusive", "between")
+WINDOW_MODES = ("end_plus_day", "end_exclusive", "between", "bounded")
 
 
 def as_datetime(value: dt.date | dt.datetime | str) -> dt.datetime:
@@ -46,7 +47,7 @@ def window_bounds(
     hi = as_datetime(end) if end is not None else OPEN_END
     if mode == "end_plus_day":
         return lo, hi + dt.timedelta(days=1), False
-    return lo, hi, mode == "between"
+    return lo, hi, mode in ("between", "bounded")
 
 
 def in_window(
@@ -59,6 +60,8 @@ def in_window(
     filter drops rows with a NULL date)."""
     c = F.col(col) if isinstance(col, str) else col
     lo, hi, inclusive = window_bounds(start, end, mode)
+    if mode == "bounded" and (start is None or end is None):
+        return F.lit(False)
     upper = c <= ts_lit(hi) if inclusive else c < ts_lit(hi)
     return (c >= ts_lit(lo)) & upper
 

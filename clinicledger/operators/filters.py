@@ -8,6 +8,7 @@ out of ``NOT IN``, ``NOT LIKE``, ``<>`` and range tests.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,9 @@ from clinicledger.functions.dates import in_window, ts_lit
 from clinicledger.functions.text import contains_none
 
 # Lists longer than this become a broadcast semi/anti join instead of an
-# IN-set predicate. The list is a driver-side parameter, so its size is known.
+# IN-set predicate (the list is a driver-side parameter, so its size is
+# known). Both forms select the same rows: NULL entries are ignored, values
+# are compared as the column's type, a NULL column value matches nothing.
 INLINE_LIST_MAX = 5_000
 
 
@@ -27,17 +30,32 @@ def _col(c: Column | str) -> Column:
 
 
 def _sql_literal(v) -> str:
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, bool) or v is None:
-        raise TypeError(f"unsupported IN-list value {v!r}")
-    return repr(v)
+    """``v`` as a SQL literal of its own type."""
+    if isinstance(v, bool):
+        return str(v).upper()
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP_NTZ '{v.isoformat(sep=' ', timespec='microseconds')}'"
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
+    if isinstance(v, decimal.Decimal):
+        return f"{v:f}BD"
+    if isinstance(v, float):
+        return f"DOUBLE('{v!r}')"
+    if isinstance(v, int):
+        return f"{v}L" if abs(v) > 2**31 - 1 else str(v)
+    # by code points: no character has a meaning inside the literal
+    return "CAST(X'" + str(v).encode().hex() + "' AS STRING)"
+
+
+def _listed(values: Sequence) -> list:
+    return [v for v in dict.fromkeys(values) if v is not None]
 
 
 def in_list(col: str, values: Sequence) -> Column:
     """``col IN (values)`` built as one SQL expression: a long literal list
     reaches the JVM in one call instead of one call per value (Catalyst
-    turns it into the same hashed IN-set)."""
+    turns it into the same hashed IN-set). NULL entries are ignored."""
+    values = _listed(values)
     if not values:
         return F.lit(False)
     return F.expr(f"`{col}` IN ({', '.join(_sql_literal(v) for v in values)})")
@@ -74,17 +92,19 @@ def _values_frame(df: DataFrame, values: Sequence, col: str) -> DataFrame:
 
 def optional_in(df: DataFrame, col: str, values: Sequence | None) -> DataFrame:
     """Optional multi-value filter: no predicate at all when ``values`` is
-    None ("all"), else ``col IN (values)``."""
+    None ("all"), else ``col IN (values)``; an empty list keeps nothing."""
     if values is None:
         return df
-    values = list(values)
+    values = _listed(values)
     if len(values) <= INLINE_LIST_MAX:
         return df.filter(in_list(col, values))
     return df.join(_values_frame(df, values, col), F.col(col) == F.col("v"), "left_semi")
 
 
 def exclude_keys(df: DataFrame, col: str, excluded: Sequence | DataFrame) -> DataFrame:
-    """``col NOT IN (excluded)``: rows with a NULL ``col`` are dropped too.
+    """``col NOT IN (excluded)``: rows with a NULL ``col`` are dropped too,
+    whatever the length or form of ``excluded`` (also if it is empty); NULL
+    entries are ignored.
 
     A literal list compiles to a hashed IN-set inside generated code; a
     DataFrame of keys (any size) becomes an anti join, which Spark plans as a
@@ -95,9 +115,9 @@ def exclude_keys(df: DataFrame, col: str, excluded: Sequence | DataFrame) -> Dat
         (kcol,) = excluded.columns
         keys = excluded.select(F.col(kcol).alias("_excluded_key")).filter(F.col("_excluded_key").isNotNull())
         return df.filter(key.isNotNull()).join(keys, key == F.col("_excluded_key"), "left_anti")
-    values = list(excluded)
+    values = _listed(excluded)
     if len(values) <= INLINE_LIST_MAX:
-        return df.filter(~in_list(col, values))
+        return df.filter(key.isNotNull() & ~in_list(col, values))
     keys = _values_frame(df, values, col)
     return df.filter(key.isNotNull()).join(keys, key == F.col("v"), "left_anti")
 

@@ -41,7 +41,7 @@ from clinicledger.operators.ledger import (
 )
 from clinicledger.operators.resources import resource_fanout, resource_label_by_assignment
 from clinicledger.plans.params import EncounterParams, RevenueParams
-from clinicledger.sources.sinks import with_report_date
+from clinicledger.sources.sinks import SORT_PREFIX, with_report_date
 from clinicledger.sources.tables import Tables
 
 
@@ -72,9 +72,15 @@ def encounter_ledger(t: Tables, p: EncounterParams) -> DataFrame:
     return stage_amounts(charge_amounts(t, f).unionByName(payment_amounts(t, f)), t, f)
 
 
-def encounter_report(t: Tables, p: EncounterParams = EncounterParams()) -> DataFrame:
+def _sort_columns(*names: str) -> list:
+    """A report's sort keys under names that a sink drops."""
+    return [F.col(c).alias(f"{SORT_PREFIX}{k}_{c}") for k, c in enumerate(names)]
+
+
+def encounter_report(t: Tables, p: EncounterParams = EncounterParams(), sort_keys: bool = False) -> DataFrame:
     """Encounter report: the ledger summed per ticket, resource, type and
-    procedure code, with clamped encounter counts.
+    procedure code, with clamped encounter counts. ``sort_keys`` adds the
+    report's order for ``write_report``.
 
     Only the resource variant (``include_resource == 1``) has a definition;
     any other value yields an empty result of the same schema.
@@ -87,7 +93,8 @@ def encounter_report(t: Tables, p: EncounterParams = EncounterParams()) -> DataF
         # is still the report's, and a company or facility holding a large
         # share of the rows spreads over many range partitions
         report = report.orderBy("company_name", "facility_name", "ticket_number", *ORDER_TIE_BREAK)
-    return report.select(*REPORT_COLUMNS)
+    hidden = _sort_columns("company_name", "facility_name", "ticket_number", *ORDER_TIE_BREAK) if sort_keys else []
+    return report.select(*REPORT_COLUMNS, *hidden)
 
 
 # the remaining group keys of the rollup: together with the report's order
@@ -126,7 +133,7 @@ def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
     )
     # Payments only matter for lines served inside the closed window: a
     # cheap pushed-down scan selects them for the payment chain.
-    between = in_window("date_of_service_from", p.start, p.end, "between")
+    between = in_window("date_of_service_from", p.start, p.end, "bounded")
     totals = collection_totals(t, pvp.filter(between), p.closing, p.cutoff)
     batches = dim(t, "batch", ["batch_id"]).select("batch_id", F.lit(True).alias("batch_ok"))
     lines = (
@@ -164,12 +171,13 @@ def with_resource_copies(df: DataFrame) -> DataFrame:
 
 def window_visits(t: Tables, p: RevenueParams) -> DataFrame:
     """Ids of visits with a procedure line in the report window (a pushed
-    down scan of the lines)."""
+    down scan of the lines), once each: a visit with a large share of the
+    lines combines before the shuffle."""
     col = date_type_column(p.date_type, "date_of_service_from", "date_of_entry")
     window = in_window(col, p.start, p.end, "end_plus_day") if col else F.lit(False)
     return t.patient_visit_procs.select("patient_visit_id", "date_of_service_from", "date_of_entry").filter(
         window
-    ).select("patient_visit_id")
+    ).select("patient_visit_id").distinct()
 
 
 def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) -> DataFrame:
@@ -201,8 +209,9 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
     return pv.join(resource_rows(t, within=in_window), "patient_visit_id", "left") if with_resources else pv
 
 
-def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
-    """Revenue journal entry report (26 columns)."""
+def revenue_journal(t: Tables, p: RevenueParams, sort_keys: bool = False) -> DataFrame:
+    """Revenue journal entry report (26 columns). ``sort_keys`` adds the
+    report's order for ``write_report``."""
     lines = revenue_lines(t, p).join(revenue_visits(t, p), "patient_visit_id")
     # a line has collections when its batch exists, it was served in the
     # closed window, its patient exists and its visit has counted resources
@@ -249,4 +258,5 @@ def revenue_journal(t: Tables, p: RevenueParams) -> DataFrame:
     # the reference's duplicate rows share their line's sort key and are
     # generated per row after the sort (order kept; the sort's sampling and
     # shuffle see each label row once)
-    return with_resource_copies(out).select(*REVENUE_COLUMNS)
+    hidden = _sort_columns("date_of_service_from", "patient_visit_id", "patient_visit_procs_id") if sort_keys else []
+    return with_resource_copies(out).select(*REVENUE_COLUMNS, *hidden)

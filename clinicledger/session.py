@@ -59,8 +59,8 @@ def get_spark(
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local runs, tests) a
-    scratch directory is taken."""
+    ``spark.checkpoint.dir``. Only a local master may leave it unset and gets
+    a scratch directory; executors on other machines couldn't see one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -70,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     local = tempfile.mkdtemp(prefix="clinicledger-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -1,11 +1,11 @@
 """Report sinks.
 
-A report is written partitioned by service month and sorted inside each
-partition, instead of one global sort: a global ORDER BY is a range shuffle
-whose equal-key runs cannot be split, while month partitions are written in
-parallel and each reads back in report order. ``orderBy`` on the returned
-DataFrame (the reports' ``ordered=True``) remains available for a single
-ordered result set.
+A report is written in its own order: rows are dealt by ranges of the
+partition columns and the report's sort keys, and sorted within, so the files
+of one month, by name, read back in report order, while many tasks write.
+Sort keys that the report doesn't show come as ``SORT_PREFIX`` columns and
+are dropped before the write. ``orderBy`` on the returned DataFrame (the
+reports' ``ordered=True``) remains for a single ordered result set.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from clinicledger.functions.dates import ts_lit
 
 
+#: prefix of columns that only order a report
+SORT_PREFIX = "_sort_"
+
+
 def with_report_date(df: DataFrame, as_of: dt.datetime, name: str = "report_date") -> DataFrame:
     """Stamp rows with the run's as-of time (a parameter, so reruns repeat)."""
     return df.withColumn(name, ts_lit(as_of))
@@ -31,15 +35,19 @@ def write_report(
     sort_by: Sequence[str] = (),
     mode: str = "overwrite",
     fmt: str = "parquet",
+    max_records_per_file: int = 5_000_000,
 ) -> None:
     """Write a report under ``path``, one directory per ``partition_by``
-    value, rows sorted by ``sort_by`` within each file. Rows of a partition
-    value are spread over tasks (no single task per month)."""
+    value, in the order of its ``SORT_PREFIX`` columns, or of ``sort_by``
+    where it has none. A month's rows lie in few files (ranges, not one file
+    per task and month) of at most ``max_records_per_file`` rows."""
     parts = [c for c in partition_by if c in df.columns]
+    hidden = [c for c in df.columns if c.startswith(SORT_PREFIX)]
+    keys = [*parts, *(hidden or sort_by)]
     out = df
-    if sort_by:
-        out = out.sortWithinPartitions(*parts, *sort_by)
-    writer = out.write.mode(mode).format(fmt)
+    if keys:
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*hidden)
+    writer = out.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.save(path)

@@ -32,13 +32,18 @@ files in a new session); the rest are plain Parquet.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clinicledger.session import ensure_checkpoint_dir
-from clinicledger.sources.tables import TABLE_SCHEMAS, Tables
+from clinicledger.sources.tables import TABLE_SCHEMAS, Tables, assert_unique_keys
 
+#: part of every version's name; raise it when the layout itself changes
+LAYOUT_VERSION = 5
 # table -> (bucket key, sort columns within a bucket)
 BUCKETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "patient_visit_procs": ("patient_visit_procs_id", ("date_of_service_from",)),
@@ -63,13 +68,48 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """Bucket count: the cluster's parallelism (two tasks per core), capped
-    by the shuffle partition count, so that bucketed scans keep every core
-    busy and a join against a shuffled side needs no more partitions than a
-    shuffle would have."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, 2 * spark.sparkContext.defaultParallelism))
+#: bytes of a table (as the optimizer estimates them) per bucket
+BUCKET_BYTES = 256 << 20
+
+
+def default_buckets(spark: SparkSession, table_bytes: int = 0) -> int:
+    """Bucket count of a layout: two tasks per core and at least one bucket
+    for every ``BUCKET_BYTES`` of its largest table, as a power of two. All
+    tables share the count, so that every join meets in place."""
+    least = max(2 * spark.sparkContext.defaultParallelism, -(-table_bytes // BUCKET_BYTES))
+    return 1 << (least - 1).bit_length()
+
+
+def largest_table_bytes(tables: Tables) -> int:
+    """Estimated size of the largest bucketed table (plan statistics only)."""
+    return max(
+        int(str(tables.table(name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for name in BUCKETS
+    )
+
+
+def source_fingerprint(tables: Tables) -> str:
+    """Digest of what the tables are read from: each table's plan and its
+    input files with their lengths and times. Tables without files (literal
+    rows) get a new digest each time, so they are never mistaken for a copy."""
+    spark = tables.spark
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    seen: dict[str, str] = {}
+    digest = hashlib.sha256()
+    for name in Tables.names():
+        df = tables.table(name)
+        files = sorted(df.inputFiles())
+        if not files:
+            return uuid.uuid4().hex
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+        digest.update(f"{name} {df.schema.simpleString()} {re.sub('#[0-9]+L?', '', plan)}".encode())
+        for f in files:
+            if f not in seen:
+                path = path_of(spark.sparkContext._jvm.java.net.URI(f))
+                status = path.getFileSystem(conf).getFileStatus(path)
+                seen[f] = f"{f} {status.getLen()} {status.getModificationTime()}"
+            digest.update(seen[f].encode())
+    return digest.hexdigest()
 
 
 def _table_name(prefix: str, name: str) -> str:
@@ -141,54 +181,95 @@ def load_stored(spark: SparkSession, base_dir: str, prefix: str) -> Tables:
     return Tables(**frames)
 
 
-LAYOUT_MARKER = "_clinicledger_layout"
+LAYOUT_MARKER = "clinicledger_layout.json"
+
 
+def _prefix_for(folder: str) -> str:
+    return f"clinicledger_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
 
-def _prefix_for(base_dir: str, buckets: int) -> str:
-    return f"clinicledger_{hashlib.sha1(base_dir.encode()).hexdigest()[:16]}_b{buckets}"
 
+def _read_record(spark: SparkSession, base_dir: str) -> dict | None:
+    """The layout's record: version folder, bucket count, fingerprint."""
+    path = f"{base_dir}/{LAYOUT_MARKER}"
+    if not _path_exists(spark, path):
+        return None
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))
 
-def store_tables(tables: Tables, base_dir: str, buckets: int | None = None) -> Tables:
-    """Write ``tables`` to ``base_dir`` in the report layout (resuming an
-    interrupted copy), record the bucket count in a marker, and return the
-    stored tables."""
+
+def _write_record(spark: SparkSession, base_dir: str, record: dict) -> None:
+    """Point the layout at a complete version (written aside, then renamed)."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{base_dir}/{LAYOUT_MARKER}")
+    aside = jvm.org.apache.hadoop.fs.Path(f"{base_dir}/_{uuid.uuid4().hex}.json")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"could not write {target.toString()}")
+
+
+def store_tables(
+    tables: Tables, base_dir: str, buckets: int | None = None, check_keys: bool = False
+) -> Tables:
+    """Write ``tables`` under ``base_dir`` in the report layout and return
+    the stored tables.
+
+    Each source state and bucket count has a version folder of its own: a
+    repeated call finds its version, an interrupted one resumes it, and
+    changed data or another count makes a new one next to it. The record is
+    written last, after the key check, so a version that is incomplete or
+    rejected is never opened. Everything read later comes from the record.
+    """
     spark = tables.spark
     base_dir = base_dir.rstrip("/")
-    buckets = buckets or default_buckets(spark)
-    save_tables(tables, base_dir, _prefix_for(base_dir, buckets), buckets, only_missing=True)
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(
-        f"{base_dir}/{LAYOUT_MARKER}"
-    )
+    buckets = buckets or default_buckets(spark, largest_table_bytes(tables))
+    source = source_fingerprint(tables)
+    version = hashlib.sha256(f"{source} {buckets} {LAYOUT_VERSION}".encode()).hexdigest()[:20]
+    record = {"folder": version, "buckets": buckets, "source": source, "layout": LAYOUT_VERSION}
+    if _read_record(spark, base_dir) != record:
+        folder = f"{base_dir}/{version}"
+        save_tables(tables, folder, _prefix_for(folder), buckets, only_missing=True)
+        if check_keys:
+            assert_unique_keys(load_stored(spark, folder, _prefix_for(folder)))
+        _write_record(spark, base_dir, record)
+    elif check_keys:
+        assert_unique_keys(open_stored(spark, base_dir))
     return open_stored(spark, base_dir)
 
 
 def is_stored(spark: SparkSession, base_dir: str) -> bool:
-    return _path_exists(spark, f"{base_dir.rstrip('/')}/{LAYOUT_MARKER}/_SUCCESS")
+    return _path_exists(spark, f"{base_dir.rstrip('/')}/{LAYOUT_MARKER}")
 
 
 def open_stored(spark: SparkSession, base_dir: str) -> Tables:
     """Open tables written by ``store_tables`` in this or another session:
     bucketed tables are (re)registered in the session catalog from the
-    marker's bucket count, so Spark knows their partitioning."""
+    record's folder and bucket count, so Spark knows their partitioning."""
     base_dir = base_dir.rstrip("/")
-    buckets = spark.read.json(f"{base_dir}/{LAYOUT_MARKER}").first()["buckets"]
-    prefix = _prefix_for(base_dir, buckets)
+    record = _read_record(spark, base_dir)
+    if record is None:
+        raise FileNotFoundError(f"no stored layout in {base_dir}")
+    folder = f"{base_dir}/{record['folder']}"
+    prefix = _prefix_for(folder)
     for name in BUCKETS:
         table = _table_name(prefix, name)
         if not spark.catalog.tableExists(table):
-            _register(spark, table, name, f"{base_dir}/{name}", buckets)
-    return load_stored(spark, base_dir, prefix)
+            _register(spark, table, name, f"{folder}/{name}", record["buckets"])
+    return load_stored(spark, folder, prefix)
 
 
 def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | None = None) -> Tables:
     """Tables read back from a copy under ``spark.checkpoint.dir``; the copy
-    is written on first use (per ``tag``) and reused afterwards. This cuts
-    the lineage of derived tables: reports read stored, co-located tables,
-    and a lost executor recomputes nothing before the copy."""
+    is written on first use (per ``tag`` and state of the source files) and
+    reused afterwards. This cuts the lineage of derived tables: reports read
+    stored, co-located tables, and a lost executor recomputes nothing before
+    the copy."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    digest = hashlib.sha1(tag.encode()).hexdigest()[:16]
-    buckets = buckets or default_buckets(spark)
-    return store_tables(tables, f"{root}/clinicledger-tables/{digest}-v4-b{buckets}", buckets)
+    digest = hashlib.sha256(tag.encode()).hexdigest()[:16]
+    return store_tables(tables, f"{root}/clinicledger-tables/{digest}", buckets)
 
 
 def materialize_enabled() -> bool:
