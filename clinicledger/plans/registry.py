@@ -12,6 +12,7 @@ import dataclasses
 import datetime as dt
 import os
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ from clinicledger.operators import dims, filters, ledger, resources
 from clinicledger.plans import reports
 from clinicledger.plans.params import EncounterParams, RevenueParams
 from clinicledger.sources.fixture import fixture_tables
+from clinicledger.session import ensure_checkpoint_dir
+from clinicledger.sources.sinks import read_report, write_report
 from clinicledger.sources.store import materialize_enabled, stored_copy
 from clinicledger.sources.tables import Tables
 
@@ -123,6 +126,22 @@ def q_revenue_journal_doe(spark, sf_dir):
     return reports.revenue_journal(tables(spark, sf_dir), REVENUE_DOE)
 
 
+def q_revenue_journal_no_start(spark, sf_dir):
+    return reports.revenue_journal(tables(spark, sf_dir), dataclasses.replace(REVENUE, start=None))
+
+
+def q_revenue_journal_no_end(spark, sf_dir):
+    return reports.revenue_journal(tables(spark, sf_dir), dataclasses.replace(REVENUE, end=None))
+
+
+def q_written_encounter_report(spark, sf_dir):
+    """The encounter report written by the sink and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written-report-{uuid.uuid4().hex}"
+    report = reports.encounter_report(tables(spark, sf_dir), ENCOUNTER, sort_keys=True)
+    write_report(report, path)
+    return read_report(spark, path).select(*reports.REPORT_COLUMNS)
+
+
 def q_revenue_journal_filtered(spark, sf_dir):
     return reports.revenue_journal(tables(spark, sf_dir), REVENUE_FILTERED)
 
@@ -443,6 +462,9 @@ RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_journal": q_revenue_journal,
     "revenue_journal_doe": q_revenue_journal_doe,
     "revenue_journal_filtered": q_revenue_journal_filtered,
+    "revenue_journal_no_start": q_revenue_journal_no_start,
+    "revenue_journal_no_end": q_revenue_journal_no_end,
+    "written_encounter_report": q_written_encounter_report,
     "encounter_report_filtered": q_encounter_report_filtered,
 }
 
