@@ -19,6 +19,8 @@ the documents that lose lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,35 @@ FIELD = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens joined by single spaces, variable fields masked."""
-    clean = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(clean)
+    """The line's tokens joined by single spaces, variable fields masked.
+    Patterns run only on lines that a plain search has found something in."""
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(gap))
+    clean = F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return _let(clean, lambda c: F.when(
+        c.rlike("[0-9]"), F.regexp_replace(c, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")
+    ).otherwise(c))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Each line: ``doc_id``, ``th``, ``pos``, masked ``line``, ``n``,
-    ``leaf``; blank lines left out."""
-    rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", masked(F.col("line"))).filter("line != ''")
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH)))
+def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
+    """Each line that isn't blank: ``doc_id``, ``th``, ``pos``, ``line``
+    (hash of the masked line), ``n``, ``leaf``, and ``masked`` if asked for.
+    All of it is computed inside the generator, once per line."""
+    def parts(m: Column) -> Column:
+        return F.when(m != "", _let(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1, lambda n: F.struct(
+            F.xxhash64(m).alias("line"), n.alias("n"), F.xxhash64(n, F.substring_index(m, " ", DEPTH)).alias("leaf"),
+            *([m.alias("masked")] if with_text else []),
+        )))
+
+    lines = F.transform(F.split("text", "\n"), lambda x: _let(masked(x), parts))
+    rows = docs.select("doc_id", "th", F.posexplode(lines).alias("pos", "l"))
+    return rows.filter("l is not null").select("doc_id", "th", "pos", "l.*")
 
 
 def _many(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -52,11 +71,7 @@ def _many(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_first: bool = False) -> DataFrame:
     """``doc_id``, ``th`` (hash of the text) and ``gone``, the sorted numbers
     of the lines to drop, for every distinct document that loses some."""
-    lines = _lines(docs)
-    coded = stored(
-        lines.filter(F.col("n") >= min_tokens).select("doc_id", "th", "pos", "n", "leaf", F.xxhash64("line").alias("line")),
-        "lines",
-    )
+    coded = stored(_lines(docs, False).filter(F.col("n") >= min_tokens), "lines")
     busy = coded.groupBy("leaf").agg(F.count("*").alias("c"), F.min("line").alias("x"), F.max("line").alias("y"))
     busy = stored(busy.filter(F.col("c") >= min_docs).select("leaf", (F.col("x") != F.col("y")).alias("mixed")), "leaves")
     near = stored(coded.join(small(busy), "leaf"), "near-lines")
@@ -64,10 +79,10 @@ def recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_firs
     # leaves with different lines: tokens vote at each position
     mixed = small(stored(busy.filter("mixed").select("leaf"), "mixed"))
     texts = (
-        lines.filter((F.col("n") >= min_tokens) & (F.col("n") > DEPTH)).select("leaf", "n", "line").join(mixed, "leaf")
-        .groupBy("leaf", "n", "line").agg(F.count("*").alias("c")).drop("c")
+        _lines(docs, True).filter((F.col("n") >= min_tokens) & (F.col("n") > DEPTH)).join(mixed, "leaf")
+        .groupBy("leaf", "n", "line").agg(F.first("masked").alias("masked"))
     )
-    texts = stored(texts.select("leaf", "n", F.split("line", " ").alias("tokens"), F.xxhash64("line").alias("line")), "leaf-lines")
+    texts = stored(texts.select("leaf", "n", F.split("masked", " ").alias("tokens"), "line"), "leaf-lines")
     votes = texts.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "n", "at", "token").agg(
         F.count("*").alias("c")
     )
