@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from clinicledger.llm.common import ascii_lower
 
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: what lies between two words
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COVERAGE, STRETCH, SLACK = 0.6, 1.5, 3
 
 #: fixed values: phrases and labels of the base scan
@@ -51,12 +52,17 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(1))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def pair_hashes(w: Column) -> Column:
-    """Hash of each word with the next one (of the last alone)."""
-    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+def rolling_pairs(rows: DataFrame, w: Column, position: str, *keep: str) -> DataFrame:
+    """``keep``, ``position`` and ``h``, the hash of each word with the next
+    one (of the last alone, which no pair has)."""
+    following = F.slice(F.col("__w"), F.lit(2), F.greatest(F.size("__w"), F.lit(1)))
+    pairs = rows.select(*keep, w.alias("__w")).select(
+        *keep, F.posexplode(F.arrays_zip(F.col("__w").alias("a"), following.alias("b"))).alias(position, "__s")
+    )
+    return pairs.select(*keep, position, F.xxhash64("__s.a", "__s.b").alias("h"))
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -81,9 +87,9 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     templates = template_table(spark)
-    positions = templates.select("tid", F.posexplode(pair_hashes(F.col("w"))).alias("q", "h"), "n").filter("q < n").drop("n")
+    positions = rolling_pairs(templates, F.col("w"), "q", "tid", "n").filter("q < n").drop("n")
     key = ["doc_id", "th"]
-    rolling = source.filter("text is not null").select(*key, F.posexplode(pair_hashes(words(F.col("text")))).alias("p", "h"))
+    rolling = rolling_pairs(source.filter("text is not null"), words(F.col("text")), "p", *key)
     hits = rolling.join(F.broadcast(positions), "h").select(*key, "tid", "p", "q").distinct()
 
     facts = F.broadcast(templates.select("tid", "n", "base", "label"))
