@@ -13,7 +13,7 @@ Sub-packages:
 * ``functions`` - Column expressions (dates, text, money, classification)
 * ``operators`` - DataFrame -> DataFrame operators (filters, dims, ledger, ...)
 * ``plans``     - report parameters and report pipelines
-* ``streaming`` - nothing: the reports are batch only (see its docstring)
+* ``llm``       - training-data operators (imported by nothing else)
 """
 
 from clinicledger.session import get_spark
