@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinicledger.llm.common import stored
 from clinicledger.llm.shingles import ALNUM, U, batches_by_bytes, span_hashes, text_bytes, word_spans
 
 BITS = 20
@@ -52,14 +53,36 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def _sparse():
+def _occurrences():
+    """Per batch: each feature's texts and toxic texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_by_bytes(whole, "text"):
+                kinds, first = features(batch.column("text"))
+                grades = batch.column("grade").to_numpy()
+                texts = [np.unique(np.concatenate([k[a:b] for k in kinds])) for a, b in zip(first[:-1], first[1:])]
+                ids, back = np.unique(np.concatenate(texts), return_inverse=True)
+                toxic = np.repeat(grades > 0, [len(t) for t in texts])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids.astype(np.int32)), pa.array(np.bincount(back, minlength=len(ids))),
+                     pa.array(np.bincount(back, weights=toxic, minlength=len(ids)).astype(np.int64))],
+                    ["feature", "n", "a"],
+                )
+    return run
+
+
+def _sparse(tied: np.ndarray):
+    """Each text's tied features and their values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(DIMS, bool)
+        wanted[tied] = True
         for whole in batches:
             for batch in batches_by_bytes(whole, "text"):
                 kinds, first = features(batch.column("text"))
                 numbers, values = [], []
                 for a, b in zip(first[:-1], first[1:]):
-                    ids, counts = np.unique(np.concatenate([k[a:b] for k in kinds]), return_counts=True)
+                    every = np.concatenate([k[a:b] for k in kinds])
+                    ids, counts = np.unique(every[wanted[every]], return_counts=True)
                     numbers.append(ids.astype("<i4").tobytes())
                     values.append(np.log1p(counts).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -69,15 +92,20 @@ def _sparse():
     return run
 
 
-def ties(toxic: np.ndarray, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each feature: whether its occurrence is tied to the labels, and
-    whether it is so to toxic texts."""
-    a = np.bincount(ids, weights=toxic[row], minlength=DIMS)
-    n = np.bincount(ids, minlength=DIMS).astype(np.float64)
-    p = toxic.mean()
-    ratio = 2 * (a * np.log(np.maximum(a, 1e-9) / np.maximum(n * p, 1e-9))
-                 + (n - a) * np.log(np.maximum(n - a, 1e-9) / np.maximum(n * (1 - p), 1e-9)))
-    return ratio > TIED, (ratio > TIED) & (a > n * p)
+def ties(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the features whose occurrence in the sample is tied to the
+    labels, and whether to toxic texts.  Counted by Spark; few are tied."""
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("int")), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    p = toxic / n
+    part = lambda x, share: x * F.log(F.greatest(x, F.lit(1e-9)) / (F.col("n") * share))
+    counts = sample.mapInArrow(_occurrences(), "feature int, n long, a long").groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("a").alias("a")
+    )
+    ratio = 2 * (part(F.col("a"), p) + part(F.col("n") - F.col("a"), 1 - p))
+    rows = counts.filter(ratio > TIED).select("feature", (F.col("a") > F.col("n") * p).alias("toxic")).orderBy("feature").collect()
+    return np.array([r["feature"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], bool)
 
 
 def severity_grades(toxic: np.ndarray, ids: np.ndarray, row: np.ndarray, values: np.ndarray, marked: np.ndarray) -> np.ndarray:
@@ -138,25 +166,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> OrdinalModel:
         F.max(F.col("toxic").cast("int")).alias("grade")
     )
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # bounded by sample
-    rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("grade", "text")
-        .mapInArrow(_sparse(), "grade int, numbers binary, values binary")
-        .limit(2 * sample)  # ids of documents may repeat
-        .toArrow()
-    )
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("grade", "text")
+    texts = stored(texts.limit(2 * sample), "labelled")  # ids of documents may repeat
+    tied, to_toxic = ties(texts)
+    if not len(tied):
+        all_toxic = texts.filter("grade = 0").isEmpty() and not texts.isEmpty()
+        return OrdinalModel(np.zeros(DIMS, np.float32), np.full(1, -60.0 if all_toxic else 60.0))
+    rows = texts.mapInArrow(_sparse(tied), "grade int, numbers binary, values binary").toArrow()
     numbers = [np.frombuffer(x, "<i4") for x in rows.column("numbers").to_pylist()]
     values = [np.frombuffer(x, "<f4") for x in rows.column("values").to_pylist()]
-    if not numbers:
-        return OrdinalModel(np.zeros(DIMS, np.float32), np.full(1, 60.0))
     row = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
     ids, vals = np.concatenate(numbers), np.concatenate(values)
     toxic = np.clip(np.asarray(rows.column("grade").to_pylist()), 0, 1).astype(np.float64)
-    if toxic.all() or not toxic.any():
-        return OrdinalModel(np.zeros(DIMS, np.float32), np.full(1, 60.0 if not toxic.any() else -60.0))
-    tied, marked = ties(toxic, ids, row)
-    grades = severity_grades(toxic, ids, row, vals, marked)
-    keep = tied[ids]
-    return fit_ordinal(grades, ids[keep], row[keep], vals[keep])
+    marked = np.zeros(DIMS, bool)
+    marked[tied[to_toxic]] = True
+    return fit_ordinal(severity_grades(toxic, ids, row, vals, marked), ids, row, vals)
 
 
 def _score(model):
