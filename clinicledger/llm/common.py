@@ -18,9 +18,18 @@ BROADCAST_ROWS = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: rows per Arrow batch, where the session has Spark's default of 10,000:
+#: texts have kilobytes, so that would be tens of MB in each worker and task
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def tell_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it,
-    whatever folder they start in (a cluster ships it as usual)."""
+    whatever folder they start in (a cluster ships it as usual), and keep
+    their Arrow batches small."""
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 #: file used unless another is given
 TOKENIZER = "word_bpe_49k.json"
-#: chunks remembered by a worker, about 150 bytes each
-MEMO = 600_000
+#: chunks remembered by a worker, about 200 bytes each
+MEMO = 400_000
 _PLAIN_END = re.compile(r"[a-zß-öø-ÿ][.,]\Z")
 _encoders: dict[str, "Encoder"] = {}
 
