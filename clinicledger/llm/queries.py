@@ -50,7 +50,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents")).select(
+    return line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents"), min_tokens=1).select(
         "doc_id", "text", "n_lines", "n_dropped"
     )
 

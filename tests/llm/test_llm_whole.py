@@ -1,0 +1,34 @@
+"""Operators on inputs that earlier versions left partly undone."""
+
+from __future__ import annotations
+
+import pytest
+
+from clinicledger.llm import queries
+from clinicledger.llm.common import tell_workers
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(autouse=True)
+def _workers(spark):
+    tell_workers(spark)
+
+
+def frame(spark, texts, ids=None):
+    rows = [(i if ids is None else ids[i], t, "en", "s", 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def query(spark, folder, name, texts):
+    """Texts by doc_id of a registered query over a table of ``texts``."""
+    frame(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    return {r.doc_id: r for r in queries.QUERIES[name](spark, str(folder)).collect()}
+
+
+def test_op6_drops_short_lines(spark, tmp_path):
+    texts = [f"own{'x' * i} words\nLes.\n  Und\täbe.\n日本語の一行\nonly{'y' * i}" + ("\nrare pair" if i < 4 else "") for i in range(6)]
+    got = query(spark, tmp_path, "op6_line_dedup", texts)
+    for i in range(6):
+        assert got[i].text == f"own{'x' * i} words\nonly{'y' * i}" + ("\nrare pair" if i < 4 else "")
+        assert got[i].n_dropped == 3
