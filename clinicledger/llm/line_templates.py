@@ -9,6 +9,13 @@ field.  If at least ``CONSTANT`` of the positions are constant, the leaf has a
 template, and lines that have all its constant tokens belong to it.  Lines
 that belong to none are their own (masked) template.
 
+With ``several`` a leaf also holds a template per set of best supported
+tokens: each line keeps the least number of tokens that makes ``CONSTANT`` of
+its positions, those that most lines of the leaf share at their position, and
+lines that keep the same ones are a template.  Unrelated lines and other
+templates in the leaf take no vote from it.  A line may then belong to two
+templates, and goes if one of them recurs.
+
 A template that recurs in at least ``min_docs`` documents is dropped: all its
 lines are taken out of all documents (with ``keep_first``, of all but the
 document with the smallest doc_id).  Lines under ``min_tokens`` tokens stay.
@@ -68,7 +75,33 @@ def _many(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
     return rows.select(key, "doc_id", "th").distinct().groupBy(key).agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
 
 
-def recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_first: bool = False) -> DataFrame:
+def _best_supported(texts: DataFrame, votes: DataFrame) -> DataFrame:
+    """``line``, ``template`` of the lines that share their best supported
+    tokens with another line.  A leaf's first ``DEPTH`` tokens are common to
+    its lines, so only later ones are looked up."""
+    place = lambda leaf, at, token: F.xxhash64(leaf, at, token).alias("place")
+    shared = votes.filter((F.col("c") > 1) & (F.col("token") != FIELD) & (F.col("at") >= DEPTH))
+    shared = small(stored(shared.select(place("leaf", "at", "token"), "c"), "shared-tokens"))
+    head = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != FIELD))
+    need = F.greatest(F.ceil(CONSTANT * F.col("n")).cast("int") - head, F.lit(0)).alias("need")
+    later = F.posexplode(F.slice("tokens", DEPTH + 1, F.col("n"))).alias("at", "token")
+    places = texts.select("leaf", "line", need, later).filter(F.col("token") != FIELD)
+    places = places.select("leaf", "line", "need", place("leaf", F.col("at") + DEPTH, "token"))
+    own = places.join(shared, "place").groupBy("leaf", "line", "need").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "place"))).alias("own")
+    )
+    none = texts.select("leaf", "line", need).filter("need = 0")
+    kept = own.filter((F.col("need") > 0) & (F.size("own") >= F.col("need"))).select(
+        "line", F.xxhash64("leaf", F.array_sort(F.transform(F.slice("own", 1, F.col("need")), lambda o: o["place"]))).alias("template")
+    ).union(none.select("line", F.xxhash64("leaf", F.lit("head")).alias("template")))
+    kept = stored(kept, "best-supported")
+    common = kept.groupBy("template").agg(F.count("*").alias("c")).filter("c > 1").select("template")
+    return kept.join(common, "template").select("line", "template")
+
+
+def recurring(
+    docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_first: bool = False, several: bool = False
+) -> DataFrame:
     """``doc_id``, ``th`` (hash of the text) and ``gone``, the sorted numbers
     of the lines to drop, for every distinct document that loses some."""
     coded = stored(_lines(docs, False).filter(F.col("n") >= min_tokens), "lines")
@@ -86,6 +119,7 @@ def recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_firs
     votes = texts.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "n", "at", "token").agg(
         F.count("*").alias("c")
     )
+    votes = stored(votes, "votes") if several else votes
     winners = votes.groupBy("leaf", "n", "at").agg(
         F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("all")
     ).filter((F.col("top.c") >= AGREE * F.col("all")) & (F.col("top.token") != FIELD))
@@ -93,7 +127,8 @@ def recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_firs
         F.collect_list(F.struct("at", F.col("top.token").alias("token"))).alias("constant")
     ).filter(F.size("constant") >= CONSTANT * F.col("n")).drop("n")
     fits = F.forall("constant", lambda c: F.element_at("tokens", c["at"] + 1) == c["token"])
-    members = stored(texts.join(templates, "leaf").filter(fits).select("line", F.col("leaf").alias("template")), "members")
+    members = texts.join(templates, "leaf").filter(fits).select("line", F.col("leaf").alias("template"))
+    members = stored(members.union(_best_supported(texts, votes)) if several else members, "members")
 
     named = near.join(small(members), "line", "left").withColumn("template", F.coalesce("template", "line"))
     named = stored(named.select("doc_id", "th", "pos", "template"), "templated")
@@ -101,12 +136,14 @@ def recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_firs
     hits = named.join(small(gone), "template")
     if keep_first:
         first = hits.groupBy("template").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-        hits = hits.join(first, "template").filter(~F.struct("doc_id", "th").eqNullSafe(F.col("first")))
+        hits = hits.join(first, "template").groupBy("doc_id", "th", "pos").agg(
+            F.bool_or(F.struct("doc_id", "th").eqNullSafe(F.col("first"))).alias("kept")
+        ).filter("not kept")
     return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_first: bool = False
+    docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, keep_first: bool = False, several: bool = False
 ) -> DataFrame:
     """``docs`` with ``text`` without the lines of recurring templates,
     ``n_lines`` (before) and ``n_dropped``.
@@ -118,7 +155,7 @@ def drop_recurring_lines(
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     source = docs.select(*names).withColumn("text", F.col("text").cast("string")).withColumn("__th", F.xxhash64("text"))
     found = recurring(
-        source.filter("text is not null").select("doc_id", F.col("__th").alias("th"), "text"), min_docs, min_tokens, keep_first
+        source.filter("text is not null").select("doc_id", F.col("__th").alias("th"), "text"), min_docs, min_tokens, keep_first, several
     ).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.col("gone").alias("__gone"))
     found = stored(found, "gone-lines")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t"))

@@ -50,9 +50,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents"), min_tokens=1).select(
-        "doc_id", "text", "n_lines", "n_dropped"
-    )
+    docs = _table(spark, sf_dir, "documents")
+    return line_templates.drop_recurring_lines(docs, min_tokens=1, several=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from clinicledger.llm import queries
@@ -32,3 +34,20 @@ def test_op6_drops_short_lines(spark, tmp_path):
     for i in range(6):
         assert got[i].text == f"own{'x' * i} words\nonly{'y' * i}" + ("\nrare pair" if i < 4 else "")
         assert got[i].n_dropped == 3
+
+
+def test_op6_finds_templates_among_others_in_a_leaf(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    own = iter(words)
+    first = [f"read more about the {next(own)} in our weekly news" for _ in range(40)]
+    second = [f"read more about the new {next(own)} and {next(own)} offer" for _ in range(12)]
+    noise = ["read more about the " + " ".join(next(own) for _ in range(5)) for _ in range(150)]
+    numbers = [f"{i} - 7{i} 3 open until {next(own)} on weekdays only" for i in range(6)]
+    odd = [f"{i} - 7{i} 3 " + " ".join(next(own) for _ in range(5)) for i in range(30)]
+    few = [f"read more about the {next(own)} at our four shops" for _ in range(4)]
+    lines = first + second + noise + numbers + odd + few
+    got = query(spark, tmp_path, "op6_line_dedup", [f"text{'z' * i}\n{line}" for i, line in enumerate(lines)])
+    left = [got[i].text.split("\n")[1:] for i in range(len(lines))]
+    gone = set(first + second + numbers)
+    assert left == [[] if line in gone else [line] for line in lines]
