@@ -1,7 +1,7 @@
 """Operator 8: format-preserving Feistel pseudonyms for personal data.
 
 Values are found by patterns and validated: payment cards (13 to 19 digits,
-Luhn), social security numbers (no impossible area, group or serial), IPv4
+Luhn; also as some of the digit groups of a longer run), social security numbers (no impossible area, group or serial), IPv4
 addresses (octets up to 255), dates (a day that exists, years 1800 to 2199)
 and telephone numbers.  Each is ranked within the set of its format's valid
 values, split into a pair (x, y) of Z_a x Z_b, and permuted by a keyed Feistel
@@ -38,7 +38,13 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join([EMAIL, ACCESS_KEY, PASSWORD, TOKEN, PHONE, IPV4, DATE, SSN, CARD])
+#: one group, or groups as on a card
+PRINTED = r"^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+#: digit groups that may hold a card: a run of any length (13 digits at least)
+#: that ends at a boundary, else up to 19 digits
+RUN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z@_%+]|\.[0-9])|" + CARD
+OTHERS = "|".join([EMAIL, ACCESS_KEY, PASSWORD, TOKEN, PHONE, IPV4, DATE, SSN])
+ANY = f"{OTHERS}|{RUN}"
 
 
 def _digest(key: str, tweak: str, *parts: Column) -> Column:
@@ -209,6 +215,67 @@ def kind_of(v: Column) -> Column:
     )
 
 
+def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The text's pieces between the pattern's matches (one more), and these."""
+    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+
+def _part(v: Column, kind: Column) -> Column:
+    return F.struct(v.alias("v"), kind.cast("string").alias("kind"))
+
+
+def _rescanned(text: Column) -> Column:
+    """array<struct(v, kind)>: the text of a run beside its cards in parts."""
+    between, found = _pieces(text, OTHERS)
+    return F.flatten(F.zip_with(between, found, lambda piece, v: F.array(
+        _part(F.coalesce(piece, F.lit("")), F.lit(None)), _part(F.coalesce(v, F.lit("")), kind_of(F.coalesce(v, F.lit(""))))
+    )))
+
+
+def _cards(bits: Column) -> Column:
+    """array<struct(odd, long, i, j)>, best first: the consecutive groups of
+    13 to 19 digits whose Luhn sum is right.  ``bits`` are a run's digit groups
+    and the separators between them, ``i`` to ``j`` the places of a card in
+    it.  Cards as they are printed come before others, longer before shorter."""
+    last = F.size(bits) - 1
+    text = lambda i, j: F.array_join(F.slice(bits, i + 1, j - i + 1), "")
+    ends = lambda i: F.sequence(i, F.least(i + F.lit(36), last), F.lit(2))
+    odd = lambda v: F.when(v.rlike(PRINTED), 0).otherwise(1)
+
+    def card(v: Column, i: Column, j: Column) -> Column:
+        d = _digits(v)
+        valid = v.rlike(f"^(?:{CARD})$") & F.length(d).between(13, 19)
+        return F.when(valid, F.when(luhn_sum(d) % 10 == 0, F.struct(
+            odd(v).alias("odd"), (-F.length(d)).alias("long"), i.alias("i"), j.alias("j")
+        )))
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(2)), lambda i: F.transform(
+        ends(i), lambda j: _let(text(i, j), lambda v: card(v, i, j))
+    )))
+    return F.array_sort(F.filter(found, lambda c: c.isNotNull()))
+
+
+def _run_parts(run: Column) -> Column:
+    """array<struct(v, kind)>: a run's cards, and the rest scanned without
+    them for the other kinds."""
+    def split(bits: Column) -> Column:
+        places = "array<struct<i:int,j:int>>"
+        apart = lambda a, b: (a.j < b.i) | (b.j < a.i)
+        chosen = F.array_sort(F.aggregate(_cards(bits), F.array().cast(places), lambda s, c: F.when(
+            F.forall(s, lambda t: apart(c, t)), F.concat(s, F.array(F.struct(c.i.alias("i"), c.j.alias("j"))))
+        ).otherwise(s)))
+        text = lambda i, j: F.array_join(F.slice(bits, i + 1, F.greatest(j - i + 1, F.lit(0))), "")
+        return _let(chosen, lambda cs: F.concat(
+            F.flatten(F.transform(cs, lambda c, k: F.concat(
+                _rescanned(text(F.when(k == 0, 0).otherwise(F.get(cs, k - 1).j + 1), c.i - 1)),
+                F.array(_part(text(c.i, c.j), F.lit("card"))),
+            ))),
+            _rescanned(text(F.coalesce(F.get(cs, F.size(cs) - 1).j + 1, F.lit(0)), F.size(bits) - 1)),
+        ))
+
+    return _let(F.regexp_extract_all(run, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), split)
+
+
 def pseudonym(v: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a validated value; ``back`` undoes it (not for
     e-mail addresses and secrets, which stay then)."""
@@ -236,13 +303,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     names = [c for c in docs.columns if c not in ("n_pii", "pii_kinds")]
     text = F.col(text_col).cast("string")
     found = F.when(text.rlike("[0-9@]|password="), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
-    hits = F.transform(F.col("__pii_found"), lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
-    new = F.transform(F.col("__pii_hits"), lambda h: F.when(h.kind.isNull(), h.v).otherwise(pseudonym(h.v, h.kind, key)))
+    is_run = lambda v: v.rlike("^[0-9][0-9 -]{11,}[0-9]$") & (F.length(_digits(v)) >= 13)
+    hits = F.transform(F.col("__pii_found"), lambda v: F.when(is_run(v), _run_parts(v)).otherwise(F.array(_part(v, kind_of(v)))))
+    new = F.transform(F.col("__pii_hits"), lambda parts: F.array_join(F.transform(
+        parts, lambda h: F.when(h.kind.isNull(), h.v).otherwise(pseudonym(h.v, h.kind, key))
+    ), ""))
     pieces = F.split(text, ANY, -1)
     joined = F.concat_ws("", F.flatten(F.zip_with(
         pieces, F.col("__pii_new"), lambda piece, v: F.array(F.coalesce(piece, F.lit("")), F.coalesce(v, F.lit("")))
     )))
-    valid = F.filter("__pii_hits", lambda h: h.kind.isNotNull())
+    valid = F.filter(F.flatten("__pii_hits"), lambda h: h.kind.isNotNull())
     out = (
         docs.select(*names).withColumn("__pii_found", F.coalesce(found, F.array().cast("array<string>")))
         .withColumn("__pii_hits", hits).withColumn("__pii_new", new)

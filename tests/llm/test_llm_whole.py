@@ -51,3 +51,26 @@ def test_op6_finds_templates_among_others_in_a_leaf(spark, tmp_path):
     left = [got[i].text.split("\n")[1:] for i in range(len(lines))]
     gone = set(first + second + numbers)
     assert left == [[] if line in gone else [line] for line in lines]
+
+
+CARD = "4041894974608795"
+
+
+def test_op8_finds_cards_beside_other_digits(spark, tmp_path):
+    texts = [
+        CARD, f"{CARD} 123", "4041 8949 7460 8795 12/27", f"2 {CARD}", f"12 4041-8949-7460-8795 1227 123", f"{CARD} {CARD}",
+        f"{CARD} 123-45-6789", f"5678 9012 3456 7 4041 8949 7460 8795 {CARD}", f"{CARD} 42.144.35.254", f"{CARD} 1999-02-28.",
+        f"at {CARD} a1b2@mail.example.com", "7 4041894974608796 300", f"{CARD}xyz", "0 " * 3000 + f"11 {CARD}", f"{CARD} 131",
+    ]
+    got = query(spark, tmp_path, "op8_pii", texts)
+    new = got[0].text
+    assert new != CARD and len(new) == 16
+    grouped = " ".join(new[i:i + 4] for i in range(0, 16, 4))
+    assert got[1].text == f"{new} 123" and got[2].text == f"{grouped} 12/27" and got[3].text == f"2 {new}"
+    assert got[4].text == f"12 {grouped.replace(' ', '-')} 1227 123" and got[5].text == f"{new} {new}" and got[5].n_pii == 2
+    assert got[6].text.startswith(f"{new} ") and got[6].pii_kinds == "card,ssn" and "123-45" not in got[6].text
+    assert got[7].text == f"5678 9012 3456 7 {grouped} {new}"
+    assert got[8].pii_kinds == "card,ip" and got[9].pii_kinds == "card,date" and got[10].pii_kinds == "card,email"
+    assert all(got[i].text.split(" ")[i == 10] == new for i in (8, 9, 10))
+    assert got[11].text == texts[11] and got[11].n_pii == 0
+    assert got[12].text == f"{new}xyz" and got[13].text.endswith(f"11 {new}") and got[14].text == f"{new} 131"
