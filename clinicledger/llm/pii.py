@@ -31,8 +31,8 @@ EPOCH, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 #: linear in the text's length
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-PASSWORD = r"(?<=password=)[^\s\"']+"
-TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+PASSWORD = r"(?<=(?i:password=))[^\s\"']+"
+TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
@@ -45,6 +45,8 @@ PRINTED = r"^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{3}
 RUN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z@_%+]|\.[0-9])|" + CARD
 OTHERS = "|".join([EMAIL, ACCESS_KEY, PASSWORD, TOKEN, PHONE, IPV4, DATE, SSN])
 ANY = f"{OTHERS}|{RUN}"
+#: what a text with a match has at least
+HINT = "[0-9@]|(?i:password=)|AKIA|[A-Fa-f]{32}"
 
 
 def _digest(key: str, tweak: str, *parts: Column) -> Column:
@@ -178,8 +180,13 @@ def _hash_text(v: Column, key: str, tweak: str, n: Column) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
-    hashed = _hash_text(v, key, "secret", F.length(v))
-    return F.when(v.rlike(f"^(?:{ACCESS_KEY})$"), F.concat(F.lit("AKIA"), F.upper(F.substring(hashed, 1, 16)))).otherwise(hashed)
+    """Hash text in the value's own case.  Case doesn't tell hexadecimal
+    tokens apart."""
+    plain = F.when(v.rlike(f"^(?:{TOKEN})$"), F.lower(v)).otherwise(v)
+    hashed = _hash_text(plain, key, "secret", F.length(v))
+    return F.when(v.rlike(f"^(?:{ACCESS_KEY})$"), F.concat(F.lit("AKIA"), F.upper(F.substring(hashed, 1, 16)))).when(
+        v.rlike("[A-Z]") & ~v.rlike("[a-z]"), F.upper(hashed)
+    ).otherwise(hashed)
 
 
 def _email(v: Column, key: str) -> Column:
@@ -302,7 +309,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     names = [c for c in docs.columns if c not in ("n_pii", "pii_kinds")]
     text = F.col(text_col).cast("string")
-    found = F.when(text.rlike("[0-9@]|password="), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     is_run = lambda v: v.rlike("^[0-9][0-9 -]{11,}[0-9]$") & (F.length(_digits(v)) >= 13)
     hits = F.transform(F.col("__pii_found"), lambda v: F.when(is_run(v), _run_parts(v)).otherwise(F.array(_part(v, kind_of(v)))))
     new = F.transform(F.col("__pii_hits"), lambda parts: F.array_join(F.transform(
