@@ -291,3 +291,46 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
         return left.select(*docs.columns)
     named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(left.filter("doc_id is null")).select(*docs.columns)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near copies, columns
+    unchanged.  Each text is judged by itself, whatever ids it stands under:
+    of a group the text with the smallest doc_id stays (then the smallest
+    hash; rows without a doc_id come last), so an id keeps all its texts that
+    are copies of no other.
+
+    Of rows with one doc_id and text one stays, the first by its other
+    columns.  Wordless and null texts are copies of nothing; without a doc_id
+    their rows all stay.
+    """
+    source = docs.withColumn("__near_th", F.xxhash64(F.col("text").cast("string")))
+    pairs = stored(
+        source.groupBy("doc_id", F.col("__near_th").alias("th")).agg(F.count("*").alias("c")), "near-ids"
+    )
+    judged = source.select(F.col("__near_th").alias("doc_id"), "text")
+    found = near_duplicates(judged, width, percent).filter("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("th"), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    texts = pairs.groupBy("th").agg(F.min(place).alias("first"), F.sum("c").alias("c")).join(found, "th")
+    texts = stored(texts, "near-texts")
+    best = texts.groupBy("component_id").agg(F.min(F.struct("first", "th")).alias("best")).select("best.th")
+    texts = texts.join(best.withColumn("stays", F.lit(True)), "th", "left")
+    marks = stored(texts.filter("stays is null or c > 1").select(
+        F.col("th").alias("__near_th"), F.col("first.id").alias("__near_id"), F.col("stays").isNotNull().alias("__near_stays")
+    ), "near-marks")
+    left = source.join(small(marks), "__near_th", "left").filter(
+        F.col("__near_stays").isNull() | (F.col("__near_stays") & F.col("doc_id").eqNullSafe(F.col("__near_id")))
+    ).select(*docs.columns, "__near_th")
+
+    twice = pairs.filter("c > 1").join(texts.select("th", F.lit(True).alias("words")), "th", "left")
+    twice = twice.filter("words or doc_id is not null").select(F.col("doc_id").alias("__near_id"), F.col("th").alias("__near_t"))
+    twice = stored(twice, "near-repeated")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_th") == F.col("__near_t"))
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__near_0")))
+    one = left.join(small(twice), same, "left_semi").groupBy("doc_id", "__near_th").agg(
+        F.min_by(F.struct(*docs.columns), others).alias("__near_row")
+    )
+    return left.join(small(twice), same, "left_anti").select(*docs.columns).unionByName(one.select("__near_row.*"))

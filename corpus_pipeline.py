@@ -2,13 +2,15 @@
 Parquet and read again before the next.
 
 1. toxicity: documents graded toxic go;
-2. near duplicates: one document of each group stays (five-word shingles, 0.8);
+2. near duplicates: one document of each group stays (five-word shingles, 0.8),
+   each text judged by itself, with or without a doc_id;
 3. decontamination: documents that contain a benchmark item go;
 4. mixing: documents are repeated so that all sources weigh the same;
 5. token files: the rest as flat binary token ids, read back as a table.
 
 All stages but the last return the columns of ``documents``.  Rows are judged
-by their text, so rows without a doc_id or text pass the filters.
+by their text, so rows without a text pass the filters, and rows without a
+doc_id are filtered like any.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tell_workers(spark)
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

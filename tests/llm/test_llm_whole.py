@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from clinicledger.llm import queries
 from clinicledger.llm.common import tell_workers
@@ -91,3 +92,24 @@ def test_op8_finds_secrets_in_both_cases_and_without_digits(spark, tmp_path):
     low, up = (re.search('"([0-9A-Fa-f]{40})"', got[i].text).group(1) for i in (0, 1))
     assert low == low.lower() and up == low.upper()
     assert got[1].text == got[1].text.upper() and got[2].text[4:24] == got[2].text[4:24].upper() and got[2].text.startswith("key AKIA")
+
+
+def test_pipeline_judges_each_text_of_an_id(spark):
+    import corpus_pipeline
+
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    one, two, three, four = (" ".join(words[i:i + 24]) for i in (0, 25, 50, 75))
+    near = one.replace(words[23], "other")
+    rows = [
+        (1, two), (2, one), (2, two), (2, three), (2, three), (None, near), (5, near), (None, four), (None, four),
+        (None, None), (None, None), (7, ""), (7, ""), (None, ""), (8, ""), (9, three.upper()),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", i % 4 + 1) for i, (d, t) in enumerate(rows)], DOCS)  # 4 and 1 for the pair of id 2
+    for table in (docs, docs.repartition(5)):
+        left = corpus_pipeline.drop_near_duplicates(spark, table, "")
+        assert left.schema == docs.schema
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(
+            [(1, two), (2, one), (2, three), (None, four), (None, None), (None, None), (7, ""), (None, ""), (8, "")], key=repr
+        )
+        assert left.filter(F.col("text") == three).first().n_chars == 1
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
