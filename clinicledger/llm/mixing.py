@@ -29,12 +29,28 @@ def cumulative(rate: Column) -> Column:
     where the rest is below 1e-16; summed from logarithms, so that large
     rates don't underflow."""
     top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    # in slices of about sqrt(top) counts, so that no long array is copied for
+    # each count; sums and logarithms go on from slice to slice
+    width = F.ceil(F.sqrt(top)).cast("int")
     step = lambda s, k: F.struct(
         (s.log + F.log(rate) - F.log(k.cast("double"))).alias("log"),
-        F.concat(s.sums, F.array(F.element_at(s.sums, -1) + F.exp(s.log + F.log(rate) - F.log(k.cast("double"))))).alias("sums"),
+        (s.sum + F.exp(s.log + F.log(rate) - F.log(k.cast("double")))).alias("sum"),
+        F.concat(s.sums, F.array(s.sum + F.exp(s.log + F.log(rate) - F.log(k.cast("double"))))).alias("sums"),
     )
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("sums"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s.sums)).otherwise(F.array(F.lit(1.0)))
+    none = F.array().cast("array<double>")
+
+    def slice_(s: Column, first: Column) -> Column:
+        inner = F.aggregate(
+            F.sequence(first, F.least(first + width - 1, top)),
+            F.struct(s.log.alias("log"), s.sum.alias("sum"), none.alias("sums")), step,
+        )
+        return F.transform(F.array(inner), lambda n: F.struct(
+            n.log.alias("log"), n.sum.alias("sum"), F.concat(s.slices, F.array(n.sums)).alias("slices")
+        ))[0]
+
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.array(F.exp(-rate))).alias("slices"))
+    sums = F.aggregate(F.sequence(F.lit(1), top, width), start, slice_, lambda s: F.flatten(s.slices))
+    return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
 
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, by: str = "source") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from clinicledger.llm import queries
+from clinicledger.llm import mixing, queries
 from clinicledger.llm.common import tell_workers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,3 +114,16 @@ def test_pipeline_judges_each_text_of_an_id(spark):
         )
         assert left.filter(F.col("text") == three).first().n_chars == 1
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_op9_sums_of_large_rates(spark):
+    rates = [0.0, 0.3, 2.0, 57.5, 2001.0, 300_000.0]
+    table = spark.createDataFrame([(r,) for r in rates], "rate double").repartition(1)
+    got = {r.rate: r.sums for r in table.select("rate", mixing.cumulative(F.col("rate")).alias("sums")).collect()}
+    for rate in rates:
+        top = math.ceil(rate + 12 * math.sqrt(rate) + 30) if rate else 0
+        assert len(got[rate]) == top + 1 and got[rate] == sorted(got[rate])
+        for k in {0, top // 2, int(rate), top}:
+            low = max(0, k - 20_000)
+            want = math.fsum(math.exp(-rate + i * math.log(rate) - math.lgamma(i + 1)) for i in range(low, k + 1)) if rate else 1.0
+            assert abs(got[rate][k] - want) < 1e-6
