@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from clinicledger.session import ensure_checkpoint_dir
 
-#: Rows of a few fixed-width columns that may be broadcast (about 50 MB as a
-#: hash table); a larger side is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a table that may be broadcast (its hash table takes about
+#: 100 MB at most); a larger side is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -51,11 +51,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows of
-    fixed-width columns, else unchanged (shuffle join).  Counts ``df``, so
-    pass a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _value_bytes(field) -> F.Column:
+    """Bytes of a column's value, near enough to bound a table."""
+    kind = field.dataType.typeName()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    if kind in ("array", "map", "struct"):
+        return F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows of ``most``
+    bytes in all, else unchanged (shuffle join).  Measures ``df``, so pass a
+    written table."""
+    size = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
 
 
 def ascii_lower(col):

@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicledger.llm import decontaminate, licenses, line_templates, mixing, near_dedup, nearest, pii, toxicity
-from clinicledger.llm import token_counts, token_files
+from clinicledger.llm import alignment, decontaminate, licenses, line_templates, merkle, mixing, near_dedup, nearest, pii
+from clinicledger.llm import secrets, token_counts, token_files, toxicity
 from clinicledger.llm.common import scratch_path, tell_workers
 
 #: stands in for the deployment's secret
@@ -71,11 +71,23 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors.filter("vec_id % 50 = 0"), vectors)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_near_dedup, op3_toxicity, op4_token_files, op5_token_counts, op6_line_dedup,
-        op7_license_scan, op8_pii, op9_mixing, op10_nearest,
+        op7_license_scan, op8_pii, op9_mixing, op10_nearest, op11_alignment, op12_secrets, op13_merkle,
     )
 }
 
@@ -120,4 +132,5 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """,
+    "op13_merkle": merkle.AUDIT_SQL,
 }
