@@ -76,6 +76,7 @@ from clinicledger.operators.filters import (
     within_key_range,
 )
 from clinicledger.operators.resources import resource_label_by_visit, visit_resource_types
+from clinicledger.operators.skew import TRANSACTION, VISIT, VISIT_TRANSACTION, join_split, join_stored
 from clinicledger.sources.tables import Tables
 
 
@@ -180,7 +181,7 @@ def join_visits(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
     pv = optional_in(pv, "facility_id", f.facilities)
     pv = optional_in(pv, "company_id", f.companies)
     pv = optional_in(pv, "primary_insurance_carriers_id", f.carriers)
-    return df.join(pv, "patient_visit_id")
+    return join_split(t, df, pv, VISIT)
 
 
 def join_profiles_and_dims(df: DataFrame, t: Tables, f: LedgerFilter) -> DataFrame:
@@ -296,12 +297,11 @@ def payment_amounts(t: Tables, f: LedgerFilter) -> DataFrame:
     lines = procedure_lines(t, _service_window(f, "end_exclusive"), f).select(
         "patient_visit_procs_id", "code", "qualifier", "date_of_service_from"
     )
-    td = within_key_range(
-        t.transaction_distributions.select("transactions_id", "patient_visit_procs_id", "amount").filter(
-            F.col("amount") != 0
-        ),
-        lines, "patient_visit_procs_id",
-    )
+
+    def moved(td: DataFrame) -> DataFrame:
+        td = td.select("transactions_id", "patient_visit_procs_id", "amount").filter(F.col("amount") != 0)
+        return within_key_range(td, lines, "patient_visit_procs_id")
+
     tr = t.transactions.select("transactions_id", "visit_transactions_id", "action")
     vt = t.visit_transactions.select("visit_transactions_id", "patient_visit_id", "payment_method_id")
     pm = t.payment_method.select(
@@ -316,12 +316,8 @@ def payment_amounts(t: Tables, f: LedgerFilter) -> DataFrame:
         pm_window = F.lit(False)
     pm = optional_in(pm.filter(pm_window), "pm_batch_id", f.batches)
     pm = require_exists(pm, dim(t, "batch", ["batch_id"]), "pm_batch_id", "batch_id")
-    rows = (
-        td.join(lines, "patient_visit_procs_id")
-        .join(tr, "transactions_id")
-        .join(vt, "visit_transactions_id")
-        .join(pm, "payment_method_id")
-    )
+    rows = join_stored(t, "transaction_distributions", moved, lines)
+    rows = join_split(t, join_split(t, rows, tr, TRANSACTION), vt, VISIT_TRANSACTION).join(pm, "payment_method_id")
     routed = route_payments()
     zero = F.lit(0).cast(LEDGER_MONEY)
     return rows.select(
@@ -407,7 +403,7 @@ def resource_context(t: Tables, resources: Sequence[int] | None = None,
     duplicates kept) with the visit's resource label; ``within`` restricts
     it to those visits (the rest of the visit history is never aggregated)."""
     fan = optional_in(visit_resource_types(t, within=within), "resource_id", resources)
-    return fan.join(resource_label_by_visit(t, within=within), "patient_visit_id", "left")
+    return join_split(t, fan, resource_label_by_visit(t, within=within), VISIT, how="left")
 
 
 def _final_rollup(expanded: DataFrame) -> DataFrame:
@@ -457,7 +453,7 @@ def rollup_ledger(ledger: DataFrame, t: Tables, resources: Sequence[int] | None
     pre-aggregated per visit before the fan-out join.
     """
     pre = preaggregate_ledger(ledger)
-    return _final_rollup(pre.join(resource_context(t, resources), "patient_visit_id"))
+    return _final_rollup(join_split(t, pre, resource_context(t, resources), VISIT))
 
 
 def encounter_rollup(
@@ -480,6 +476,6 @@ def encounter_rollup(
     # restriction would be the aggregated rows themselves, whose second use
     # Spark prunes differently (no exchange reuse: the payment chain would
     # run twice).
-    expanded = join_profiles_and_dims(pre.join(resource_context(t, resources), "patient_visit_id"), t, f)
+    expanded = join_profiles_and_dims(join_split(t, pre, resource_context(t, resources), VISIT), t, f)
     expanded = expanded.withColumns({"month_of_service": month_of("date_of_service_from"), **place_flags()})
     return _final_rollup(expanded)

@@ -5,12 +5,15 @@ dates ``valid_from <= d < valid_to``; a NULL bound is open. Intervals must
 not overlap. ``RateSchedule.as_rows`` turns the report's schedule (first
 interval closed on the right) into such rows, so both forms agree.
 
-Two plans, chosen by the table's checked size:
+Three plans, chosen by the table's checked size:
 
 * up to ``BROADCAST_MAX_INTERVALS`` rows: the table is broadcast and matched
   with the range condition (a broadcast nested-loop left join: the big side
   streams through, nothing is shuffled, each row tests a handful of
   intervals);
+* up to ``SEARCH_MAX_INTERVALS`` rows: the sorted bounds are three constant
+  arrays in the plan, and each row finds its interval by binary search, an
+  expression of its own: no join, and the big side is never shuffled;
 * larger tables: an exact year-bucketed equi-join. Every interval is listed
   under each calendar year it overlaps (open ends clamped to the table's
   first and last finite year), every row looks up its own year (clamped the
@@ -30,6 +33,8 @@ from clinicledger.functions.classify import RateSchedule
 from clinicledger.operators.dims import rows_at_most
 
 BROADCAST_MAX_INTERVALS = 1_000
+#: bounds that travel in a plan: about 60 bytes an interval
+SEARCH_MAX_INTERVALS = 200_000
 RATE_TABLE_SCHEMA = "valid_from timestamp_ntz, valid_to timestamp_ntz, rate decimal(10,2)"
 _ONE_MICROSECOND = dt.timedelta(microseconds=1)
 
@@ -57,10 +62,11 @@ def _in_interval(d: Column, lo: Column, hi: Column) -> Column:
 
 def effective_rate_from_table(
     df: DataFrame, rates: DataFrame, date_col: str, out: str = "rate",
-    broadcast_max: int = BROADCAST_MAX_INTERVALS,
+    broadcast_max: int = BROADCAST_MAX_INTERVALS, search_max: int = SEARCH_MAX_INTERVALS,
 ) -> DataFrame:
     """Add ``out``: the rate whose interval contains ``date_col`` (NULL when
-    none does, or when the date is NULL)."""
+    none does, or when the date is NULL). Intervals whose end isn't after
+    their start contain nothing."""
     r = rates.select(
         F.col("valid_from").alias("_rate_from"), F.col("valid_to").alias("_rate_to"),
         F.col("rate").alias(out),
@@ -69,9 +75,48 @@ def effective_rate_from_table(
     if rows_at_most(rates, broadcast_max):
         cond = _in_interval(d, F.col("_rate_from"), F.col("_rate_to"))
         return df.join(F.broadcast(r), cond, "left").drop("_rate_from", "_rate_to")
+    if rows_at_most(rates, search_max):
+        return df.withColumn(out, searched_rate(r, d, out))
     return _year_bucketed(df, r, d, out)
 
 
+def _constant_array(values: list, kind: str) -> Column:
+    """An array literal: one string that the optimizer splits and casts once."""
+    text = ",".join("" if v is None else str(v) for v in values)
+    return F.split(F.lit(text), ",").try_cast(f"array<{kind}>")
+
+
+def searched_rate(r: DataFrame, d: Column, out: str) -> Column:
+    """The rate of the interval that contains ``d``, by binary search over
+    the sorted starts of ``r`` (``_rate_from``, ``_rate_to``, ``out``; a
+    size-checked table)."""
+    rows = sorted(
+        (x for x in r.collect() if x[0] is None or x[1] is None or x[0] < x[1]), key=lambda x: (x[0] is not None, x[0] or dt.datetime.min)
+    )
+    rate_type = r.schema[out].dataType.simpleString()
+    if not rows:
+        return F.lit(None).cast(rate_type)
+    starts, ends = (_constant_array([x[k] and x[k].isoformat() for x in rows], "timestamp_ntz") for k in (0, 1))
+    rates = _constant_array([x[2] for x in rows], rate_type)
+    when = d.cast("timestamp_ntz")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s.low + s.high, 1)
+        start = F.get(starts, middle)
+        right = (s.low < s.high) & (start.isNull() | (start <= s.date))
+        return F.struct(
+            F.when(right, middle + 1).otherwise(s.low).alias("low"), F.when(right, s.high).otherwise(F.least(middle, s.high)).alias("high"), s.date.alias("date")
+        )
+
+    def found(s: Column) -> Column:
+        at = s.low - 1
+        inside = s.date.isNotNull() & (F.get(ends, at).isNull() | (s.date < F.get(ends, at)))
+        return F.when((at >= 0) & inside, F.get(rates, at))
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(rows)).alias("high"), when.alias("date"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(rows).bit_length() + 1)), begin, halve, found)
+
+
 def _year_bucketed(df: DataFrame, r: DataFrame, d: Column, out: str) -> DataFrame:
     # first and last finite boundary year of the table (two scalars)
     bounds = r.select(

@@ -12,7 +12,7 @@ number of rows is combined map-side before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +20,19 @@ from pyspark.sql import functions as F
 from clinicledger.constants import EXCLUDED_RESOURCE_SUBTYPES, MULTIPLE_LABEL, PROVIDER_TYPES
 from clinicledger.operators.dims import broadcast_derived, dim, require_exists
 from clinicledger.operators.filters import drop_values, keep_values
+from clinicledger.operators.skew import by_parts
 from clinicledger.sources.tables import Tables
 
 
-def _visit_resources(t: Tables, columns: Sequence[str], within: DataFrame | None) -> DataFrame:
-    """Visit resources, restricted to the visits in ``within`` (a semi join
-    read in place on the visit bucketing) when given."""
-    pvr = t.patient_visit_resource.select(*columns)
-    return pvr if within is None else require_exists(pvr, within, "patient_visit_id")
+def _per_visit(t: Tables, columns: Sequence[str], within: DataFrame | None, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` of the visit resources, restricted to the visits in ``within``
+    (a semi join read in place on the visit bucketing) when given; visits
+    stored apart go by themselves."""
+    def part(pvr: DataFrame) -> DataFrame:
+        pvr = pvr.select(*columns)
+        return use(pvr if within is None else require_exists(pvr, within, "patient_visit_id"))
+
+    return by_parts(t, "patient_visit_resource", part)
 
 
 def _label(name_col: str) -> F.Column:
@@ -44,13 +49,12 @@ def resource_label_by_visit(t: Tables, within: DataFrame | None = None) -> DataF
 
 
 def _label_by_visit(t: Tables, within: DataFrame | None) -> DataFrame:
-    pvr = _visit_resources(t, ["patient_visit_id", "resource_id"], within)
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name"])
-    return (
+    return _per_visit(t, ["patient_visit_id", "resource_id"], within, lambda pvr: (
         pvr.join(names, pvr.resource_id == names.doctor_facility_id)
         .groupBy("patient_visit_id")
         .agg(_label("list_name").alias("resource_label"))
-    )
+    ))
 
 
 def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES,
@@ -66,15 +70,14 @@ def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROV
 
 
 def _label_by_assignment(t: Tables, provider_types: Sequence[str], within: DataFrame | None) -> DataFrame:
-    pvr = _visit_resources(t, ["patient_visit_id", "patient_visit_resource_id", "resource_id"], within)
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name", "dot_id"])
     provider_types_of = provider_type_assignments(t, provider_types)
-    return (
+    return _per_visit(t, ["patient_visit_id", "patient_visit_resource_id", "resource_id"], within, lambda pvr: (
         pvr.join(names, pvr.resource_id == names.doctor_facility_id)
         .join(provider_types_of, "resource_id")
         .groupBy("patient_visit_id", "patient_visit_resource_id", "dot_id")
         .agg(_label("list_name").alias("resource_name"), F.max("type_name").alias("resource_type"))
-    )
+    ))
 
 
 def provider_type_assignments(t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES) -> DataFrame:
@@ -103,10 +106,10 @@ def visit_resource_types(t: Tables, provider_types: Sequence[str] = PROVIDER_TYP
 
 
 def _visit_resource_types(t: Tables, provider_types: Sequence[str], within: DataFrame | None) -> DataFrame:
-    pvr = _visit_resources(t, ["patient_visit_id", "resource_id"], within)
-    return pvr.join(provider_type_assignments(t, provider_types), "resource_id").select(
+    types = provider_type_assignments(t, provider_types)
+    return _per_visit(t, ["patient_visit_id", "resource_id"], within, lambda pvr: pvr.join(types, "resource_id").select(
         "patient_visit_id", "resource_id", F.col("type_name").alias("resource_type")
-    )
+    ))
 
 
 def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOURCE_SUBTYPES,
@@ -121,7 +124,6 @@ def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOU
 
 
 def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int], within: DataFrame | None) -> DataFrame:
-    pvr = _visit_resources(t, ["patient_visit_id", "resource_id"], within)
     rta = drop_values(dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"]),
                       "resource_type_id", excluded_subtypes)
     types = dim(t, "med_lists", ["med_lists_id"])
@@ -129,11 +131,11 @@ def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int], within: DataFr
         F.count(F.lit(1)).alias("n_types")
     )
     assignments = broadcast_derived(assignments, t, "resource_type_assignments", "med_lists")
-    return (
+    return _per_visit(t, ["patient_visit_id", "resource_id"], within, lambda pvr: (
         pvr.join(assignments, "resource_id")
         .groupBy("patient_visit_id")
         .agg(F.sum("n_types").cast("bigint").alias("fanout"))
-    )
+    ))
 
 
 def expand_resources(df: DataFrame, t: Tables, provider_types: Sequence[str] = PROVIDER_TYPES) -> DataFrame:

@@ -40,6 +40,7 @@ from clinicledger.operators.ledger import (
     stage_amounts,
 )
 from clinicledger.operators.resources import resource_fanout, resource_label_by_assignment
+from clinicledger.operators.skew import VISIT, by_parts, join_split
 from clinicledger.plans.params import EncounterParams, RevenueParams
 from clinicledger.sources.sinks import SORT_PREFIX, with_report_date
 from clinicledger.sources.tables import Tables
@@ -152,10 +153,14 @@ def resource_rows(t: Tables, within: DataFrame | None = None) -> DataFrame:
     this count at the end (``with_resource_copies``) instead of a join that
     pairs the visit's resources with each other."""
     labels = resource_label_by_assignment(t, within=within)
-    pvr = t.patient_visit_resource.select("patient_visit_id")
-    if within is not None:
-        pvr = require_exists(pvr, within, "patient_visit_id")
-    copies = pvr.groupBy("patient_visit_id").agg(F.count(F.lit(1)).alias("resource_copies"))
+
+    def counted(pvr: DataFrame) -> DataFrame:
+        pvr = pvr.select("patient_visit_id")
+        if within is not None:
+            pvr = require_exists(pvr, within, "patient_visit_id")
+        return pvr.groupBy("patient_visit_id").agg(F.count(F.lit(1)).alias("resource_copies"))
+
+    copies = by_parts(t, "patient_visit_resource", counted)
     return labels.join(copies, "patient_visit_id").select(
         "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type"),
         "resource_copies",
@@ -212,7 +217,7 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
 def revenue_journal(t: Tables, p: RevenueParams, sort_keys: bool = False) -> DataFrame:
     """Revenue journal entry report (26 columns). ``sort_keys`` adds the
     report's order for ``write_report``."""
-    lines = revenue_lines(t, p).join(revenue_visits(t, p), "patient_visit_id")
+    lines = join_split(t, revenue_lines(t, p), revenue_visits(t, p), VISIT)
     # a line has collections when its batch exists, it was served in the
     # closed window, its patient exists and its visit has counted resources
     eligible = (

@@ -22,6 +22,9 @@ visits. Joined as shuffle joins on both sides, such a hot key is split by
 AQE's skew join, which needs a shuffle on both sides and cannot split a
 bucket read in place.
 
+Rows under a key that refers more rows than a bucket should hold are stored
+apart, in plain files (``operators.skew``).
+
 Tables the reports filter by date are sorted on that date (within each
 bucket, or range-partitioned on date then key), so Parquet min/max
 statistics skip row groups outside the window. Bucketed tables are
@@ -38,12 +41,14 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clinicledger.operators.skew import LEAST_ROWS, SPLIT_TABLES, heavy_summary
 from clinicledger.session import ensure_checkpoint_dir
 from clinicledger.sources.tables import TABLE_SCHEMAS, Tables, assert_unique_keys
 
 #: part of every version's name; raise it when the layout itself changes
-LAYOUT_VERSION = 5
+LAYOUT_VERSION = 6
 # table -> (bucket key, sort columns within a bucket)
 BUCKETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "patient_visit_procs": ("patient_visit_procs_id", ("date_of_service_from",)),
@@ -87,28 +92,49 @@ def largest_table_bytes(tables: Tables) -> int:
     )
 
 
+def _source_paths(df: DataFrame) -> list[str] | None:
+    """Root paths of the file relations that ``df`` is read from; None if a
+    part of it comes from elsewhere. Nothing is listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    paths: set[str] = set()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or not hasattr(leaf.relation(), "location"):
+            return None
+        roots = leaf.relation().location().rootPaths()
+        paths.update(roots.apply(i).toString() for i in range(roots.size()))
+    return sorted(paths) or None
+
+
+def files_digest(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of all files under ``paths``, whatever their order: the engine
+    lists them (in parallel for many folders), a task hashes each file's
+    path, length and time, and the sums over these come to the driver. No
+    file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    line = F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    parts = [F.conv(F.substring(F.sha2(line, 256), at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    found = files.select(*[p.alias(f"h{k}") for k, p in enumerate(parts)], "length").agg(
+        F.count(F.lit(1)), F.sum("length"), F.sum("h0"), F.sum("h1")
+    ).first()
+    return " ".join(str(v) for v in found)
+
+
 def source_fingerprint(tables: Tables) -> str:
-    """Digest of what the tables are read from: each table's plan and its
-    input files with their lengths and times. Tables without files (literal
-    rows) get a new digest each time, so they are never mistaken for a copy."""
-    spark = tables.spark
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    seen: dict[str, str] = {}
+    """Digest of what the tables are read from: each table's plan and the
+    files under the paths it reads. Tables without files (literal rows) get a
+    new digest each time, so they are never mistaken for a copy."""
     digest = hashlib.sha256()
+    every: set[str] = set()
     for name in Tables.names():
         df = tables.table(name)
-        files = sorted(df.inputFiles())
-        if not files:
+        paths = _source_paths(df)
+        if paths is None:
             return uuid.uuid4().hex
         plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
-        digest.update(f"{name} {df.schema.simpleString()} {re.sub('#[0-9]+L?', '', plan)}".encode())
-        for f in files:
-            if f not in seen:
-                path = path_of(spark.sparkContext._jvm.java.net.URI(f))
-                status = path.getFileSystem(conf).getFileStatus(path)
-                seen[f] = f"{f} {status.getLen()} {status.getModificationTime()}"
-            digest.update(seen[f].encode())
+        digest.update(f"{name} {df.schema.simpleString()} {re.sub('#[0-9]+L?', '', plan)} {paths}".encode())
+        every.update(paths)
+    digest.update(files_digest(tables.spark, sorted(every)).encode())
     return digest.hexdigest()
 
 
@@ -127,12 +153,22 @@ def _register(spark: SparkSession, table: str, name: str, path: str, buckets: in
     )
 
 
-def _write(df: DataFrame, name: str, path: str, table: str, buckets: int, mode: str) -> None:
+#: folder of a bucketed table's rows under heavy keys, beside its own
+APART = "__apart"
+
+
+def _write(df: DataFrame, name: str, path: str, table: str, buckets: int, heavy: dict[str, list[int]]) -> None:
     if name in BUCKETS:
         key, sort = BUCKETS[name]
+        apart = heavy.get(key) if SPLIT_TABLES.get(name) == key else None
+        if apart:
+            is_apart = F.coalesce(F.col(key).isin(apart), F.lit(False))
+            # dealt round: a heavy key's rows lie in all files
+            df.filter(is_apart).repartition(buckets).write.mode("overwrite").parquet(f"{path}{APART}")
+            df = df.filter(~is_apart)
         # one task per bucket writes one file per bucket (no tasks x buckets
         # file explosion); within the file rows are sorted for skipping
-        writer = df.repartition(buckets, key).write.mode(mode).format("parquet").option("path", path)
+        writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
         writer = writer.bucketBy(buckets, key)
         if sort:
             writer = writer.sortBy(*sort)
@@ -143,76 +179,153 @@ def _write(df: DataFrame, name: str, path: str, table: str, buckets: int, mode:
         if name in SORTED:
             keys = SORTED[name]
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        df.write.mode(mode).parquet(path)
+        df.write.mode("overwrite").parquet(path)
 
 
-def save_tables(
-    tables: Tables,
-    base_dir: str,
-    prefix: str,
-    buckets: int | None = None,
-    mode: str = "overwrite",
-    only_missing: bool = False,
-) -> None:
+def save_tables(tables: Tables, base_dir: str, prefix: str, buckets: int, heavy: dict[str, list[int]]) -> None:
     """Write every table under ``{base_dir}/{table}`` in the report layout.
-    With ``only_missing``, tables already committed (``_SUCCESS`` present)
-    are kept, so an interrupted copy resumes where it stopped."""
+    Tables already committed (``_SUCCESS`` present) are kept, so an
+    interrupted copy resumes where it stopped."""
     spark = tables.spark
-    buckets = buckets or default_buckets(spark)
     for name in Tables.names():
         target = f"{base_dir}/{name}"
         table = _table_name(prefix, name)
-        if only_missing and _path_exists(spark, f"{target}/_SUCCESS"):
+        if _path_exists(spark, f"{target}/_SUCCESS"):
             if name in BUCKETS and not spark.catalog.tableExists(table):
                 _register(spark, table, name, target, buckets)
             continue
-        _write(tables.table(name), name, target, table, buckets, mode)
+        _write(tables.table(name), name, target, table, buckets, heavy)
 
 
-def load_stored(spark: SparkSession, base_dir: str, prefix: str) -> Tables:
+def load_stored(spark: SparkSession, base_dir: str, prefix: str, heavy: dict[str, list[int]]) -> Tables:
     """Read a stored copy: bucketed tables through the catalog (so Spark
-    knows their partitioning), the rest as Parquet with declared schemas."""
-    frames = {}
+    knows their partitioning), the rest as Parquet with declared schemas. A
+    table with rows stored apart is the union of both parts."""
+    frames, in_place = {}, {}
     for name in Tables.names():
         if name in BUCKETS:
             frames[name] = spark.table(_table_name(prefix, name))
+            if heavy.get(SPLIT_TABLES.get(name)):
+                apart = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{base_dir}/{name}{APART}")
+                in_place[name] = (frames[name], apart)
+                frames[name] = frames[name].unionByName(apart)
         else:
             frames[name] = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{base_dir}/{name}")
-    return Tables(**frames)
+    return Tables(**frames, heavy=heavy, _in_place=in_place)
 
 
-LAYOUT_MARKER = "clinicledger_layout.json"
+#: records of a layout, numbered; the newest complete one holds
+RECORDS = "_records"
+#: versions kept besides the newest, for jobs that still read them
+KEEP_VERSIONS = 1
+_RECORD_NAME = re.compile(r"(\d{10})\.json")
 
 
 def _prefix_for(folder: str) -> str:
     return f"clinicledger_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
 
 
-def _read_record(spark: SparkSession, base_dir: str) -> dict | None:
-    """The layout's record: version folder, bucket count, fingerprint."""
-    path = f"{base_dir}/{LAYOUT_MARKER}"
-    if not _path_exists(spark, path):
+def _file_system(spark: SparkSession, path: str):
+    """A path and its file system."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file; None if it is missing or cut short."""
+    hpath, fs = _file_system(spark, path)
+    if not fs.exists(hpath):
+        return None
+    stream = fs.open(hpath)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    try:
+        return json.loads(text)
+    except ValueError:
         return None
-    return json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))
 
 
-def _write_record(spark: SparkSession, base_dir: str, record: dict) -> None:
-    """Point the layout at a complete version (written aside, then renamed)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{base_dir}/{LAYOUT_MARKER}")
-    aside = jvm.org.apache.hadoop.fs.Path(f"{base_dir}/_{uuid.uuid4().hex}.json")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _write_json(spark: SparkSession, path: str, value: dict) -> bool:
+    """Write a small JSON file whole: aside first, then renamed to ``path``.
+    False if ``path`` is taken; an existing file is never touched."""
+    target, fs = _file_system(spark, path)
+    if fs.exists(target):
+        return False
+    aside, _ = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(aside, True)
-    out.write(bytearray(json.dumps(record).encode()))
+    out.write(bytearray(json.dumps(value).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"could not write {target.toString()}")
+    if fs.rename(aside, target):
+        return True
+    fs.delete(aside, False)
+    return False
+
+
+def _record_numbers(spark: SparkSession, base_dir: str) -> list[int]:
+    """Numbers of the layout's records, newest first."""
+    folder, fs = _file_system(spark, f"{base_dir}/{RECORDS}")
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted((int(m[1]) for m in map(_RECORD_NAME.fullmatch, names) if m), reverse=True)
+
+
+def _record_path(base_dir: str, number: int) -> str:
+    return f"{base_dir}/{RECORDS}/{number:010d}.json"
+
+
+def _read_record(spark: SparkSession, base_dir: str) -> dict | None:
+    """The newest complete record: version folder, bucket count, fingerprint,
+    heavy keys."""
+    for number in _record_numbers(spark, base_dir):
+        record = _read_json(spark, _record_path(base_dir, number))
+        if record is not None:
+            return record
+    return None
+
+
+def _write_record(spark: SparkSession, base_dir: str, record: dict) -> None:
+    """Add ``record`` under the next free number. Earlier records stay, so a
+    stop at any moment leaves the newest complete one in force; of two
+    writers each gets a number of its own."""
+    number = max(_record_numbers(spark, base_dir), default=0) + 1
+    while not _write_json(spark, _record_path(base_dir, number), record):
+        number += 1
+
+
+def _drop_old(spark: SparkSession, base_dir: str, keep: int) -> None:
+    """Remove records, and versions that none of the newest ``keep + 1``
+    different ones names. A record goes before its folder."""
+    kept: list[str] = []
+    gone: list[str] = []
+    for number in _record_numbers(spark, base_dir):
+        path = _record_path(base_dir, number)
+        record = _read_json(spark, path)
+        folder = record["folder"] if record else None
+        if folder in kept and number != _record_numbers(spark, base_dir)[0]:
+            _remove(spark, path)
+        elif folder is not None and len(kept) <= keep:
+            kept.append(folder)
+        else:
+            _remove(spark, path)
+            if folder:
+                gone.append(folder)
+    for folder in {*gone} - {*kept}:
+        _remove(spark, f"{base_dir}/{folder}")
+        for name in BUCKETS:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(_prefix_for(f'{base_dir}/{folder}'), name)}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hpath, fs = _file_system(spark, path)
+    fs.delete(hpath, True)
 
 
 def store_tables(
-    tables: Tables, base_dir: str, buckets: int | None = None, check_keys: bool = False
+    tables: Tables, base_dir: str, buckets: int | None = None, check_keys: bool = False, keep: int = KEEP_VERSIONS,
+    least_heavy: int = LEAST_ROWS,
 ) -> Tables:
     """Write ``tables`` under ``base_dir`` in the report layout and return
     the stored tables.
@@ -222,26 +335,37 @@ def store_tables(
     changed data or another count makes a new one next to it. The record is
     written last, after the key check, so a version that is incomplete or
     rejected is never opened. Everything read later comes from the record.
+    Then versions older than the newest and ``keep`` more are removed.
+
+    ``least_heavy``: rows of one key from which on it may be heavy
+    (``operators.skew``). The heavy keys of a version are settled before its
+    tables, so a resumed write splits them alike.
     """
     spark = tables.spark
     base_dir = base_dir.rstrip("/")
     buckets = buckets or default_buckets(spark, largest_table_bytes(tables))
     source = source_fingerprint(tables)
-    version = hashlib.sha256(f"{source} {buckets} {LAYOUT_VERSION}".encode()).hexdigest()[:20]
+    version = hashlib.sha256(f"{source} {buckets} {least_heavy} {LAYOUT_VERSION}".encode()).hexdigest()[:20]
+    folder = f"{base_dir}/{version}"
     record = {"folder": version, "buckets": buckets, "source": source, "layout": LAYOUT_VERSION}
-    if _read_record(spark, base_dir) != record:
-        folder = f"{base_dir}/{version}"
-        save_tables(tables, folder, _prefix_for(folder), buckets, only_missing=True)
+    newest = _read_record(spark, base_dir)
+    if newest is None or {k: newest.get(k) for k in record} != record:
+        settled = f"{folder}/_heavy.json"
+        if _read_json(spark, settled) is None:
+            _write_json(spark, settled, heavy_summary(tables, buckets, least_heavy))
+        heavy = _read_json(spark, settled)
+        save_tables(tables, folder, _prefix_for(folder), buckets, heavy)
         if check_keys:
-            assert_unique_keys(load_stored(spark, folder, _prefix_for(folder)))
-        _write_record(spark, base_dir, record)
+            assert_unique_keys(load_stored(spark, folder, _prefix_for(folder), heavy))
+        _write_record(spark, base_dir, {**record, "heavy": heavy})
+        _drop_old(spark, base_dir, keep)
     elif check_keys:
         assert_unique_keys(open_stored(spark, base_dir))
     return open_stored(spark, base_dir)
 
 
 def is_stored(spark: SparkSession, base_dir: str) -> bool:
-    return _path_exists(spark, f"{base_dir.rstrip('/')}/{LAYOUT_MARKER}")
+    return _read_record(spark, base_dir.rstrip("/")) is not None
 
 
 def open_stored(spark: SparkSession, base_dir: str) -> Tables:
@@ -258,7 +382,7 @@ def open_stored(spark: SparkSession, base_dir: str) -> Tables:
         table = _table_name(prefix, name)
         if not spark.catalog.tableExists(table):
             _register(spark, table, name, f"{folder}/{name}", record["buckets"])
-    return load_stored(spark, folder, prefix)
+    return load_stored(spark, folder, prefix, record["heavy"])
 
 
 def stored_copy(spark: SparkSession, tables: Tables, tag: str, buckets: int | None = None) -> Tables:

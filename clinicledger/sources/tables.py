@@ -89,6 +89,10 @@ class Tables:
     visit_transactions: DataFrame
     transactions: DataFrame
     transaction_distributions: DataFrame
+    # heavy key values by key column, and rows of bucketed tables stored apart
+    # under them (see operators.skew); filled for stored layouts
+    heavy: dict = field(default_factory=dict, compare=False, repr=False)
+    _in_place: dict = field(default_factory=dict, compare=False, repr=False)
     # memo of dimension size checks, see operators.dims.dim
     _checked: dict = field(default_factory=dict, compare=False, repr=False)
     # memo of parameter-free plan fragments (lazy DataFrames, not data)
@@ -96,11 +100,15 @@ class Tables:
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls) if not f.name.startswith("_")]
+        return [f.name for f in fields(cls) if f.name in TABLE_SCHEMAS]
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def parts(self, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """Table ``name`` as its rows in place and those stored apart, if any."""
+        return self._in_place.get(name, (self.table(name), None))
+
     @property
     def spark(self) -> SparkSession:
         return self.patient_visit.sparkSession
@@ -125,8 +133,9 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet") -> Tables:
-    """Read the 16 tables from ``{base_dir}/{table}`` with declared schemas.
+def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet", check_keys: bool = False) -> Tables:
+    """Read the 16 tables from ``{base_dir}/{table}`` with declared schemas;
+    ``check_keys`` asserts the unique keys (once, here).
 
     Column pruning and filter pushdown reach the scan: the plans only ever
     select the columns they read.
@@ -135,7 +144,10 @@ def load_tables(spark: SparkSession, base_dir: str, fmt: str = "parquet") -> Tab
         name: spark.read.format(fmt).schema(TABLE_SCHEMAS[name]).load(f"{base_dir}/{name}")
         for name in TABLE_SCHEMAS
     }
-    return Tables(**frames)
+    tables = Tables(**frames)
+    if check_keys:
+        assert_unique_keys(tables)
+    return tables
 
 
 def duplicate_keys(tables: Tables, name: str) -> DataFrame:
