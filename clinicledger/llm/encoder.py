@@ -2,12 +2,15 @@
 
 Every pre-token of the tokenizer lies between two white spaces, so a text's
 ids are those of its white-space separated chunks in order.  Each worker
-encodes a chunk once and looks it up afterwards; the table is emptied when it
-holds ``MEMO`` chunks, so memory is bounded.  Two more facts save work and
+encodes a chunk once and looks it up afterwards; at ``MEMO`` chunks a new table
+is begun and the one before kept for what is still met, so memory is bounded.
+Three more facts save work and
 change no id: in ASCII chunks A-Z may be lower-cased first where the
-tokenizer lower-cases itself, and a letter and a following full stop or comma
-are always different pre-tokens.  ``tests/llm`` holds the result against the
-library's encoding of whole texts.
+tokenizer lower-cases itself; a letter and following signs other than an
+apostrophe are always different pre-tokens; and where each pre-token's last id
+ends a word, new words of plain letters are encoded many to a line and cut
+there.  ``tests/llm`` holds the result against the library's encoding of whole
+texts.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ import pyarrow.compute as pc
 
 #: file used unless another is given
 TOKENIZER = "word_bpe_49k.json"
-#: chunks remembered by a worker, about 200 bytes each
-MEMO = 400_000
-_PLAIN_END = re.compile(r"[a-zß-öø-ÿ][.,]\Z")
+#: chunks remembered by a worker in each of two tables, about 200 bytes each
+MEMO = 250_000
+#: plain letters, each its own normal form, and signs that end their run
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)\Z")
+#: words encoded at once
+LINE = 256
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -55,39 +61,72 @@ class Encoder:
             for n in (spec.get("normalizer") or {}).get("normalizers", ())
         )
         self.lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", ()))
+        suffix = spec["model"].get("end_of_word_suffix")
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
+        self.ends_word = np.zeros(self.vocabulary, bool)
+        if suffix and self.splits_words and self.lowers:
+            self.ends_word[[k for piece, k in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, a line of them at a time."""
+        lines = [" ".join(words[k:k + LINE]) for k in range(0, len(words), LINE)]
+        ids = np.array([k for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for k in e.ids], self.dtype)
+        stops = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+        if len(stops) != len(words):
+            return self.whole(words)
+        data, stops = ids.tobytes(), stops.tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def known(self, chunks: list[str]) -> list[bytes | None]:
+        """The remembered ids of each chunk."""
+        found = list(map(self.memo.get, chunks))
+        if self.older:
+            for k in [k for k, ids in enumerate(found) if ids is None]:
+                ids = found[k] = self.older.get(chunks[k])
+                if ids is not None:
+                    self.memo[chunks[k]] = ids
+        return found
+
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk (none holds ASCII white space)."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        known = self.memo
-        if not self.lowers:
-            names, ends = chunks, None
-        else:
-            names, ends = [], {}
-            for k, c in enumerate(chunks):
-                if "<" not in c:  # special tokens are found before lower-casing
-                    if c.isascii():
-                        c = c.lower()
-                    if _PLAIN_END.search(c):
-                        ends[k] = c[-1]
-                        c = c[:-1]
-                names.append(c)
-        new = [n for n in dict.fromkeys(names) if n not in known]
+            self.memo, self.older = {}, self.memo
+        out = self.known(chunks)
+        places = [k for k, ids in enumerate(out) if ids is None]
+        heads, tails, plain = [], [], set()
+        for k in places:
+            c = chunks[k]
+            if self.lowers and "<" not in c:  # special tokens are found before lower-casing
+                if c.isascii():
+                    c = c.lower()
+                parts = _PLAIN.match(c)
+                if parts:
+                    head, tail = parts.groups()
+                    heads.append(head)
+                    tails.append(tail)
+                    plain.add(head)
+                    continue
+            heads.append(c)
+            tails.append("")
+        wanted = list(dict.fromkeys([*heads, *filter(None, tails)]))
+        ids = dict(zip(wanted, self.known(wanted)))
+        new = [n for n in wanted if ids[n] is None]
+        if self.ends_word.any():
+            words = [n for n in new if n in plain]
+            ids.update(zip(words, self.words(words)))
+            new = [n for n in new if n not in plain]
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
-            known.update(zip(part, self.whole(part)))
-        out = [known[n] for n in names]
-        if ends:
-            stops = dict(zip(".,", self.whole([".", ","])))
-            for k, stop in ends.items():
-                out[k] += stops[stop]
+            ids.update(zip(part, self.whole(part)))
+        for k, head, tail in zip(places, heads, tails):
+            out[k] = ids[chunks[k]] = ids[head] + ids[tail] if tail else ids[head]
+        self.memo.update(ids)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +141,11 @@ class Encoder:
         words = pc.dictionary_encode(lists.flatten())
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        parts = self.chunks(words.dictionary.to_pylist())
+        parts = self.chunks(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.array([len(p) for p in parts], np.int64) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(parts), self.dtype)
-        begin = np.cumsum(sizes) - sizes
         at = words.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[at]
-        ends = np.cumsum(counts)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - counts), counts)]
-        return ids, np.r_[0, ends][offsets]
+        ids = np.frombuffer(b"".join(map(parts.__getitem__, at.tolist())), self.dtype)
+        return ids, np.r_[0, np.cumsum(sizes[at])][offsets]
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
@@ -118,7 +153,7 @@ class Encoder:
             return np.diff(self.encode(texts)[1])
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         words = pc.dictionary_encode(lists.flatten())
-        parts = self.chunks(words.dictionary.to_pylist())
+        parts = self.chunks(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.array([len(p) for p in parts], np.int64) // self.dtype.itemsize
         sums = np.r_[0, np.cumsum(sizes[words.indices.to_numpy(zero_copy_only=False)])]
         offsets = lists.offsets.to_numpy().astype(np.int64)
