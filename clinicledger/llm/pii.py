@@ -28,8 +28,10 @@ ROUNDS = 5
 EPOCH, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
 #: every pattern starts at a run's beginning or is bounded, so that a scan is
-#: linear in the text's length
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: linear in the text's length; no group repeats without a bound, which the
+#: matcher would do by recursion, a stack frame each time.  A domain name has
+#: at most 127 labels of up to 63 characters.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}+[A-Za-z]{2,63}+"
 ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 PASSWORD = r"(?<=(?i:password=))[^\s\"']+"
 TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
