@@ -13,9 +13,17 @@ shingle sets.  A star alone would lose a link between two members that their
 centre doesn't confirm.  So members of buckets that still reach over several
 components are joined again by an exact prefix filter: sets at the threshold
 share one of their rarest shingles, and their parity bitmaps differ in no more
-bits than the sets may differ in shingles.  It makes no pairs of documents that
-have only a frequent passage in common, however many they are, and pairs inside
-a component aren't made.  Nothing caps a bucket.
+bits than the sets may differ in shingles.  Pairs inside a component aren't
+made, and nothing caps a bucket.
+
+A shingle in more than ``HOT`` prefixes is joined apart, by (shingle, size of
+the one set, size of the other).  If it is the first shingle two sets share, it
+stands at most n - t places from the front in a set of n, with t the
+intersection that these two sizes need; later places don't enter the join.  So
+texts that are equal but for more than the sizes allow make no pairs however
+many they are.  Keys that one side lacks go before the join, and a key's rows
+are dealt over several.  Texts of one template that differ in frequent shingles
+only, and by just more than is allowed, still meet pairwise before the bitmaps.
 
 The centre is the member with the smallest hash, in one of four hash orders
 by band, so that a group whose copies aren't all similar to one of them is
@@ -46,6 +54,9 @@ CENTRE_ORDERS = 4
 SAMPLE, FREQUENT = 16, 200_000
 #: 64-bit words of a set's parity bitmap
 WORDS = 16
+#: prefixes that hold a shingle, from which on it is joined by sizes too, and
+#: the rows of a side of such a key that one salt takes
+HOT, DEALT = 64, 2_048
 _TOP = U(64 - 8)
 _SEEDS = mix(np.arange(1, BINS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 #: random bin sequences for densification, one row per bin
@@ -142,6 +153,54 @@ def _tokens(width: int):
     return run
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sets' size classes: sizes up to 64, then steps of 1/32."""
+    n = np.asarray(n, np.int64)
+    top = np.frexp(np.maximum(n, 64).astype(np.float64))[1] - 7  # doublings over 64
+    return np.where(n <= 64, n, 64 + 32 * top + ((n >> np.maximum(top + 1, 1)) - 32))
+
+
+def class_starts(upto: int) -> np.ndarray:
+    """The smallest size of each class, up to the class of size ``upto``."""
+    n, out = 0, []
+    while n <= upto:
+        out.append(n)
+        n = n + 1 if n < 64 else n + (1 << (int(n).bit_length() - 6))
+    return np.array([*out, n], np.int64)
+
+
+def _roles(percent: int):
+    """A prefix row once for each size class that the other set may have, as
+    the larger (``big``) and as the smaller set, if its place allows it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
+            starts = class_starts(int(n.max()) * 100 // percent + 1)
+            own = size_class(n)
+            rows, bigs, smalls, big = [], [], [], []
+            for larger in (True, False):
+                low = size_class(-(-n * percent // 100)) if larger else own
+                high = own if larger else size_class(n * 100 // percent)
+                reach = high - low + 1
+                row = np.repeat(np.arange(len(n)), reach)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach - low, reach)
+                need = -(-percent * (n[row] + starts[other]) // (100 + percent))
+                keep = at[row] <= n[row] - need
+                row, other = row[keep], other[keep]
+                rows.append(row)
+                bigs.append(own[row] if larger else other)
+                smalls.append(other if larger else own[row])
+                big.append(np.full(len(row), larger))
+            row = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(row) for c in batch.schema.names), pa.array(np.concatenate(bigs)), pa.array(np.concatenate(smalls)), pa.array(np.concatenate(big))],
+                [*batch.schema.names, "cx", "cy", "big"],
+            )
+    return run
+
+
 def _prefix(width: int, percent: int, frequent: dict[int, int]):
     """The first n - ceil(percent/100 n) + 1 shingles of a set of n, those
     that aren't frequent first: sets at the threshold share one of them.
@@ -168,15 +227,56 @@ def _prefix(width: int, percent: int, frequent: dict[int, int]):
                 reps = [len(t) for t in tokens]
                 odd = np.repeat(np.array(parities).view("<i8").reshape(-1, WORDS), reps, axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)),
+                    [pa.array(np.concatenate(tokens)), pa.array(np.concatenate([np.arange(r) for r in reps])),
                      *[pa.array(np.repeat(batch.column(c).to_numpy(), reps)) for c in ("node", "label")],
                      pa.array(np.repeat(np.array(sizes, np.int64), reps)),
                      *[pa.array(np.ascontiguousarray(odd[:, k])) for k in range(WORDS)]],
-                    ["token", "node", "label", "n", *[f"w{k}" for k in range(WORDS)]],
+                    ["token", "at", "node", "label", "n", *[f"w{k}" for k in range(WORDS)]],
                 )
     return run
 
 
+def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """``a`` < ``b``: distinct pairs of nodes with different labels that share
+    a prefix shingle and pass the filters on sizes, places and bitmaps."""
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        keys = ("token", "cx", "cy", "salt")
+        return rows.select(*[c for c in keys if c in rows.columns], *[
+            F.col(c).alias(x if c == "node" else f"{c}{x}") for c in prefix.columns if c != "token"
+        ])
+
+    differ = sum((F.bit_count(F.col(f"w{k}a").bitwiseXOR(F.col(f"w{k}b"))) for k in range(WORDS)), F.lit(0))
+    reach = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))  # of the intersection
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.filter("labela != labelb")
+            .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            .filter(reach * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+            .filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        )
+
+    hot = stored(prefix.groupBy("token").count().filter(F.col("count") > HOT).select("token"), "near-hot")
+    if hot.isEmpty():
+        return passed(side(prefix, "a").join(side(prefix, "b"), "token").filter("a < b")).distinct()
+    light = prefix.join(small(hot), "token", "left_anti")
+    pairs = passed(side(light, "a").join(side(light, "b"), "token").filter("a < b"))
+
+    schema = f"{', '.join(f'{c} long' for c in prefix.columns)}, cx long, cy long, big boolean"
+    roles = prefix.join(small(hot), "token", "left_semi").select(*prefix.columns).mapInArrow(_roles(percent), schema)
+    roles = stored(roles, "near-roles")
+    key = ["token", "cx", "cy"]
+    sides = roles.groupBy(*key).agg(F.count_if("big").alias("nx"), F.count_if(~F.col("big")).alias("ny"))
+    sides = sides.filter("nx > 0 and ny > 0 and (cx != cy or nx > 1)").withColumn("salts", F.ceil(F.col("nx") / DEALT))
+    sides = small(stored(sides, "near-sides"))
+    kept = roles.join(sides.select(*key, "salts"), key)
+    one = kept.filter("big").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    two = kept.filter("not big").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    met = side(one, "a").join(side(two, "b"), [*key, "salt"]).filter("a != b and (cx != cy or a < b)")
+    return pairs.unionByName(passed(met)).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """A row per row of ``docs`` (``doc_id``, ``text``; other columns are
     ignored): ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id
@@ -248,19 +348,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             .mapInArrow(_tokens(width), "token long").groupBy("token").count().filter("count > 1"), "near-frequent"
         )
         frequent = {r["token"]: r["count"] for r in seen.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()}
+        wide = ", ".join(f"w{k} long" for k in range(WORDS))
         prefix = stored(
-            left.mapInArrow(_prefix(width, percent, frequent), "token long, node long, label long, n long, " + ", ".join(f"w{k} long" for k in range(WORDS))), "near-prefix"
-        )
-        mine, other = (
-            prefix.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in prefix.columns[2:]]) for x in "ab"
-        )
-        differ = sum((F.bit_count(F.col(f"w{k}a").bitwiseXOR(F.col(f"w{k}b"))) for k in range(WORDS)), F.lit(0))
-        more = (
-            mine.join(other, "token").filter("a < b and labela != labelb")
-            .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            .filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-            .select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+            left.mapInArrow(_prefix(width, percent, frequent), f"token long, at long, node long, label long, n long, {wide}"), "near-prefix"
         )
+        more = _prefix_pairs(prefix, percent).join(star, ["a", "b"], "left_anti")
         more = stored(more, "near-pairs")
         labels = components(linked.union(check(more, "near-linked")), "a", "b")
 
