@@ -45,12 +45,22 @@ def length_histogram(docs: DataFrame, by: Sequence[str] = (), tokenizer: str | N
     return rows.mapInArrow(_count(tokenizer, by), schema).groupBy(*by, "length").agg(F.count("*").alias("n_docs"))
 
 
+#: names that ``context_table`` gives
+OUTPUT = ("length", "n_docs", "docs_to", "docs_from", "tokens_to", "tokens_total", "tokens_cut", "share_to")
+
+
 def context_table(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """For every length that occurs, taken as a context limit: ``length``,
     ``n_docs`` of that length, ``docs_to`` (up to it), ``docs_from`` (at
     least it), ``tokens_to``, ``tokens_total``, ``tokens_cut`` (left when
     each document is cut to it) and ``share_to``.  Sums run within blocks of
-    lengths first; a second window carries one row per block."""
+    lengths first; a second window carries one row per block.  ``by`` columns
+    may have any name but these."""
+    clash = set(OUTPUT) & set(by)
+    if clash:
+        raise ValueError(f"reserved column names: {sorted(clash)}")
+    names, by = list(by), [f"__by_{k}" for k in range(len(by))]
+    histogram = histogram.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, by)], "length", "n_docs")
     h = stored(histogram.withColumn("block", F.floor(F.col("length") / BLOCK)), "lengths")
     tokens = F.col("length") * F.col("n_docs")
     blocks = h.groupBy(*by, "block").agg(F.sum("n_docs").alias("bd"), F.sum(tokens).alias("bt"))
@@ -71,7 +81,7 @@ def context_table(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = out.withColumn("tokens_to", F.col("t") + F.col("t0"))
     out = out.withColumn("docs_from", F.col("docs_total") - F.col("docs_to") + F.col("n_docs"))
     return out.select(
-        *by, "length", "n_docs", "docs_to", "docs_from", "tokens_to", "tokens_total",
+        *[F.col(k).alias(c) for c, k in zip(names, by)], "length", "n_docs", "docs_to", "docs_from", "tokens_to", "tokens_total",
         (F.col("tokens_to") + F.col("length") * (F.col("docs_total") - F.col("docs_to"))).alias("tokens_cut"),
         (F.col("docs_to") / F.col("docs_total")).alias("share_to"),
     )
