@@ -26,6 +26,7 @@ from clinicledger.constants import (
     PPS_RATES,
     SERVICE_TYPES,
 )
+from clinicledger.functions.text import text_equals
 from clinicledger.functions.dates import ts_lit
 
 
@@ -89,13 +90,13 @@ def service_type(resource_type: Column | str, charges: Column | str) -> Column:
 
 
 def is_collectable(function_name: Column | str) -> Column:
-    """Adjustment type flag 'Y' or missing."""
-    return F.coalesce(_col(function_name), F.lit(COLLECTABLE_FLAG)) == COLLECTABLE_FLAG
+    """Adjustment type flag 'Y' (in either case, trailing blanks aside) or missing."""
+    return text_equals(F.coalesce(_col(function_name), F.lit(COLLECTABLE_FLAG)), COLLECTABLE_FLAG)
 
 
 def is_non_collectable(function_name: Column | str) -> Column:
     """Adjustment type flag 'N' (other flags are neither)."""
-    return F.coalesce(_col(function_name), F.lit(COLLECTABLE_FLAG)) == NON_COLLECTABLE_FLAG
+    return text_equals(F.coalesce(_col(function_name), F.lit(COLLECTABLE_FLAG)), NON_COLLECTABLE_FLAG)
 
 
 @dataclass(frozen=True)

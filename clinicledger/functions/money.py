@@ -13,7 +13,7 @@ from clinicledger.constants import (
     NON_ENCOUNTER_CODES,
     REVERSAL_PREFIXES,
 )
-from clinicledger.functions.text import prefix_in
+from clinicledger.functions.text import prefix_in, text_in
 
 # Row-level money (as stored) and report-level money (sums).
 LEDGER_MONEY = "decimal(10,2)"
@@ -45,13 +45,13 @@ def clamp_unit(col: Column | str) -> Column:
 def flat_rate_ins_allocation(cpt_code: Column | str, orig_ins: Column | str,
                              codes: Sequence[str] = FLAT_RATE_CPT_CODES) -> Column:
     """Insurance allocation of a charge line: 0 for flat-rate visit codes."""
-    return F.when(_col(cpt_code).isin(list(codes)), F.lit(0)).otherwise(_col(orig_ins))
+    return F.when(text_in(cpt_code, codes), F.lit(0)).otherwise(_col(orig_ins))
 
 
 def flat_rate_ins_adjustment(cpt_code: Column | str, orig_ins: Column | str,
                              codes: Sequence[str] = FLAT_RATE_CPT_CODES) -> Column:
     """The reclassed insurance allocation, booked as a negative adjustment."""
-    return F.when(_col(cpt_code).isin(list(codes)), -_col(orig_ins)).otherwise(F.lit(0))
+    return F.when(text_in(cpt_code, codes), -_col(orig_ins)).otherwise(F.lit(0))
 
 
 def line_encounter(
@@ -70,7 +70,7 @@ def line_encounter(
     unknown, so the +1 arm fails; the -1 arm does not look at the code.
     """
     reversal = prefix_in(qualifier, 8, reversal_prefixes) & (_col(units) < 0)
-    counted = prefix_in(qualifier, 10, encounter_prefixes) & ~_col(code).isin(list(excluded_codes))
+    counted = prefix_in(qualifier, 10, encounter_prefixes) & ~text_in(code, excluded_codes)
     return F.when(reversal, F.lit(-1)).when(counted, F.lit(1)).otherwise(F.lit(0))
 
 
@@ -101,12 +101,12 @@ def encounter_flag(
 
 
 def place_in(pos_code: Column | str, codes: Sequence[str]) -> Column:
-    return _col(pos_code).isin(list(codes))
+    return text_in(pos_code, codes)
 
 
 def place_not_in(pos_code: Column | str, codes: Sequence[str]) -> Column:
     """``ISNULL(code, '') NOT IN (...)``: a missing place counts as not in."""
-    return ~F.coalesce(_col(pos_code), F.lit("")).isin(list(codes))
+    return ~text_in(F.coalesce(_col(pos_code), F.lit("")), codes)
 
 
 def charge_columns(ins_allocation: str = "ins_allocation", pat_allocation: str = "pat_allocation",

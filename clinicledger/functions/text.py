@@ -1,8 +1,9 @@
 """String predicates with the reports' comparison rules.
 
 The report database compares strings ignoring trailing blanks, and its
-default collation ignores case. Spark compares exactly, so both rules are
-spelled out: ``rtrim`` before equality, ``lower`` for pattern tests.
+default collation ignores case. Spark compares exactly, so tests of codes and
+names go through ``text_in`` / ``text_equals``, which name that collation;
+pattern tests use ``lower``.
 """
 
 from __future__ import annotations
@@ -17,13 +18,38 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: the report database's equality: neither case nor trailing blanks count
+TEXT_COLLATION = "UTF8_LCASE_RTRIM"
+
+
+def text_key(col: Column | str) -> Column:
+    """``col`` under the report database's collation, for tests and join keys."""
+    return F.collate(_col(col), TEXT_COLLATION)
+
+
+def text_in(col: Column | str, values: Sequence[str]) -> Column:
+    """``col IN (values)`` by the report database's rules; NULL gives NULL."""
+    return text_key(col).isin(list(values))
+
+
+def text_equals(col: Column | str, value: str) -> Column:
+    """``col = value`` by the report database's rules. A value without
+    letters has one spelling but for trailing blanks, so its prefix is tested
+    too: that test, unlike a collated one, reaches the scan."""
+    same = text_key(col) == F.lit(value)
+    bare = value.rstrip(" ")
+    if bare and bare.isascii() and not any(c.isalpha() for c in bare):
+        return same & _col(col).startswith(bare)
+    return same
+
+
 def prefix_in(col: Column | str, n: int, values: Sequence[str]) -> Column:
-    """``LEFT(col, n) IN (values)`` ignoring trailing blanks on both sides.
+    """``LEFT(col, n) IN (values)`` ignoring case and trailing blanks on both sides.
 
     ``'HCPC - BH visit'`` has the 10-character prefix ``'HCPC - BH '``, which
     equals ``'HCPC - BH'`` under trailing-blank-insensitive comparison.
     """
-    return F.rtrim(F.left(_col(col), F.lit(n))).isin([v.rstrip() for v in values])
+    return text_in(F.left(_col(col), F.lit(n)), values)
 
 
 def contains_none(col: Column | str, substrings: Sequence[str], ignore_case: bool = True) -> Column:

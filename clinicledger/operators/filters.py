@@ -13,10 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clinicledger.constants import VOID_MARKER
 from clinicledger.functions.dates import in_window, ts_lit
-from clinicledger.functions.text import contains_none
+from clinicledger.functions.text import TEXT_COLLATION, contains_none, text_equals, text_key
 
 # Lists longer than this become a broadcast semi/anti join instead of an
 # IN-set predicate (the list is a driver-side parameter, so its size is
@@ -51,14 +52,16 @@ def _listed(values: Sequence) -> list:
     return [v for v in dict.fromkeys(values) if v is not None]
 
 
-def in_list(col: str, values: Sequence) -> Column:
+def in_list(col: str, values: Sequence, collation: str | None = None) -> Column:
     """``col IN (values)`` built as one SQL expression: a long literal list
     reaches the JVM in one call instead of one call per value (Catalyst
-    turns it into the same hashed IN-set). NULL entries are ignored."""
+    turns it into the same hashed IN-set). NULL entries are ignored.
+    ``collation``: compare text under it."""
     values = _listed(values)
     if not values:
         return F.lit(False)
-    return F.expr(f"`{col}` IN ({', '.join(_sql_literal(v) for v in values)})")
+    tested = f"collate(`{col}`, '{collation}')" if collation else f"`{col}`"
+    return F.expr(f"{tested} IN ({', '.join(_sql_literal(v) for v in values)})")
 
 
 def date_type_column(date_type: str, service_col: str, entry_col: str) -> str | None:
@@ -90,6 +93,15 @@ def _values_frame(df: DataFrame, values: Sequence, col: str) -> DataFrame:
     return F.broadcast(vals.distinct())
 
 
+def _is_text(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, StringType)
+
+
+def _among(df: DataFrame, col: str, values: Sequence) -> Column:
+    """``col IN (values)``, text by the report database's rules."""
+    return in_list(col, values, TEXT_COLLATION if _is_text(df, col) else None)
+
+
 def optional_in(df: DataFrame, col: str, values: Sequence | None) -> DataFrame:
     """Optional multi-value filter: no predicate at all when ``values`` is
     None ("all"), else ``col IN (values)``; an empty list keeps nothing."""
@@ -104,22 +116,27 @@ def optional_in(df: DataFrame, col: str, values: Sequence | None) -> DataFrame:
 def exclude_keys(df: DataFrame, col: str, excluded: Sequence | DataFrame) -> DataFrame:
     """``col NOT IN (excluded)``: rows with a NULL ``col`` are dropped too,
     whatever the length or form of ``excluded`` (also if it is empty); NULL
-    entries are ignored.
+    entries are ignored. Text is compared by the report database's rules.
 
     A literal list compiles to a hashed IN-set inside generated code; a
     DataFrame of keys (any size) becomes an anti join, which Spark plans as a
     broadcast or a shuffle join from its measured size.
     """
     key = F.col(col)
+    present = df.filter(key.isNotNull())
+    shown = text_key if _is_text(df, col) else F.col
     if isinstance(excluded, DataFrame):
         (kcol,) = excluded.columns
         keys = excluded.select(F.col(kcol).alias("_excluded_key")).filter(F.col("_excluded_key").isNotNull())
-        return df.filter(key.isNotNull()).join(keys, key == F.col("_excluded_key"), "left_anti")
+        return present.join(keys, shown(col) == shown("_excluded_key"), "left_anti")
     values = _listed(excluded)
     if len(values) <= INLINE_LIST_MAX:
-        return df.filter(key.isNotNull() & ~in_list(col, values))
+        if not _is_text(df, col) or not values:
+            return present.filter(~in_list(col, values))
+        # the exact test follows from the collated one; it reaches the scan
+        return present.filter(~in_list(col, values) & ~_among(df, col, values))
     keys = _values_frame(df, values, col)
-    return df.filter(key.isNotNull()).join(keys, key == F.col("v"), "left_anti")
+    return present.join(keys, shown(col) == shown("v"), "left_anti")
 
 
 def exclude_test_patients(
@@ -131,12 +148,13 @@ def exclude_test_patients(
 
 
 def keep_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
-    return df.filter(F.col(col).isin(list(values)))
+    """``col IN (values)``; text by the report database's rules."""
+    return df.filter(_among(df, col, values))
 
 
 def drop_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     """``col NOT IN (values)``; NULL ``col`` drops."""
-    return df.filter(~F.col(col).isin(list(values)))
+    return df.filter(~_among(df, col, values))
 
 
 def nonzero(df: DataFrame, col: str) -> DataFrame:
@@ -145,7 +163,8 @@ def nonzero(df: DataFrame, col: str) -> DataFrame:
 
 
 def equals(df: DataFrame, col: str, value) -> DataFrame:
-    return df.filter(F.col(col) == F.lit(value))
+    """``col = value``; text by the report database's rules."""
+    return df.filter(text_equals(col, value) if isinstance(value, str) else F.col(col) == F.lit(value))
 
 
 def collected_as_of_predicate(

@@ -58,6 +58,7 @@ from clinicledger.functions.money import (
     place_in,
     place_not_in,
 )
+from clinicledger.functions.text import text_equals
 from clinicledger.operators.dims import (
     dim,
     lookup,
@@ -273,14 +274,14 @@ def route_payments(source: str = "source", action: str = "action", amount: str =
     def on(cond, value):
         return F.when(cond, value).otherwise(zero)
 
-    pay_or_adj = act.isin(ACTION_ADJUSTMENT, ACTION_PAYMENT)
+    paid, adjusted = text_equals(act, ACTION_PAYMENT), text_equals(act, ACTION_ADJUSTMENT)
     return {
-        "pat_balance": on((src == SOURCE_PATIENT) & pay_or_adj, -amt),
-        "ins_balance": on((src == SOURCE_INSURANCE) & pay_or_adj, -amt),
-        "ins_payment": on((src == SOURCE_INSURANCE) & (act == ACTION_PAYMENT), amt),
-        "pat_payment": on((src == SOURCE_PATIENT) & (act == ACTION_PAYMENT), amt),
-        "ins_adjustment": on((src == SOURCE_INSURANCE) & (act == ACTION_ADJUSTMENT), amt),
-        "pat_adjustment": on((src == SOURCE_PATIENT) & (act == ACTION_ADJUSTMENT), amt),
+        "pat_balance": on((src == SOURCE_PATIENT) & (adjusted | paid), -amt),
+        "ins_balance": on((src == SOURCE_INSURANCE) & (adjusted | paid), -amt),
+        "ins_payment": on((src == SOURCE_INSURANCE) & paid, amt),
+        "pat_payment": on((src == SOURCE_PATIENT) & paid, amt),
+        "ins_adjustment": on((src == SOURCE_INSURANCE) & adjusted, amt),
+        "pat_adjustment": on((src == SOURCE_PATIENT) & adjusted, amt),
     }
 
 

@@ -62,7 +62,7 @@ def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROV
     """``(patient_visit_id, patient_visit_resource_id, dot_id, resource_name,
     resource_type)`` per visit resource restricted to provider types:
     '(Multiple)' when the resource has more than one such type assignment,
-    and the greatest type name."""
+    and the greatest type name. Visit resource ids are unique (T22)."""
     if within is not None:
         return _label_by_assignment(t, provider_types, within)
     return t.memo(("resource_label_by_assignment", tuple(provider_types)),
@@ -70,13 +70,19 @@ def resource_label_by_assignment(t: Tables, provider_types: Sequence[str] = PROV
 
 
 def _label_by_assignment(t: Tables, provider_types: Sequence[str], within: DataFrame | None) -> DataFrame:
+    # a visit resource names one resource, so its group of assignments is the
+    # resource's: it is summed up in the dimension, and visit resources are
+    # only looked up
     names = dim(t, "doctor_facility", ["doctor_facility_id", "list_name", "dot_id"])
-    provider_types_of = provider_type_assignments(t, provider_types)
+    kinds = provider_type_assignments(t, provider_types).groupBy("resource_id").agg(
+        F.count(F.lit(1)).alias("n_kinds"), F.max("type_name").alias("resource_type")
+    )
+    kinds = broadcast_derived(kinds, t, "resource_type_assignments", "med_lists")
+    label = F.when(F.col("n_kinds") > 1, F.lit(MULTIPLE_LABEL)).otherwise(F.col("list_name"))
     return _per_visit(t, ["patient_visit_id", "patient_visit_resource_id", "resource_id"], within, lambda pvr: (
         pvr.join(names, pvr.resource_id == names.doctor_facility_id)
-        .join(provider_types_of, "resource_id")
-        .groupBy("patient_visit_id", "patient_visit_resource_id", "dot_id")
-        .agg(_label("list_name").alias("resource_name"), F.max("type_name").alias("resource_type"))
+        .join(kinds, "resource_id")
+        .select("patient_visit_id", "patient_visit_resource_id", "dot_id", label.alias("resource_name"), "resource_type")
     ))
 
 
@@ -123,14 +129,32 @@ def resource_fanout(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOU
                   lambda: _resource_fanout(t, excluded_subtypes, None))
 
 
-def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int], within: DataFrame | None) -> DataFrame:
+def _counted_types(t: Tables, excluded_subtypes: Sequence[int]) -> DataFrame:
+    """``(resource_id, n_types)``: counted type assignments per resource, broadcast."""
     rta = drop_values(dim(t, "resource_type_assignments", ["resource_id", "resource_type_id"]),
                       "resource_type_id", excluded_subtypes)
     types = dim(t, "med_lists", ["med_lists_id"])
     assignments = rta.join(types, rta.resource_type_id == types.med_lists_id).groupBy("resource_id").agg(
         F.count(F.lit(1)).alias("n_types")
     )
-    assignments = broadcast_derived(assignments, t, "resource_type_assignments", "med_lists")
+    return broadcast_derived(assignments, t, "resource_type_assignments", "med_lists")
+
+
+def visit_resource_profile(t: Tables, excluded_subtypes: Sequence[int] = EXCLUDED_RESOURCE_SUBTYPES,
+                           within: DataFrame | None = None) -> DataFrame:
+    """``(patient_visit_id, fanout, resource_copies)``: ``resource_fanout``
+    (NULL without a counted assignment) and the number of visit resources, in
+    one aggregate."""
+    assignments = _counted_types(t, excluded_subtypes)
+    return _per_visit(t, ["patient_visit_id", "resource_id"], within, lambda pvr: (
+        pvr.join(assignments, "resource_id", "left")
+        .groupBy("patient_visit_id")
+        .agg(F.sum("n_types").cast("bigint").alias("fanout"), F.count(F.lit(1)).alias("resource_copies"))
+    ))
+
+
+def _resource_fanout(t: Tables, excluded_subtypes: Sequence[int], within: DataFrame | None) -> DataFrame:
+    assignments = _counted_types(t, excluded_subtypes)
     return _per_visit(t, ["patient_visit_id", "resource_id"], within, lambda pvr: (
         pvr.join(assignments, "resource_id")
         .groupBy("patient_visit_id")

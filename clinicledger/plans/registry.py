@@ -33,6 +33,8 @@ from clinicledger.functions.dates import month_of, rolling_months
 from clinicledger.functions.money import (
     charge_columns,
     encounter_flag,
+    flat_rate_ins_allocation,
+    line_encounter,
     money,
     place_in,
     place_not_in,
@@ -43,7 +45,7 @@ from clinicledger.plans import reports
 from clinicledger.plans.params import EncounterParams, RevenueParams
 from clinicledger.sources.fixture import fixture_tables
 from clinicledger.session import ensure_checkpoint_dir
-from clinicledger.sources.sinks import read_report, write_report
+from clinicledger.sources.sinks import SORT_PREFIX, read_report, report_positions, write_report
 from clinicledger.sources.store import materialize_enabled, stored_copy
 from clinicledger.sources.tables import Tables
 
@@ -142,6 +144,37 @@ def q_written_encounter_report(spark, sf_dir):
     return read_report(spark, path).select(*reports.REPORT_COLUMNS)
 
 
+def _written_order(spark, report: DataFrame, keys: tuple[str, ...], shown: tuple[str, ...]) -> DataFrame:
+    """Position of each row of a written report in its month, with its sort keys."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written-report-{uuid.uuid4().hex}"
+    write_report(report, path, keep_sort_keys=True)
+    columns = [f"{SORT_PREFIX}{k}_{c}" for k, c in enumerate(keys)]
+    placed = report_positions(spark, path, columns)
+    return placed.select(
+        "month_of_service", "position", "ascends", *[F.col(c).alias(k) for c, k in zip(columns, keys) if k in shown]
+    )
+
+
+def q_encounter_report_order(spark, sf_dir):
+    """The encounter report's rows where its sink put them (O2)."""
+    report = reports.encounter_report(tables(spark, sf_dir), ENCOUNTER, sort_keys=True)
+    keys = ("company_name", "facility_name", "ticket_number", *reports.ORDER_TIE_BREAK)
+    shown = ("company_name", "facility_name", "ticket_number", "date_of_service_from", "cpt_code", "resource_id")
+    return _written_order(spark, report, keys, shown)
+
+
+def q_revenue_journal_order(spark, sf_dir):
+    """The revenue journal's rows where its sink put them (O1)."""
+    report = reports.revenue_journal(tables(spark, sf_dir), REVENUE, sort_keys=True)
+    keys = ("date_of_service_from", "patient_visit_id", "patient_visit_procs_id")
+    return _written_order(spark, report, keys, keys)
+
+
+def q_encounter_report_no_resource(spark, sf_dir):
+    """Any other value of the resource switch gives no rows (F14)."""
+    return reports.encounter_report(tables(spark, sf_dir), dataclasses.replace(ENCOUNTER, include_resource=2))
+
+
 def q_revenue_journal_filtered(spark, sf_dir):
     return reports.revenue_journal(tables(spark, sf_dir), REVENUE_FILTERED)
 
@@ -208,6 +241,41 @@ def q_exclude_tickets(spark, sf_dir):
     return filters.exclude_keys(_visits(tables(spark, sf_dir)), "ticket_number", EXCLUDED_TICKETS)
 
 
+def _respelled(col: str, key: str) -> F.Column:
+    """``col`` in lower case, with trailing blanks, or both, by ``key``."""
+    text, kind = F.col(col), F.col(key) % 3
+    return F.when(kind == 0, F.concat(F.lower(text), F.lit("  "))).when(kind == 1, F.concat(text, F.lit(" "))).otherwise(F.lower(text))
+
+
+def q_exclude_tickets_respelled(spark, sf_dir):
+    """The ticket list against tickets in other spellings."""
+    df = _visits(tables(spark, sf_dir)).withColumn("ticket_number", _respelled("ticket_number", "patient_visit_id"))
+    return filters.exclude_keys(df, "ticket_number", EXCLUDED_TICKETS).select(
+        "patient_visit_id", F.trim("ticket_number").alias("ticket")
+    )
+
+
+def q_line_codes_respelled(spark, sf_dir):
+    """The flat-rate and no-encounter code lists against codes in other spellings."""
+    lines = tables(spark, sf_dir).patient_visit_procs.select("patient_visit_procs_id", *[
+        _respelled(c, "patient_visit_procs_id").alias(c) for c in ("code", "cpt_code")
+    ], F.lit("hcpc - med").alias("qualifier"), F.lit(1).alias("units"))
+    return lines.select(
+        "patient_visit_procs_id",
+        flat_rate_ins_allocation("cpt_code", F.lit(1)).cast("int").alias("allocated"),
+        line_encounter("qualifier", "units", "code").cast("int").alias("encounter"),
+    )
+
+
+def q_exclude_void_visits(spark, sf_dir):
+    """Visits without the void marker in a description (Q2); a missing one drops."""
+    key, ticket = F.col("patient_visit_id"), F.col("ticket_number")
+    description = F.when(key % 7 == 0, F.concat(F.lit("Moved *VOID* "), ticket)).when(
+        key % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Visit "), ticket))
+    df = _visits(tables(spark, sf_dir)).withColumn("description", description)
+    return filters.exclude_void_visits(df, "description").select("patient_visit_id", "description")
+
+
 def q_exclude_test_patients(spark, sf_dir):
     t = tables(spark, sf_dir)
     return filters.exclude_test_patients(t.patient_profile, "last", TEST_PATIENT_MARKERS, ignore_case=True)
@@ -466,6 +534,12 @@ RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_journal_no_end": q_revenue_journal_no_end,
     "written_encounter_report": q_written_encounter_report,
     "encounter_report_filtered": q_encounter_report_filtered,
+    "encounter_report_no_resource": q_encounter_report_no_resource,
+    "encounter_report_order": q_encounter_report_order,
+    "revenue_journal_order": q_revenue_journal_order,
+    "exclude_tickets_respelled": q_exclude_tickets_respelled,
+    "line_codes_respelled": q_line_codes_respelled,
+    "exclude_void_visits": q_exclude_void_visits,
 }
 
 

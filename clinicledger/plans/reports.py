@@ -23,7 +23,7 @@ from clinicledger.functions.classify import (
 )
 from clinicledger.functions.dates import day_of, in_window, month_of
 from clinicledger.functions.money import adjustment_check_columns, charge_columns, money
-from clinicledger.operators.collections import collection_columns, collection_totals
+from clinicledger.operators.collections import collection_columns, collection_totals, window_visits
 from clinicledger.operators.dims import (
     bounded_broadcast,
     dim,
@@ -39,8 +39,8 @@ from clinicledger.operators.ledger import (
     payment_amounts,
     stage_amounts,
 )
-from clinicledger.operators.resources import resource_fanout, resource_label_by_assignment
-from clinicledger.operators.skew import VISIT, by_parts, join_split
+from clinicledger.operators.resources import resource_label_by_assignment, visit_resource_profile
+from clinicledger.operators.skew import VISIT, join_split
 from clinicledger.plans.params import EncounterParams, RevenueParams
 from clinicledger.sources.sinks import SORT_PREFIX, with_report_date
 from clinicledger.sources.tables import Tables
@@ -145,28 +145,6 @@ def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
     return lines.withColumn("in_closed_window", between)
 
 
-def resource_rows(t: Tables, within: DataFrame | None = None) -> DataFrame:
-    """The visit's resource labels (one per visit resource with provider
-    types), each with ``resource_copies``: the number of visit resources of
-    the visit. The report joins the visit resources a second time, which
-    repeats every label row that many times; the copies are generated from
-    this count at the end (``with_resource_copies``) instead of a join that
-    pairs the visit's resources with each other."""
-    labels = resource_label_by_assignment(t, within=within)
-
-    def counted(pvr: DataFrame) -> DataFrame:
-        pvr = pvr.select("patient_visit_id")
-        if within is not None:
-            pvr = require_exists(pvr, within, "patient_visit_id")
-        return pvr.groupBy("patient_visit_id").agg(F.count(F.lit(1)).alias("resource_copies"))
-
-    copies = by_parts(t, "patient_visit_resource", counted)
-    return labels.join(copies, "patient_visit_id").select(
-        "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type"),
-        "resource_copies",
-    )
-
-
 def with_resource_copies(df: DataFrame) -> DataFrame:
     """Repeat each row ``resource_copies`` times (once when NULL: a visit
     without labels keeps one row)."""
@@ -174,17 +152,6 @@ def with_resource_copies(df: DataFrame) -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).drop("_copy", "resource_copies")
 
 
-def window_visits(t: Tables, p: RevenueParams) -> DataFrame:
-    """Ids of visits with a procedure line in the report window (a pushed
-    down scan of the lines), once each: a visit with a large share of the
-    lines combines before the shuffle."""
-    col = date_type_column(p.date_type, "date_of_service_from", "date_of_entry")
-    window = in_window(col, p.start, p.end, "end_plus_day") if col else F.lit(False)
-    return t.patient_visit_procs.select("patient_visit_id", "date_of_service_from", "date_of_entry").filter(
-        window
-    ).select("patient_visit_id").distinct()
-
-
 def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) -> DataFrame:
     """Per-visit context of the journal: doctor and facility (inner),
     carrier (inner) and policy type, whether the patient profile exists,
@@ -195,7 +162,7 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
         "primary_insurance_carriers_id", "first_filed_date",
     )
     # only visits the window touches: read in place, before any shuffle
-    in_window = window_visits(t, p)
+    in_window = window_visits(t, p.date_type, p.start, p.end)
     pv = require_exists(pv, in_window, "patient_visit_id")
     pv = optional_in(pv, "facility_id", p.facilities)
     pv = optional_in(pv, "primary_insurance_carriers_id", p.carriers)
@@ -205,13 +172,22 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
                              "policy_type": "policy_type_name"})
     profiles = t.patient_profile.select("patient_profile_id", F.lit(True).alias("profile_ok"))
     pv = pv.join(profiles, "patient_profile_id", "left")
-    fan = resource_fanout(t, within=in_window)
-    if p.fanout == "distinct":
-        fan = fan.select("patient_visit_id", F.lit(1).cast("bigint").alias("fanout"))
-    elif p.fanout != "reference":
+    if p.fanout not in ("reference", "distinct"):
         raise ValueError(f"unknown fanout {p.fanout!r}")
-    pv = pv.join(fan, "patient_visit_id", "left")
-    return pv.join(resource_rows(t, within=in_window), "patient_visit_id", "left") if with_resources else pv
+    pv = pv.join(visit_resource_profile(t, within=in_window), "patient_visit_id", "left")
+    if p.fanout == "distinct":
+        pv = pv.withColumn("fanout", F.when(F.col("fanout").isNotNull(), F.lit(1).cast("bigint")))
+    if not with_resources:
+        return pv.drop("resource_copies")
+    # The report joins the visit resources a second time, which repeats every
+    # label row by their number; the copies are generated from that count at
+    # the end (``with_resource_copies``) instead of a join that pairs the
+    # visit's resources with each other.
+    labels = resource_label_by_assignment(t).select(
+        "patient_visit_id", "dot_id", "resource_name", F.col("resource_type").alias("label_type")
+    )
+    pv = pv.join(labels, "patient_visit_id", "left")
+    return pv.withColumn("resource_copies", F.when(F.col("label_type").isNotNull(), F.col("resource_copies")))
 
 
 def revenue_journal(t: Tables, p: RevenueParams, sort_keys: bool = False) -> DataFrame:

@@ -77,6 +77,8 @@ TICKET_A_SUFFIX_KEYS = [842, 2222, 45260]
 PLB_SUPPLIER_KEY = 9
 PLB_NAME = "PLB, Provider"
 FACILITY_ID_BASE = 1_000_000
+# line ids of an order start a step apart; row numbers are 32-bit
+LINE_ID_STEP = 1 << 31
 COMPANY_ID_BASE = 2_000_000
 
 
@@ -97,17 +99,15 @@ def _lines(lineitem: DataFrame) -> DataFrame:
 
     ``(l_orderkey, l_linenumber)`` is not unique in the test data, so the id
     numbers the lines of an order in a total order. The window partitions by
-    order key; an order holds at most 17 lines at every test size, and one of
-    100 lines or more is refused, since its ids would meet the next order's.
+    order key (at most 17 lines an order at every test size); a number stays
+    below ``LINE_ID_STEP`` in any order, so ids of two orders never meet.
     """
     order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
     )
-    number = F.row_number().over(order)
-    number = F.when(number < 100, number).otherwise(F.raise_error(F.lit("an order has 100 lines or more")))
     return lineitem.select(
         "*",
-        (F.col("l_orderkey") * 100 + number).alias("pid"),
+        (F.col("l_orderkey") * LINE_ID_STEP + F.row_number().over(order)).alias("pid"),
         F.col("l_extendedprice").cast(MONEY).alias("price"),
         F.col("l_discount").cast("decimal(4,2)").alias("disc"),
         (F.col("l_linenumber") % 4 != 0).alias("ins_line"),

@@ -62,6 +62,7 @@ UNIQUE_KEYS: dict[str, tuple[str, ...]] = {
     "insurance_carriers": ("insurance_carriers_id",),
     "procedures": ("procedures_id",),
     "batch": ("batch_id",),
+    "patient_visit_resource": ("patient_visit_resource_id",),
     "patient_visit_procs": ("patient_visit_procs_id",),
     "patient_visit_procs_agg": ("patient_visit_procs_id",),
     "payment_method": ("payment_method_id",),

@@ -10,7 +10,7 @@ FIXTURE_CTE = r"""
 WITH
 lines AS (
   SELECT l.*,
-         l_orderkey * 100 + row_number() OVER (
+         l_orderkey * 2147483648 + row_number() OVER (
            PARTITION BY l_orderkey
            ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS pid,
          CAST(l_extendedprice AS DECIMAL(10,2)) AS price,
