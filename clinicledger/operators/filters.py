@@ -86,10 +86,10 @@ def date_window(
 
 
 def _values_frame(df: DataFrame, values: Sequence, col: str) -> DataFrame:
-    """A parameter list as a one-column table ``v`` typed like ``df[col]``;
+    """A parameter list as a one-column table ``_listed_value`` typed like ``df[col]``;
     broadcast, since its size is the (driver-side) list length."""
     dtype = df.schema[col].dataType.simpleString()
-    vals = df.sparkSession.createDataFrame([(v,) for v in values], f"v {dtype}")
+    vals = df.sparkSession.createDataFrame([(v,) for v in values], f"_listed_value {dtype}")
     return F.broadcast(vals.distinct())
 
 
@@ -110,7 +110,7 @@ def optional_in(df: DataFrame, col: str, values: Sequence | None) -> DataFrame:
     values = _listed(values)
     if len(values) <= INLINE_LIST_MAX:
         return df.filter(in_list(col, values))
-    return df.join(_values_frame(df, values, col), F.col(col) == F.col("v"), "left_semi")
+    return df.join(_values_frame(df, values, col), F.col(col) == F.col("_listed_value"), "left_semi")
 
 
 def exclude_keys(df: DataFrame, col: str, excluded: Sequence | DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def exclude_keys(df: DataFrame, col: str, excluded: Sequence | DataFrame) -> Dat
         # the exact test follows from the collated one; it reaches the scan
         return present.filter(~in_list(col, values) & ~_among(df, col, values))
     keys = _values_frame(df, values, col)
-    return present.join(keys, shown(col) == shown("v"), "left_anti")
+    return present.join(keys, shown(col) == shown("_listed_value"), "left_anti")
 
 
 def exclude_test_patients(
