@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import functools
 import os
 import threading
 import uuid
@@ -40,7 +41,7 @@ from clinicledger.functions.money import (
     place_not_in,
 )
 from clinicledger.operators import collections as coll
-from clinicledger.operators import dims, filters, ledger, resources
+from clinicledger.operators import closing, dims, filters, ledger, resources
 from clinicledger.plans import reports
 from clinicledger.plans.params import EncounterParams, RevenueParams
 from clinicledger.sources.fixture import fixture_tables
@@ -79,7 +80,15 @@ INCENTIVE_PATIENT = "48"
 OPTIONAL_DOCTORS = (1, 3, 5)
 OPTIONAL_FACILITIES = (1000002, 1000007, 1000011, 1000019)
 
+# closes of the moving-close queries: closing instant and cut-off date
+CLOSES = {
+    "1997-06-30": (REVENUE.closing, REVENUE.cutoff),
+    "1997-09-14": (dt.datetime(1997, 9, 14, 8, 15), dt.date(1997, 9, 20)),
+    "1997-12-31": (dt.datetime(1997, 12, 31), dt.date(1997, 11, 30)),  # cut-off before the close
+}
+
 _TABLES: dict[tuple[str, str], Tables] = {}
+_CLOSE_SUMS: dict[tuple[str, str], closing.CloseSums] = {}
 _TABLES_LOCK = threading.Lock()
 
 
@@ -430,6 +439,36 @@ def q_collections(spark, sf_dir):
     return coll.collections(tables(spark, sf_dir), p.date_type, p.start, p.end, p.closing, p.cutoff)
 
 
+def close_sums(spark: SparkSession, sf_dir: str) -> closing.CloseSums:
+    """The stored sums of all payments, written once per session."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    t = tables(spark, sf_dir)
+    with _TABLES_LOCK:
+        if key not in _CLOSE_SUMS:
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/close-sums-{uuid.uuid4().hex}"
+            _CLOSE_SUMS[key] = closing.write_close_sums(t, path)
+        return _CLOSE_SUMS[key]
+
+
+def q_collections_moving_close(spark, sf_dir):
+    """Collections of the window's lines at three accounting closes, from one
+    store of sums."""
+    t, sums, p = tables(spark, sf_dir), close_sums(spark, sf_dir), REVENUE
+    parts = []
+    for day, (close, cutoff) in CLOSES.items():
+        totals = functools.partial(closing.closed_totals, sums, closing=close, cutoff=cutoff)
+        rows = coll.collections(t, p.date_type, p.start, p.end, close, cutoff, totals_of=totals)
+        parts.append(rows.withColumn("closed", F.lit(day)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def q_revenue_journal_stored_sums(spark, sf_dir):
+    """The revenue journal at another close, from the stored sums."""
+    close, cutoff = CLOSES["1997-09-14"]
+    p = dataclasses.replace(REVENUE, closing=close, cutoff=cutoff)
+    return reports.revenue_journal(tables(spark, sf_dir), p, sums=close_sums(spark, sf_dir))
+
+
 def q_charge_math(spark, sf_dir):
     t = tables(spark, sf_dir)
     df = reports.revenue_lines(t, REVENUE).join(reports.revenue_visits(t, REVENUE, with_resources=False),
@@ -524,6 +563,8 @@ RAW_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encounter_report_doe": q_encounter_report_doe,
     "payment_pivot": q_payment_pivot,
     "collections": q_collections,
+    "collections_moving_close": q_collections_moving_close,
+    "revenue_journal_stored_sums": q_revenue_journal_stored_sums,
     "charge_math": q_charge_math,
     "adjustment_check": q_adjustment_check,
     "payer_and_service_class": q_payer_and_service_class,

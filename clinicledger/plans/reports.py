@@ -23,6 +23,7 @@ from clinicledger.functions.classify import (
 )
 from clinicledger.functions.dates import day_of, in_window, month_of
 from clinicledger.functions.money import adjustment_check_columns, charge_columns, money
+from clinicledger.operators.closing import CloseSums, closed_totals
 from clinicledger.operators.collections import collection_columns, collection_totals, window_visits
 from clinicledger.operators.dims import (
     bounded_broadcast,
@@ -114,11 +115,11 @@ REVENUE_COLUMNS = [
 ]
 
 
-def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
+def revenue_lines(t: Tables, p: RevenueParams, sums: CloseSums | None = None) -> DataFrame:
     """Procedure lines in the report window (date type's column, end + 1
     day) with their aggregate (joined on visit and line), collection totals
-    and the two line-level collection conditions (batch exists, service
-    date in the closed window)."""
+    (of the payment chain, or of the stored ``sums``) and the two line-level
+    collection conditions (batch exists, service date in the closed window)."""
     col = date_type_column(p.date_type, "date_of_service_from", "date_of_entry")
     window = in_window(col, p.start, p.end, "end_plus_day") if col else F.lit(False)
     pvp = t.patient_visit_procs.select(
@@ -135,7 +136,9 @@ def revenue_lines(t: Tables, p: RevenueParams) -> DataFrame:
     # Payments only matter for lines served inside the closed window: a
     # cheap pushed-down scan selects them for the payment chain.
     between = in_window("date_of_service_from", p.start, p.end, "bounded")
-    totals = collection_totals(t, pvp.filter(between), p.closing, p.cutoff)
+    served = pvp.filter(between)
+    totals = (collection_totals(t, served, p.closing, p.cutoff) if sums is None
+              else closed_totals(sums, served, p.closing, p.cutoff))
     batches = dim(t, "batch", ["batch_id"]).select("batch_id", F.lit(True).alias("batch_ok"))
     lines = (
         pvp.join(pvpa, ["patient_visit_id", "patient_visit_procs_id"])
@@ -190,10 +193,11 @@ def revenue_visits(t: Tables, p: RevenueParams, with_resources: bool = True) ->
     return pv.withColumn("resource_copies", F.when(F.col("label_type").isNotNull(), F.col("resource_copies")))
 
 
-def revenue_journal(t: Tables, p: RevenueParams, sort_keys: bool = False) -> DataFrame:
+def revenue_journal(t: Tables, p: RevenueParams, sort_keys: bool = False, sums: CloseSums | None = None) -> DataFrame:
     """Revenue journal entry report (26 columns). ``sort_keys`` adds the
-    report's order for ``write_report``."""
-    lines = join_split(t, revenue_lines(t, p), revenue_visits(t, p), VISIT)
+    report's order for ``write_report``; with ``sums`` (``closing``) another
+    accounting close doesn't walk the payment chain again."""
+    lines = join_split(t, revenue_lines(t, p, sums), revenue_visits(t, p), VISIT)
     # a line has collections when its batch exists, it was served in the
     # closed window, its patient exists and its visit has counted resources
     eligible = (
