@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clinicledger.llm.common import ascii_lower
+from clinicledger.llm.common import ascii_lower, stored
 
 #: what lies between two words
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,11 +55,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def rolling_pairs(rows: DataFrame, w: Column, position: str, *keep: str) -> DataFrame:
+def rolling_pairs(rows: DataFrame, w: Column, position: str, *keep: str, size: str = "") -> DataFrame:
     """``keep``, ``position`` and ``h``, the hash of each word with the next
-    one (of the last alone, which no pair has)."""
+    one (of the last alone, which no pair has); with ``size`` also the number
+    of words under that name."""
     following = F.slice(F.col("__w"), F.lit(2), F.greatest(F.size("__w"), F.lit(1)))
-    pairs = rows.select(*keep, w.alias("__w")).select(
+    split = rows.select(*keep, w.alias("__w"))
+    if size:
+        split, keep = split.withColumn(size, F.size("__w").cast("long")), (*keep, size)
+    pairs = split.select(
         *keep, F.posexplode(F.arrays_zip(F.col("__w").alias("a"), following.alias("b"))).alias(position, "__s")
     )
     return pairs.select(*keep, position, F.xxhash64("__s.a", "__s.b").alias("h"))
@@ -89,8 +93,15 @@ def scan(docs: DataFrame) -> DataFrame:
     templates = template_table(spark)
     positions = rolling_pairs(templates, F.col("w"), "q", "tid", "n").filter("q < n").drop("n")
     key = ["doc_id", "th"]
-    rolling = rolling_pairs(source.filter("text is not null"), words(F.col("text")), "p", *key)
-    hits = rolling.join(F.broadcast(positions), "h").select(*key, "tid", "p", "q").distinct()
+    # the one pass over the words: a text's hits, and its first pair with the
+    # number of words. Few rows, written because three steps below read them
+    rolling = rolling_pairs(source.filter("text is not null"), words(F.col("text")), "p", *key, size="n_words")
+    marks = stored(
+        rolling.join(F.broadcast(positions), "h", "left").filter("tid is not null or p = 0")
+        .select(*key, "n_words", "tid", "p", "q"),
+        "license-marks",
+    )
+    hits = marks.filter("tid is not null").select(*key, "tid", "p", "q").distinct()
 
     facts = F.broadcast(templates.select("tid", "n", "base", "label"))
     diagonals = hits.groupBy(*key, "tid", (F.col("p") - F.col("q")).alias("d")).agg(
@@ -115,16 +126,21 @@ def scan(docs: DataFrame) -> DataFrame:
     def joined(labels: Column) -> Column:
         return F.array_join(F.array_sort(labels), ",")
 
-    result = base.unionByName(found).groupBy(*key).agg(
+    sizes = marks.filter("p = 0").select(
+        *key, F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("base"),
+        F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("share"), "n_words",
+    )
+    result = base.unionByName(found).unionByName(sizes, allowMissingColumns=True).groupBy(*key).agg(
+        F.max("n_words").alias("n_words"),
         F.count("place").alias("n_base"), F.min("place").cast("long").alias("first_word"),
         F.max("place").cast("long").alias("last_word"),
         joined(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
         joined(F.collect_set("label")).alias("labels"), F.max("share").alias("score"),
     )
-    counted = source.select(*key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    same = counted["doc_id"].eqNullSafe(result["doc_id"]) & (counted["th"] == result["th"])
-    return counted.join(result, same, "left").select(
-        counted["doc_id"], "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
+    texts = source.select(*key)
+    same = texts["doc_id"].eqNullSafe(result["doc_id"]) & (texts["th"] == result["th"])
+    return texts.join(result, same, "left").select(
+        texts["doc_id"], F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
