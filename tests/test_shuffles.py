@@ -51,6 +51,12 @@ def test_all_distributions_are_shuffled_twice(spark):
         assert _shuffles_above(plan, "transaction_distributions") == 2
 
 
+def test_stored_sums_add_one_shuffle_to_the_chain(spark, fixture_tables_small):
+    with _settings(spark):
+        plan = _plan(closing.both_grains(fixture_tables_small))
+    assert _shuffles_above(plan, "transaction_distributions") == 3
+
+
 def test_repeated_and_null_keys_of_the_chain_give_the_rows_of_its_joins(make_tables):
     t = make_tables(
         transaction_distributions=[dict(transactions_id=k, patient_visit_procs_id=p, amount=Decimal(a))
@@ -67,3 +73,13 @@ def test_repeated_and_null_keys_of_the_chain_give_the_rows_of_its_joins(make_tab
     want = chain.join(t.visit_transactions.select("visit_transactions_id", "patient_visit_id"), "visit_transactions_id")
     assert rows(payment_lines(t, visits=True), *cols) == rows(want, *cols) and want.count() > 30
     assert payment_lines(t).count() == chain.count()
+
+
+def test_a_store_without_its_success_file_does_not_open(spark, fixture_tables_small, tmp_path):
+    path = tmp_path / "sums"
+    sums = closing.write_close_sums(fixture_tables_small, str(path))
+    assert sums.days.count() >= sums.months.count() > 0
+    closing.both_grains(fixture_tables_small).limit(5).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(
+        "grain", "entry_month").parquet(str(tmp_path / "part"))
+    with pytest.raises(FileNotFoundError, match="does not exist"):
+        closing.open_close_sums(spark, str(tmp_path / "part"))
