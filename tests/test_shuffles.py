@@ -45,6 +45,18 @@ def _shuffles_above(plan: str, table: str) -> int:
     return found
 
 
+def test_line_aggregates_stay_in_place_in_any_session(spark):
+    with _settings(spark, **{"spark.sql.requireAllClusterKeysForCoPartition": "true"}):
+        for name in ("charge_math", "adjustment_check"):
+            for path in _path_to_join(_plan(entry.queries()[name](spark, SMOKE_DIR)), "patient_visit_procs_agg"):
+                assert not any(p.startswith("Exchange") for p in path), (name, path)
+
+
+def test_a_layout_has_no_fewer_buckets_than_a_shuffle_partitions(spark):
+    with _settings(spark, **{"spark.sql.shuffle.partitions": "300"}):
+        assert store.default_buckets(spark) == 512
+
+
 def test_all_distributions_are_shuffled_twice(spark):
     with _settings(spark):
         plan = _plan(entry.queries()["nonzero_distributions"](spark, SMOKE_DIR))
