@@ -144,8 +144,11 @@ class Encoder:
         parts = self.chunks(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.array([len(p) for p in parts], np.int64) // self.dtype.itemsize
         at = words.indices.to_numpy(zero_copy_only=False)
-        ids = np.frombuffer(b"".join(map(parts.__getitem__, at.tolist())), self.dtype)
-        return ids, np.r_[0, np.cumsum(sizes[at])][offsets]
+        # ids of the distinct chunks once, gathered by place
+        ends = np.r_[0, np.cumsum(sizes[at])]
+        shift = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        places = np.arange(ends[-1]) + np.repeat(shift, sizes[at])
+        return np.frombuffer(b"".join(parts), self.dtype)[places], ends[offsets]
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""

@@ -127,3 +127,24 @@ def test_op9_sums_of_large_rates(spark):
             low = max(0, k - 20_000)
             want = math.fsum(math.exp(-rate + i * math.log(rate) - math.lgamma(i + 1)) for i in range(low, k + 1)) if rate else 1.0
             assert abs(got[rate][k] - want) < 1e-6
+
+
+def test_ids_are_gathered_without_a_lookup_per_word(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from clinicledger.llm.encoder import Encoder, tokenizer_path
+
+    class Once(list):
+        def __getitem__(self, at):
+            raise AssertionError("a lookup per word")
+
+    chunks = Encoder.chunks
+    monkeypatch.setattr(Encoder, "chunks", lambda self, words: Once(chunks(self, words)))
+    enc = Encoder(tokenizer_path())
+    texts = ["one two, one", None, "", " \t", "two one unheard-ofness one <s>", "two"]
+    for column in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        ids, ends = enc.encode(column)
+        want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want and ends[0] == 0 and ids.dtype == enc.dtype
+        assert len(ends) == len(column) + 1 and len(ids) == ends[-1] and isinstance(ids, np.ndarray)
