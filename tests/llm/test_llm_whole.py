@@ -148,3 +148,34 @@ def test_ids_are_gathered_without_a_lookup_per_word(monkeypatch):
         want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want and ends[0] == 0 and ids.dtype == enc.dtype
         assert len(ends) == len(column) + 1 and len(ids) == ends[-1] and isinstance(ids, np.ndarray)
+
+
+def test_letters_and_signs_are_encoded_without_a_step_per_word(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from clinicledger.llm import encoder
+    from clinicledger.llm.encoder import Encoder, tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path())
+    seen, chunks = [], Encoder.chunks
+    monkeypatch.setattr(Encoder, "chunks", lambda self, words: seen.extend(words) or chunks(self, words))
+    enc = Encoder(tokenizer_path())
+
+    def same(texts):
+        ids, ends = enc.encode(pa.array(texts, pa.string()))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+        assert enc.lengths(pa.array(texts, pa.string())).tolist() == list(map(len, want))
+
+    same(["The the, THE!? the...", "École, ÉCOLE ß; ÿes (x) it's <b> Ünïcödé.", None, "½ aµ"])
+    assert set(seen) - {""} == {"(x)", "it's", "<b>", "½", "aµ"}
+    # every Latin-1 character, and others that turn into such ones, beside letters and signs
+    odd = [*map(chr, range(0x250)), "\u212a", "\u212b", "\u1e9e", "\u0301", "e\u0301", "A\u030a", "h\u0331", "\ufb01"]
+    same([" ".join(x.replace("?", c) for x in ("?", "a?", "?B", "A?b.", "é?", "?É,", ".?", "a.?")) for c in odd])
+    # tables begun anew at every call, by pieces or by ids
+    for name in ("MEMO", "MEMO_IDS"):
+        with monkeypatch.context() as few:
+            few.setattr(encoder, name, 3)
+            for k in range(12):
+                same([f"again and Again, {'abcdefghijkl'[k:] * 9} it's {k}." + " again" * k])
