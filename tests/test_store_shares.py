@@ -31,6 +31,11 @@ def _assert_no_new_shuffle_files(spark, before):
 @pytest.fixture()
 def in_shares(monkeypatch):
     monkeypatch.setattr(store, "SHARED_BYTES", 0)
+    monkeypatch.setattr(store, "NO_ESTIMATE", 1 << 200)
+
+
+def test_literal_rows_are_written_at_once(make_tables):
+    assert store.shares_of(make_tables(batch=[(1,)]), "batch") == 1
 
 
 def test_shares_of_derived_and_plain_tables_are_the_whole(spark, make_tables):
@@ -57,6 +62,14 @@ def test_a_table_in_shares_has_every_row_and_leaves_no_shuffle_files(spark, in_s
         assert len(list(path.glob("part-*.parquet"))) <= 8 * store.SHARES
 
 
+def test_write_tasks_keep_buckets_whole_and_cores_busy(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for buckets in (1, 3, 8 * cores, 8 * cores + 1, 6 * cores, 2 * cores):
+        tasks = store._write_tasks(spark, buckets, 4)
+        assert buckets % tasks == 0 and buckets // 4 <= tasks and tasks >= min(buckets, 2 * cores)
+    assert store._write_tasks(spark, 8 * cores, 4) == 2 * cores
+
+
 def test_a_stop_between_shares_commits_nothing(spark, make_tables, in_shares, tmp_path, monkeypatch):
     t = make_tables(transactions=[(k % 40 or None, k, "P", None) for k in range(200)])
     path, written = tmp_path / "transactions", []
